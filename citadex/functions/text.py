@@ -11,8 +11,9 @@ from citadex.settings import (
     ACRONYM_STRIP, ACRONYMS, STOP_WORDS, TYPOS,
 )
 
-# Unicode white space, written out because Java's \s covers ASCII only.
-_SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# (?U) makes white space follow Unicode: Java's plain \s covers ASCII only.
+_TOKEN = r"(?U)\S+"
+_EDGES = r"(?U)^\s+|\s+$"
 _WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -22,17 +23,17 @@ def let(value: Column, body) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{_SPACE}]+|[{_SPACE}]+$", "")
+    return F.regexp_replace(text, _EDGES, "")
 
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens between white space; punctuation stays on the token."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"[^{_SPACE}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
 
 
 def words(text: Column) -> Column:
     """Tokens between white space in their own case."""
-    return F.regexp_extract_all(text, F.lit(f"[^{_SPACE}]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
 
 
 def clean(text: Column, typos: Mapping[str, str] = TYPOS) -> Column:

@@ -78,7 +78,7 @@ def find_captions(
 ) -> DataFrame:
     """Lines that hold a keyword and are longer than ten characters, numbered from 1."""
     keep = [c for c in df.columns if c not in (text, "content_type")]
-    lines = df.select(*keep, F.posexplode(F.split(text, "\n")).alias("_at", "_line"))
+    lines = df.select(*keep, F.posexplode_outer(F.split(text, "\n")).alias("_at", "_line"))
     caption = tx.strip(F.col("_line"))
     return (
         lines.where(tx.contains_any(F.lower("_line"), keywords))
@@ -117,7 +117,9 @@ def artefact_nodes(
 
 def _exploded_chunks(df: DataFrame, chunks: Column, text: str, key: str) -> DataFrame:
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(chunks).alias("chunk_ix", text)).withColumn(
+    # Outer, so that no filter on the array is put below, which would cut every text twice.
+    cut = df.select(*keep, F.posexplode_outer(chunks).alias("chunk_ix", text)).where(F.col(text).isNotNull())
+    return cut.withColumn(
         "node_id", F.concat_ws("-", F.col(key).cast("string"), F.col("chunk_ix").cast("string"))
     )
 
@@ -202,7 +204,7 @@ def page_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
     blocks = F.concat(*[found(*spec) for spec in BLOCK_PATTERNS])
     plain = tx.strip(F.regexp_replace("body", r"(?s)<[^>]*>", ""))
     return (
-        pages.select(*keep, F.inline(blocks))
+        pages.select(*keep, F.inline_outer(blocks))
         .select(*keep, "kind", "content_type", "block_ix", plain.alias("text"))
         .where(F.col("text") != "")
     )

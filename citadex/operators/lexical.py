@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from citadex.functions import scoring as sc
 from citadex.functions import text as tx
 from citadex.operators.fusion import ranked
-from citadex.session import measured_bytes, small_enough
+from citadex.session import measured_bytes, small_enough, staged
 from citadex.settings import TERM_SHARDS
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings(node_id, dl, term, tf); terms(term, df); stats(n, avgdl, mean_idf), one row."""
+    """postings(node_id, dl, term, tf, opens); terms(term, df); stats(n, avgdl, mean_idf), one row.
+
+    `opens` is true for the one posting of a node that holds its first token, so that nodes can be
+    counted, and their lengths averaged, from the postings alone.
+    """
 
     postings: DataFrame
     terms: DataFrame
@@ -36,11 +40,17 @@ def _row(stats: DataFrame):
 
 
 def postings_of(nodes: DataFrame) -> DataFrame:
+    """Term counts per node.
+
+    The outer explode keeps the optimizer from adding a filter on the size of the token array below
+    it, which would tokenise every text twice.
+    """
     split = nodes.select("node_id", tx.tokens(F.col("text")).alias("tokens"))
     return (
         split.select("node_id", F.size("tokens").cast("long").alias("dl"), "tokens")
-        .select("node_id", "dl", F.explode("tokens").alias("term"))
-        .groupBy("node_id", "dl", "term").agg(F.count("*").alias("tf"))
+        .select("node_id", "dl", F.posexplode_outer("tokens").alias("at", "term"))
+        .where("term IS NOT NULL")
+        .groupBy("node_id", "dl", "term").agg(F.count("*").alias("tf"), (F.min("at") == 0).alias("opens"))
     )
 
 
@@ -48,24 +58,27 @@ def terms_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def stats_of(lengths: DataFrame, terms: DataFrame) -> DataFrame:
-    """Node count and mean length from one `dl` per node, mean idf from the terms."""
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def stats_of(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """Node count and mean length from the opening postings, mean idf from the terms."""
+    corpus = postings.where("opens").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     mean = terms.agg(F.avg(sc.bm25_idf(corpus.select("n").scalar(), F.col("df"))).alias("mean_idf"))
     return corpus.select("n", "avgdl", mean.scalar().alias("mean_idf"))
 
 
 def build_lexical_index(nodes: DataFrame) -> LexicalIndex:
-    """Index tables of a corpus; nodes without tokens take no part."""
-    postings = postings_of(nodes)
-    terms = terms_of(postings)
-    lengths = nodes.select(F.size(tx.tokens(F.col("text"))).alias("dl")).where("dl > 0")
-    return LexicalIndex(postings, terms, stats_of(lengths, terms))
+    """Index tables of a corpus; nodes without tokens take no part.
+
+    Postings and term counts are written once to the shared folder: they are read several times by
+    a search, and the texts are tokenised only once.
+    """
+    postings = staged(postings_of(nodes), "postings")
+    terms = staged(terms_of(postings), "terms")
+    return LexicalIndex(postings, terms, stats_of(postings, terms))
 
 
 def query_terms(queries: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return (
-        queries.select(*keys, F.explode(tx.tokens(F.col(text))).alias("term"))
+        queries.select(*keys, F.explode_outer(tx.tokens(F.col(text))).alias("term")).where("term IS NOT NULL")
         .groupBy(*keys, "term").agg(F.count("*").alias("qtf"))
     )
 

@@ -161,12 +161,12 @@ def split_answer(df: DataFrame, answer: str = "answer") -> DataFrame:
     headers = F.regexp_extract_all(F.col(answer), F.lit(pattern), F.lit(0))
     bodies = F.slice(F.split(F.col(answer), pattern), 2, 1 << 30)
     return (
-        df.select(*keep, F.posexplode(F.arrays_zip(headers.alias("header"), bodies.alias("content"))).alias("segment_ix", "_s"))
+        df.select(*keep, F.posexplode_outer(F.arrays_zip(headers.alias("header"), bodies.alias("content"))).alias("segment_ix", "_s"))
         .select(
             *keep, "segment_ix", tx.strip(F.col("_s.header")).alias("header"), tx.strip(F.col("_s.content")).alias("content"),
             F.regexp_extract("_s.header", r"\[([0-9]+)\]", 1).alias("citation_no"),
         )
-        .where(F.col("content") != "")
+        .where((F.col("content") != "") & (F.col("header") != ""))
     )
 
 

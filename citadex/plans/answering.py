@@ -12,6 +12,7 @@ from citadex.operators import understanding as un
 from citadex.operators.dense import dense_search
 from citadex.operators.lexical import LexicalIndex, bm25_search
 from citadex.operators.response import respond
+from citadex.session import staged
 from citadex.settings import AnswerOptions
 
 
@@ -82,7 +83,7 @@ def answer_queries(
 ) -> DataFrame:
     """One structured response per question."""
     questions = understand(queries, glossary)
-    context = retrieve(questions, nodes, index, vectors, options, **hooks_and_tables)
+    context = staged(retrieve(questions, nodes, index, vectors, options, **hooks_and_tables), "context")
     out = respond(context, questions.select("query_id", "query", "intent_type", "intent_confidence", "keywords"))
     if glossary is None:
         return out

@@ -189,6 +189,7 @@ cte("gloss_raw", rf"""SELECT doc_id AS entry_id, regexp_extract(text, '^\s*([^\s
 cte("gloss", f"""SELECT entry_id, {strip('term')} AS term, {strip('definition')} AS definition,
   list_filter(list_transform(string_split(aliases, '|'), lambda a: {strip('a')}), lambda a: a <> '') AS aliases
   FROM gloss_raw WHERE {strip('term')} <> '' AND {strip('definition')} <> ''""")
+cte("gloss_pages", r"""SELECT doc_id, regexp_replace(text, '(^|\n)(\S+) ', CASE WHEN doc_id % 2 = 0 THEN '\1\2: ' ELSE '\1\2 - ' END, 'g') AS text FROM documents""")
 cte("cache", f"""SELECT key, max(doc_id) AS entry_id, 'answer ' || CAST(max(doc_id) AS VARCHAR) AS response
   FROM (SELECT md5({strip('lower(text)')} || ':10:0.5') AS key, doc_id FROM documents) GROUP BY 1""")
 cte("again", """SELECT item_id AS query_id, '  ' || text AS query, CASE WHEN item_id % 4 = 3 THEN 5 ELSE 10 END AS top_k, 0.5e0 AS alpha FROM benchmark""")
@@ -247,7 +248,7 @@ oracle("glossary_lines", f"""SELECT doc_id, line_ix, term, definition FROM (
   SELECT doc_id, line_ix, {strip("substr(line, 1, cut - 1)")} AS term, {strip("substr(line, cut + w)")} AS definition FROM (
     SELECT *, CASE WHEN contains(line, ':') THEN position(':' IN line) ELSE position(' - ' IN line) END AS cut, CASE WHEN contains(line, ':') THEN 1 ELSE 3 END AS w FROM (
       SELECT doc_id, line_ix - 1 AS line_ix, {strip('raw')} AS line FROM (
-        SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line_ix FROM documents))
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line_ix FROM gloss_pages))
     WHERE contains(line, ':') OR contains(line, ' - ')))
   WHERE length(term) > 1 AND length(definition) > 1""")
 oracle("index_roundtrip", "SELECT * FROM bm10")
@@ -427,7 +428,7 @@ oracle("snippets", "SELECT doc_id, " + ", ".join(f"CASE WHEN length(text) > {n}
 
 oracle("cache_key", "SELECT query_id, top_k, alpha, key FROM again_keyed")
 oracle("exact_reuse", "SELECT query_id, key, response FROM again_keyed LEFT JOIN cache USING (key)")
-cte("near", "SELECT query_id, node_id AS entry_id, score FROM (" + dense("qvecs", "vectors", 1) + ") WHERE score >= 0.5e0")
+cte("near", "SELECT query_id, node_id AS entry_id, score FROM (" + dense("qvecs", "vectors", 1) + ") WHERE score >= 0.4e0")
 oracle("semantic_reuse", "SELECT * FROM near")
 oracle("cache_retain", "SELECT key, entry_id, response, entry_id AS inserted_at FROM cache ORDER BY entry_id DESC, key LIMIT 100")
 oracle("cache_invalidate", "SELECT key, entry_id, response, entry_id AS inserted_at FROM cache WHERE entry_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")

@@ -19,7 +19,7 @@ from citadex.operators.dense import dense_search, probed_search
 from citadex.operators.lexical import LexicalIndex, bm25_search, build_lexical_index
 from citadex.plans import answering
 from citadex.plans.roles import Roles
-from citadex.session import scratch_path
+from citadex.session import scratch_path, staged
 from citadex.settings import AnswerOptions
 from citadex.sources import feedback_files as ff
 from citadex.sources import glossary as gl
@@ -72,7 +72,7 @@ def questions(r: Roles) -> DataFrame:
 
 def responses(r: Roles) -> DataFrame:
     asked = questions(r).select("query_id", "query", "intent_type", "intent_confidence", "keywords")
-    return rs.respond(context(r), asked)
+    return staged(rs.respond(staged(context(r), "context"), asked), "responses")
 
 
 # --- sources and sinks --------------------------------------------------------------------------
@@ -94,7 +94,7 @@ def glossary_csv(r):
 
 @query
 def glossary_lines(r):
-    return gl.glossary_from_lines(r.table("documents").select("doc_id", "text")).drop("aliases")
+    return gl.glossary_from_lines(r.glossary_pages()).drop("aliases")
 
 
 @query
@@ -127,7 +127,7 @@ def feedback_export(r):
 
 @query
 def report_text(r):
-    return reports.report_text(responses(r)).join(reports.display_text(responses(r)).withColumnRenamed("report", "display"), "query_id")
+    return reports.display_text(reports.report_text(responses(r))).select("query_id", "report", "display")
 
 
 @query
@@ -305,7 +305,7 @@ def bm25_terms(r):
 
 @query
 def bm25_postings(r):
-    return r.index().postings
+    return r.index().postings.drop("opens")
 
 
 @query
@@ -548,7 +548,7 @@ def _cache_vectors(r: Roles) -> DataFrame:
 
 @query
 def semantic_reuse(r):
-    return ru.semantic_reuse(r.query_vectors(), _cache_vectors(r), 0.5, exclude_self=True)
+    return ru.semantic_reuse(r.query_vectors(), _cache_vectors(r), 0.4, exclude_self=True)
 
 
 @query
@@ -589,7 +589,7 @@ def definition_path(r):
 def _routed(r: Roles) -> DataFrame:
     asked = r.asked_again()
     exact = ru.exact_reuse(asked, r.cache()).where("response IS NOT NULL")
-    semantic = ru.semantic_reuse(r.query_vectors(), _cache_vectors(r), 0.5, exclude_self=True)
+    semantic = ru.semantic_reuse(r.query_vectors(), _cache_vectors(r), 0.4, exclude_self=True)
     known = ru.validated_reuse(asked, _validated(r), min_votes=1).where("answer_text IS NOT NULL")
     defined = questions(r).where("intent_type = 'definition'")
     return ru.route(asked, exact, semantic, known, defined)

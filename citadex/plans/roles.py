@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citadex.functions import text as tx
 from citadex.operators.lexical import LexicalIndex, build_lexical_index
+from citadex.session import spread
 
 PREFIXES = ("what is ", "how to ", "error ", "compare ", "voltage ", "")
 
@@ -23,7 +24,8 @@ class Roles:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in ("documents", "pages") else df
 
     def nodes(self) -> DataFrame:
         """Documents as corpus nodes."""
@@ -108,6 +110,13 @@ class Roles:
             F.col("doc_id").alias("entry_id"), term.alias("term"), rest.alias("definition"), alias.alias("aliases")
         )
 
+    def glossary_pages(self) -> DataFrame:
+        """Documents whose lines read `word: rest`, or `word - rest` for every second one."""
+        mark = F.when(F.pmod("doc_id", F.lit(2)) == 0, "$1$2: ").otherwise("$1$2 - ")
+        return self.table("documents").select(
+            "doc_id", F.regexp_replace("text", F.lit(r"(^|\n)(\S+) "), mark).alias("text")
+        )
+
     def cache(self) -> DataFrame:
         """Documents as questions answered before; a repeated text keeps its last entry."""
         key = tx.cache_key(F.col("text"), F.lit(10), F.lit(0.5))

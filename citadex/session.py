@@ -82,3 +82,9 @@ def small_enough(n_bytes: int) -> bool:
 def broadcast_within(df: DataFrame, n_bytes: int | None) -> DataFrame:
     """Broadcast hint, given only when a known upper bound on the size is within the limit."""
     return F.broadcast(df) if n_bytes is not None and small_enough(n_bytes) else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores is spread over them; others stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

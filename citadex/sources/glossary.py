@@ -42,7 +42,7 @@ def glossary_from_lines(df: DataFrame, text: str = "text") -> DataFrame:
     term = F.expr("substring(line, 1, at - 1)")
     definition = F.expr("substring(line, at + length(sep))")
     return (
-        df.select(*keep, F.posexplode(F.split(F.col(text), "\n")).alias("line_ix", "_line"))
+        df.select(*keep, F.posexplode_outer(F.split(F.col(text), "\n")).alias("line_ix", "_line"))
         .select(*keep, "line_ix", line.alias("line")).withColumn("sep", sep).where("sep IS NOT NULL").withColumn("at", at)
         .withColumns({"term": tx.strip(term), "definition": tx.strip(definition)})
         .where("length(term) > 1 AND length(definition) > 1")

@@ -1,7 +1,7 @@
 """The persisted index: nodes, postings and term counts as parquet.
 
 Only counts are stored. Idf and mean length change with every added node, so they are derived when
-the index is opened: one pass over the term counts and one over the node lengths. Postings are
+the index is opened: one pass over the term counts and one over the opening postings. Postings are
 written in ranges of (term, node_id): a frequent term spans several files, and the row-group
 statistics let a scan for a few terms skip the rest.
 """
@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citadex.functions import text as tx
 from citadex.operators.lexical import LexicalIndex, postings_of, stats_of
 
 
@@ -25,8 +24,7 @@ class StoredIndex:
 
 
 def _write_parts(nodes: DataFrame, path: str, mode: str) -> None:
-    lengths = F.size(tx.tokens(F.col("text"))).cast("long")
-    nodes.withColumn("dl", lengths).write.mode(mode).parquet(f"{path}/nodes")
+    nodes.write.mode(mode).parquet(f"{path}/nodes")
     ordered = postings_of(nodes).repartitionByRange("term", "node_id").sortWithinPartitions("term", "node_id")
     ordered.write.mode(mode).parquet(f"{path}/postings")
 
@@ -64,5 +62,4 @@ def read_index(spark: SparkSession, path: str, with_vectors: bool = False) -> St
     except Exception as error:
         raise FileNotFoundError(f"no index at {path}: write one with write_index first") from error
     terms = counts.groupBy("term").agg(F.sum("df").alias("df"))
-    stats = stats_of(nodes.where("dl > 0").select("dl"), terms)
-    return StoredIndex(nodes.drop("dl"), LexicalIndex(postings, terms, stats), vectors)
+    return StoredIndex(nodes, LexicalIndex(postings, terms, stats_of(postings, terms)), vectors)

@@ -22,19 +22,19 @@ def display_text(responses: DataFrame) -> DataFrame:
         F.when(s["content_type"] != "text", F.concat(F.lit(" ["), s["content_type"], F.lit("]"))).otherwise(""),
     ))
     closing = F.concat(F.lit("Confidence: "), tx.percent(F.col("confidence")), F.lit(" | Intent: "), F.col("intent_type"))
-    return responses.select("query_id", F.concat_ws(
+    return responses.withColumn("display", F.concat_ws(
         "\n",
         *_section(_THICK, "ANSWER:", F.col("answer")),
         *_section(_THICK, "REASONING SUMMARY:", F.col("reasoning")),
         *_section(_THICK, "SOURCE SUMMARY:", line),
         closing, F.lit(_THICK),
-    ).alias("report"))
+    ))
 
 
 def report_text(responses: DataFrame, title: str = "QUERY REPORT", generated: str = "") -> DataFrame:
     """The longer report: question, answer, metadata, sources and reasoning."""
     line = F.transform("sources", lambda s: F.concat(s["id"], F.lit(" "), s["name"], F.lit(" (Pages: "), s["pages"], F.lit(")")))
-    return responses.select("query_id", F.concat_ws(
+    return responses.withColumn("report", F.concat_ws(
         "\n",
         F.lit(_THICK), F.lit(title), F.lit(_THICK), F.lit(f"Generated: {generated}"), F.lit(""),
         *_section(_THIN, "QUERY:", F.col("query")),
@@ -47,7 +47,7 @@ def report_text(responses: DataFrame, title: str = "QUERY REPORT", generated: st
         *_section(_THIN, "SOURCES:", line),
         *_section(_THIN, "REASONING:", F.col("reasoning")),
         F.lit(_THICK), F.lit("End of Report"), F.lit(_THICK),
-    ).alias("report"))
+    ))
 
 
 def summary_table(responses: DataFrame) -> DataFrame:
