@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citadex.settings import METRIC_RANGES
+from citadex.settings import METRIC_RANGES, RATIO_DIGITS
 
 
 def user_history(log: DataFrame, user: str | None = None, start: str | None = None, n: int = 20) -> DataFrame:
@@ -40,7 +40,7 @@ def feedback_stats(feedback: DataFrame) -> DataFrame:
     share = F.coalesce(F.try_divide("helpful", "total") * 100, F.lit(0.0))
     return counted.select(
         "total", "helpful", (F.col("total") - F.col("helpful")).alias("unhelpful"),
-        F.round(share, 6).alias("helpful_percentage"),
+        F.round(share, RATIO_DIGITS).alias("helpful_percentage"),
     )
 
 
@@ -65,14 +65,14 @@ def intent_distribution(log: DataFrame, days: int, asof: str) -> DataFrame:
     ).alias("t")).scalar()
     share = F.col("n") / totals["n"]
     return counts.select(
-        "intent_type", "n", F.round(share, 6).alias("share"), (F.col("intent_type") == totals["top"]).alias("is_top"),
+        "intent_type", "n", F.round(share, RATIO_DIGITS).alias("share"), (F.col("intent_type") == totals["top"]).alias("is_top"),
         (share > 0.5).alias("dominant"),
     )
 
 
 def average_metrics(log: DataFrame, days: int, asof: str) -> DataFrame:
     """Mean confidence, response time and intent confidence; zeros without questions."""
-    mean = lambda name: F.round(F.coalesce(F.avg(name), F.lit(0.0)), 6)
+    mean = lambda name: F.round(F.coalesce(F.avg(name), F.lit(0.0)), RATIO_DIGITS)
     return _since(log, days, asof).agg(
         mean("confidence").alias("avg_confidence"), mean("response_time_ms").alias("avg_response_time_ms"),
         mean("intent_confidence").alias("avg_intent_confidence"), F.count("*").alias("total_queries"),
@@ -90,7 +90,7 @@ def metrics_by_range(log: DataFrame, asof: str, ranges: Sequence[int] = METRIC_R
     spread = daily.withColumn("days", F.explode(F.filter(F.array(*map(F.lit, ranges)), lambda d: F.col("age") <= d)))
     return spread.groupBy("days", "intent_type").agg(
         F.sum("n").alias("total_queries"),
-        *[F.round(F.sum(m) / F.sum("n"), 6).alias(f"avg_{m}") for m in measures],
+        *[F.round(F.sum(m) / F.sum("n"), RATIO_DIGITS).alias(f"avg_{m}") for m in measures],
     )
 
 
@@ -111,7 +111,7 @@ def health(log: DataFrame, feedback: DataFrame, days: int, asof: str) -> DataFra
     ))
     quiet = F.when(queries < 5, F.lit("not enough data")).otherwise(F.lit("no issues"))
     return base.select(
-        "total", F.round(rate, 6).alias("helpful_rate"), queries.alias("total_queries"),
+        "total", F.round(rate, RATIO_DIGITS).alias("helpful_rate"), queries.alias("total_queries"),
         F.when(time < 1000, "excellent").when(time < 2000, "good").otherwise("slow").alias("speed"),
         F.when(conf > 0.8, "high").when(conf > 0.6, "good").otherwise("low").alias("quality"),
         F.when(F.size(advice) > 0, advice).otherwise(F.array(quiet)).alias("recommendations"),
@@ -122,7 +122,7 @@ def feedback_insights(feedback: DataFrame) -> DataFrame:
     """Votes per intent, and the mean confidence of the helpful ones."""
     return feedback.groupBy("intent_type").agg(
         F.count("*").alias("n"),
-        F.round(F.avg(F.when(F.col("is_helpful"), F.col("confidence"))), 6).alias("avg_helpful_confidence"),
+        F.round(F.avg(F.when(F.col("is_helpful"), F.col("confidence"))), RATIO_DIGITS).alias("avg_helpful_confidence"),
     )
 
 

@@ -39,34 +39,45 @@ def invalidate(cache: DataFrame, bad: DataFrame, on: str = "key") -> DataFrame:
     return cache.join(bad.select(on).distinct(), on, "left_anti")
 
 
-def build_validated(log: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Answers with helpful votes: the first voted answer stays, votes are counted.
+def validated_partials(log: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Votes of one batch per question text, in a form that further batches can be added to.
 
     Votes are counted per question id before the join, so an answer with a third of all votes is
     one row by then.
     """
+    helpful = F.col("is_helpful")
     votes = feedback.groupBy("query_id").agg(
-        F.count_if("is_helpful").alias("helpful"), F.count_if(~F.col("is_helpful")).alias("unhelpful"),
-        F.min(F.when(F.col("is_helpful"), F.col("ts"))).alias("first_vote"),
-        F.max(F.when(F.col("is_helpful"), F.col("ts"))).alias("last_vote"),
+        F.count_if(helpful).alias("helpful"), F.count_if(~helpful).alias("unhelpful"),
+        F.min(F.when(helpful, F.col("ts"))).alias("first_vote"), F.max(F.when(helpful, F.col("ts"))).alias("last_vote"),
     )
     voted = log.select("query_id", "query_text", "answer_text", "sources").join(votes, "query_id")
     order = F.when(F.col("helpful") > 0, F.struct("first_vote", "query_id"))
-    first = F.min_by(F.struct("query_text", "answer_text", "sources"), order)
+    return voted.groupBy(tx.question_hash(F.col("query_text")).alias("query_hash")).agg(
+        F.min_by(F.struct("query_text", "answer_text", "sources"), order).alias("first_answer"), F.min(order).alias("first_at"),
+        F.sum("helpful").alias("helpful_count"), F.sum("unhelpful").alias("unhelpful_count"), F.max("last_vote").alias("last_used"),
+    )
+
+
+def merge_validated(partials: DataFrame) -> DataFrame:
+    """Validated answers from the partials of any number of batches, in any order."""
     return (
-        voted.groupBy(tx.question_hash(F.col("query_text")).alias("query_hash"))
-        .agg(
-            first.alias("_first"), F.sum("helpful").alias("helpful_count"), F.sum("unhelpful").alias("unhelpful_count"),
-            F.min("first_vote").alias("first_validated"), F.max("last_vote").alias("last_used"),
+        partials.groupBy("query_hash").agg(
+            F.min_by("first_answer", "first_at").alias("_first"), F.sum("helpful_count").alias("helpful_count"),
+            F.sum("unhelpful_count").alias("unhelpful_count"), F.min("first_at")["first_vote"].alias("first_validated"),
+            F.max("last_used").alias("last_used"),
         )
         .where("helpful_count > 0")
         .select(
-            "query_hash", "_first.*", "helpful_count", "unhelpful_count", "first_validated", "last_used",
-            F.lit(True).alias("is_active"),
+            "query_hash", "_first.*", "helpful_count", "unhelpful_count", "first_validated", "last_used", F.lit(True).alias("is_active")
         )
     )
 
 
+def build_validated(log: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Answers with helpful votes: the first voted answer stays, votes are counted."""
+    return merge_validated(validated_partials(log, feedback))
+
+
 def validated_reuse(queries: DataFrame, validated: DataFrame, min_votes: int = 2) -> DataFrame:
     """Validated answer with enough votes; null when there is none."""
     usable = validated.where(F.col("is_active") & (F.col("helpful_count") >= min_votes))

@@ -468,31 +468,31 @@ _ts = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
 oracle("user_history", f"""SELECT query_id, "user", {_ts}, nth FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY ts DESC, query_id) AS nth FROM qlog) WHERE nth <= 20""")
 oracle("query_by_id", """SELECT query_id, "user", query_text, intent_type FROM qlog WHERE query_id IN (SELECT query_id FROM votes WHERE NOT is_helpful)""")
 oracle("feedback_for", f"""SELECT query_id, "user", is_helpful, {_ts} FROM votes WHERE query_id IN (SELECT query_id FROM qlog WHERE confidence >= 0.5e0)""")
-oracle("feedback_stats", "SELECT total, helpful, total - helpful AS unhelpful, coalesce(round(helpful / total * 100, 6), 0) AS helpful_percentage FROM (SELECT count(*) AS total, count(*) FILTER (WHERE is_helpful) AS helpful FROM votes)")
+oracle("feedback_stats", "SELECT total, helpful, total - helpful AS unhelpful, coalesce(round(helpful / total * 100, 10), 0) AS helpful_percentage FROM (SELECT count(*) AS total, count(*) FILTER (WHERE is_helpful) AS helpful FROM votes)")
 oracle("date_range", f"""SELECT query_id, "user", {_ts} FROM qlog WHERE dt BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'""")
 _asof = "TIMESTAMP '2024-01-31'"
 cte("dist30", f"""SELECT *, n = max(n) OVER () AND intent_type = max(CASE WHEN n = mx THEN intent_type END) OVER () AS is_top FROM (
   SELECT *, max(n) OVER () AS mx, n / sum(n) OVER () AS share FROM (SELECT intent_type, count(*) AS n FROM qlog WHERE ts >= {_asof} - INTERVAL 30 DAY GROUP BY 1))""")
-oracle("intent_dist", "SELECT intent_type, n, round(share, 6) AS share, is_top, share > 0.5 AS dominant FROM dist30")
+oracle("intent_dist", "SELECT intent_type, n, round(share, 10) AS share, is_top, share > 0.5 AS dominant FROM dist30")
 
 
 def averages(days: int) -> str:
-    mean = lambda c: f"round(coalesce(avg({c}), 0), 6) AS avg_{c}"
+    mean = lambda c: f"round(coalesce(avg({c}), 0), 10) AS avg_{c}"
     return f"SELECT {mean('confidence')}, {mean('response_time_ms')}, {mean('intent_confidence')}, count(*) AS total_queries FROM qlog WHERE ts >= {_asof} - INTERVAL {days} DAY"
 
 
 oracle("avg_metrics", averages(7))
 oracle("metrics_by_range", " UNION ALL ".join(
-    f"SELECT {d} AS days, intent_type, count(*) AS total_queries, round(avg(confidence), 6) AS avg_confidence, round(avg(response_time_ms), 6) AS avg_response_time_ms, "
-    f"round(avg(intent_confidence), 6) AS avg_intent_confidence FROM qlog WHERE ts >= {_asof} - INTERVAL {d} DAY GROUP BY intent_type" for d in (7, 30, 90)))
-oracle("health", f"""SELECT total, round(rate, 6) AS helpful_rate, total_queries, CASE WHEN avg_response_time_ms < 1000 THEN 'excellent' WHEN avg_response_time_ms < 2000 THEN 'good' ELSE 'slow' END AS speed,
+    f"SELECT {d} AS days, intent_type, count(*) AS total_queries, round(avg(confidence), 10) AS avg_confidence, round(avg(response_time_ms), 10) AS avg_response_time_ms, "
+    f"round(avg(intent_confidence), 10) AS avg_intent_confidence FROM qlog WHERE ts >= {_asof} - INTERVAL {d} DAY GROUP BY intent_type" for d in (7, 30, 90)))
+oracle("health", f"""SELECT total, round(rate, 10) AS helpful_rate, total_queries, CASE WHEN avg_response_time_ms < 1000 THEN 'excellent' WHEN avg_response_time_ms < 2000 THEN 'good' ELSE 'slow' END AS speed,
   CASE WHEN avg_confidence > 0.8 THEN 'high' WHEN avg_confidence > 0.6 THEN 'good' ELSE 'low' END AS quality,
   CASE WHEN len(advice) > 0 THEN array_to_string(advice, '|') WHEN total_queries < 5 THEN 'not enough data' ELSE 'no issues' END AS recommendations FROM (
   SELECT *, list_filter([CASE WHEN total >= 5 AND rate < 0.5 THEN 'low helpful rate' END, CASE WHEN total >= 5 AND rate > 0.8 THEN 'high helpful rate' END,
     CASE WHEN avg_response_time_ms > 2000 THEN 'slow response times' END, CASE WHEN avg_confidence < 0.7 AND total_queries >= 10 THEN 'low confidence scores' END,
     CASE WHEN share > 0.5 THEN 'most queries are ' || intent_type END], lambda a: a IS NOT NULL) AS advice
   FROM (SELECT count(*) AS total, coalesce(count(*) FILTER (WHERE is_helpful) / count(*), 0) AS rate FROM votes), ({averages(30)}), (SELECT intent_type, share FROM dist30 WHERE is_top))""")
-oracle("feedback_insights", "SELECT intent_type, count(*) AS n, round(avg(confidence) FILTER (WHERE is_helpful), 6) AS avg_helpful_confidence FROM flat GROUP BY 1")
+oracle("feedback_insights", "SELECT intent_type, count(*) AS n, round(avg(confidence) FILTER (WHERE is_helpful), 10) AS avg_helpful_confidence FROM flat GROUP BY 1")
 oracle("helpful_rows", 'SELECT id, "timestamp", query FROM flat WHERE is_helpful')
 cte("last_votes", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, substr(answer, 1, 100) ORDER BY "timestamp" DESC, id DESC) AS nth FROM both_votes) WHERE nth = 1""")
 oracle("feedback_upsert", 'SELECT id, "timestamp", query, md5(answer) AS answer_md5, is_helpful FROM last_votes')
@@ -516,3 +516,16 @@ oracle("precision_at_k", """SELECT query_id, count(*) FILTER (WHERE a.label = b.
 oracle("intent_accuracy", """SELECT expected, predicted, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY expected), 6) AS share FROM (
   SELECT ['definition', 'reasoning', 'troubleshooting', 'comparison', 'lookup', 'lookup'][(conv_id + turn) % 6 + 1] AS expected, intent_type AS predicted FROM uq_intent) GROUP BY 1, 2""")
 oracle("grounding_rate", "SELECT count(*) AS n_answers, round(avg(CASE WHEN len(found) > 0 AND len(found) = n_valid THEN 1 ELSE 0 END), 6) AS grounded_share FROM checked")
+
+# --- streams ------------------------------------------------------------------------------------
+
+oracle("stream_log", """SELECT query_id, "user", intent_type, response_time_ms, strftime(dt, '%Y-%m-%d') AS dt FROM qlog""")
+_measures = "count(*) AS n, round(avg(confidence), 10) AS avg_confidence, round(avg(response_time_ms), 10) AS avg_response_time_ms"
+oracle("stream_daily", f"SELECT strftime(dt, '%Y-%m-%d %H:%M:%S') AS start, intent_type, {_measures} FROM qlog GROUP BY dt, intent_type")
+oracle("stream_sliding", f"""SELECT strftime(day, '%Y-%m-%d %H:%M:%S') AS start, intent_type, {_measures} FROM (
+  SELECT *, unnest([dt - CAST(i AS INTEGER) for i in range(7)]) AS day FROM qlog) GROUP BY day, intent_type""")
+oracle("stream_sessions", """SELECT "user", strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 24 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n_queries FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY "user" ORDER BY ts, query_id) AS session_no FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY "user" ORDER BY ts, query_id) < INTERVAL 24 HOUR THEN 0 ELSE 1 END AS fresh FROM qlog)) GROUP BY "user", session_no""")
+ORACLES["stream_validated"] = ORACLES["validated_build"]
+ORACLES["stream_index"] = ORACLES["index_append"]

@@ -25,6 +25,7 @@ from citadex.sources import feedback_files as ff
 from citadex.sources import glossary as gl
 from citadex.sources import index_store, reports
 from citadex.sources.documents import read_documents
+from citadex.streaming import log_streams as st
 
 ASOF = "2024-01-31"
 K = 10
@@ -748,3 +749,77 @@ def intent_accuracy(r):
 @query
 def grounding_rate(r):
     return ev.grounding_rate(_cited(r))
+
+
+# --- streams ------------------------------------------------------------------------------------
+
+LATE = "40 days"
+
+
+def _replayed(r: Roles, rows: DataFrame, closing: bool = True) -> DataFrame:
+    """The rows as a stream of a few files; a last row far ahead lets the watermark pass all others."""
+    path = scratch_path(r.spark, "arrivals")
+    rows.repartition(3, "query_id").write.parquet(path)
+    if closing:
+        last = rows.orderBy(F.col("ts").desc()).limit(1)
+        ahead = last.withColumns({"ts": F.col("ts") + F.expr("INTERVAL 400 DAYS"), "user": F.lit("closing"), "query_id": F.lit("closing")})
+        ahead.write.mode("append").parquet(path)
+    return st.follow(r.spark, path, rows.schema, 2)
+
+
+def _run(r: Roles, stream: DataFrame) -> DataFrame:
+    out = scratch_path(r.spark, "stream")
+    st.append_to(stream, out, scratch_path(r.spark, "state")).awaitTermination()
+    return r.spark.read.schema(stream.schema).parquet(out)
+
+
+@query
+def stream_log(r):
+    """Purchases arrive twice."""
+    twice = r.log().unionByName(r.log().where("intent_type = 'purchase'"))
+    out = scratch_path(r.spark, "log")
+    arrivals = _replayed(r, twice, closing=False)
+    st.append_to(st.deduplicated(arrivals, LATE), out, scratch_path(r.spark, "state"), "dt").awaitTermination()
+    return r.spark.read.parquet(out).select("query_id", "user", "intent_type", "response_time_ms", F.date_format("dt", "yyyy-MM-dd").alias("dt"))
+
+
+def _measured(df: DataFrame) -> DataFrame:
+    return df.where("start < '2025-01-01'").select(
+        text_of("start"), "intent_type", "n", F.round("avg_confidence", 10).alias("avg_confidence"), F.round("avg_response_time_ms", 10).alias("avg_response_time_ms")
+    )
+
+
+@query
+def stream_daily(r):
+    return _measured(_run(r, st.daily_metrics(_replayed(r, r.log()), LATE)))
+
+
+@query
+def stream_sliding(r):
+    return _measured(_run(r, st.sliding_metrics(_replayed(r, r.log()), LATE)))
+
+
+@query
+def stream_sessions(r):
+    out = _run(r, st.sessions(_replayed(r, r.log()), LATE)).where("user != 'closing'")
+    return out.select("user", text_of("start"), text_of("end"), "n_queries")
+
+
+@query
+def stream_validated(r):
+    out = scratch_path(r.spark, "validated")
+    votes = _replayed(r, r.feedback(), closing=False)
+    st.collect_votes(votes, r.log(), out, scratch_path(r.spark, "state")).awaitTermination()
+    return st.read_validated(r.spark, out).select(
+        "query_hash", "query_text", "answer_text", flat("sources"), "helpful_count", "unhelpful_count", text_of("first_validated"), text_of("last_used"), "is_active"
+    )
+
+
+@query
+def stream_index(r):
+    arrivals, out = scratch_path(r.spark, "arrivals"), scratch_path(r.spark, "index")
+    r.nodes().write.partitionBy("content_type").parquet(arrivals)
+    stream = st.follow(r.spark, arrivals, r.nodes().schema, 8)
+    st.grow_index(stream, out, scratch_path(r.spark, "state")).awaitTermination()
+    index = index_store.read_index(r.spark, f"{out}/part=*").lexical
+    return index.weighted_terms().select("term", "df", F.round("idf", 6).alias("idf"))

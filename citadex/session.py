@@ -22,6 +22,7 @@ def get_session(app: str = "citadex", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     }
     builder = SparkSession.builder.appName(app)
     if master:

@@ -14,6 +14,8 @@ BLOCK_ROWS = 4096
 TERM_SHARDS = 32
 # Digits kept in scores, before ranking, so that equal scores are ties.
 SCORE_DIGITS = 6
+# Digits kept in averages and shares.
+RATIO_DIGITS = 10
 
 # --- Fixed values: word lists -------------------------------------------------------------------
 

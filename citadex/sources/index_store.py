@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citadex.operators.lexical import LexicalIndex, postings_of, stats_of
+from citadex.operators.lexical import LexicalIndex, postings_of, stats_of, terms_of
 
 
 @dataclass(frozen=True)
@@ -31,35 +32,35 @@ def _write_parts(nodes: DataFrame, path: str, mode: str) -> None:
 
 def write_index(nodes: DataFrame, path: str, vectors: DataFrame | None = None) -> None:
     """Build and write an index, in place of whatever was there."""
-    spark = nodes.sparkSession
     _write_parts(nodes, path, "overwrite")
-    counts = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
-    counts.write.mode("overwrite").parquet(f"{path}/terms")
+    postings = nodes.sparkSession.read.parquet(f"{path}/postings")
+    terms_of(postings).write.mode("overwrite").parquet(f"{path}/terms")
     if vectors is not None:
         vectors.select("node_id", "embedding").write.mode("overwrite").parquet(f"{path}/vectors")
 
 
-def append_nodes(nodes: DataFrame, path: str, vectors: DataFrame | None = None) -> None:
+def append_nodes(nodes: DataFrame, path: str, vectors: DataFrame | None = None, mode: str = "append") -> None:
     """Add new nodes: their postings and their own term counts are appended.
 
-    Counts of a term from several appends are added up by `read_index`, so an append never
+    Counts of a term from several appends are added up when the index is opened, so an append never
     rewrites what is there.
     """
-    _write_parts(nodes, path, "append")
-    counts = postings_of(nodes).groupBy("term").agg(F.count("*").alias("df"))
-    counts.write.mode("append").parquet(f"{path}/terms")
+    _write_parts(nodes, path, mode)
+    terms_of(postings_of(nodes)).write.mode(mode).parquet(f"{path}/terms")
     if vectors is not None:
-        vectors.select("node_id", "embedding").write.mode("append").parquet(f"{path}/vectors")
+        vectors.select("node_id", "embedding").write.mode(mode).parquet(f"{path}/vectors")
 
 
 def read_index(spark: SparkSession, path: str, with_vectors: bool = False) -> StoredIndex:
-    """Open a persisted index; a missing one raises an error that names the path."""
+    """Open a persisted index; a missing one raises an error that names the path.
+
+    `path` may hold a glob, such as `index/part=*`, to open parts written by a stream as one index.
+    """
+    names = ("nodes", "postings", "terms") + (("vectors",) if with_vectors else ())
     try:
-        nodes = spark.read.parquet(f"{path}/nodes")
-        postings = spark.read.parquet(f"{path}/postings")
-        counts = spark.read.parquet(f"{path}/terms")
-        vectors = spark.read.parquet(f"{path}/vectors") if with_vectors else None
-    except Exception as error:
+        tables = {name: spark.read.parquet(f"{path}/{name}") for name in names}
+    except AnalysisException as error:
         raise FileNotFoundError(f"no index at {path}: write one with write_index first") from error
-    terms = counts.groupBy("term").agg(F.sum("df").alias("df"))
-    return StoredIndex(nodes, LexicalIndex(postings, terms, stats_of(postings, terms)), vectors)
+    terms = tables["terms"].groupBy("term").agg(F.sum("df").alias("df"))
+    lexical = LexicalIndex(tables["postings"], terms, stats_of(tables["postings"], terms))
+    return StoredIndex(tables["nodes"], lexical, tables.get("vectors"))
