@@ -5,21 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citadex.functions import scoring as sc
 from citadex.functions import text as tx
 from citadex.operators.fusion import ranked
 from citadex.session import measured_bytes, small_enough, staged
-from citadex.settings import TERM_SHARDS
+from citadex.settings import PRUNE_PAIRS, TERM_SHARDS
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings(node_id, dl, term, tf, opens); terms(term, df); stats(n, avgdl, mean_idf), one row.
+    """postings(node_id, dl, term, tf, opens); terms(term, df, max_tf, min_dl); stats, one row.
 
-    `opens` is true for the one posting of a node that holds its first token, so that nodes can be
+    stats(n, avgdl, mean_idf). `max_tf` and `min_dl` bound what a term can add to any score. `opens` is true for the one posting of a node that holds its first token, so that nodes can be
     counted, and their lengths averaged, from the postings alone.
     """
 
@@ -31,7 +31,8 @@ class LexicalIndex:
         """Idf per term, with the floor for terms held by more than half of the nodes."""
         stats = _row(self.stats)
         idf = sc.bm25_floored_idf(stats["n"], F.col("df"), stats["mean_idf"])
-        return self.terms.select("term", "df", idf.alias("idf"))
+        peak = sc.bm25_term_weight(F.col("max_tf"), F.col("min_dl"), stats["avgdl"])
+        return self.terms.select("term", "df", idf.alias("idf"), peak.alias("peak"))
 
 
 def _row(stats: DataFrame):
@@ -55,7 +56,9 @@ def postings_of(nodes: DataFrame) -> DataFrame:
 
 
 def terms_of(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
+    return postings.groupBy("term").agg(
+        F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")
+    )
 
 
 def stats_of(postings: DataFrame, terms: DataFrame) -> DataFrame:
@@ -73,7 +76,7 @@ def build_lexical_index(nodes: DataFrame) -> LexicalIndex:
     """
     postings = staged(postings_of(nodes), "postings")
     terms = staged(terms_of(postings), "terms")
-    return LexicalIndex(postings, terms, stats_of(postings, terms))
+    return LexicalIndex(postings, terms, staged(stats_of(postings, terms), "stats"))
 
 
 def query_terms(queries: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
@@ -83,6 +86,45 @@ def query_terms(queries: DataFrame, keys: Sequence[str], text: str) -> DataFrame
     )
 
 
+def _met(postings: DataFrame, weights: DataFrame, broadcast: bool) -> DataFrame:
+    """Postings beside the weights of their term, one row per question that asks for the term.
+
+    Small weights are broadcast. Else both sides meet on (term, shard), which splits the posting
+    list of a frequent term over `TERM_SHARDS` tasks.
+    """
+    if broadcast:
+        return postings.join(F.broadcast(weights), "term")
+    shards = F.sequence(F.lit(0).cast("long"), F.lit(TERM_SHARDS - 1).cast("long"))
+    shard = F.pmod(F.xxhash64("node_id"), F.lit(TERM_SHARDS))
+    return postings.withColumn("shard", shard).join(weights.withColumn("shard", F.explode(shards)), ["term", "shard"])
+
+
+def _candidates(
+    postings: DataFrame, weights: DataFrame, score: Column, k: int, keys: Sequence[str], broadcast: bool
+) -> DataFrame:
+    """Every (question, node) that can be among the `k` best, without enumerating frequent terms.
+
+    The rarest terms of a question give some scores, of which the k-th is a floor for the final
+    k-th score: leaving terms out can only lower a score. The terms that together cannot reach
+    that floor need not be enumerated: a node that holds none but these is out. So a term found in
+    most nodes and most questions does not pair all of them. Nothing is lost, see the test against
+    brute force.
+    """
+    rare = Window.partitionBy(*keys).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = weights.withColumn("_before", F.coalesce(F.sum("df").over(rare), F.lit(0))).where(F.col("_before") < 4 * k)
+    sampled = _met(postings, seeds.drop("_before"), broadcast).groupBy(*keys, "node_id").agg(F.sum(score).alias("score"))
+    floors = (
+        ranked(sampled, keys).where(F.col("rank") == k).select(*keys, F.col("score").alias("_floor"))
+    )
+    weak = Window.partitionBy(*keys).orderBy(F.col("weight") * F.col("peak"), "term")
+    reach = F.sum(F.col("weight") * F.col("peak")).over(weak)
+    strong = (
+        weights.withColumn("_reach", reach).join(floors, list(keys), "left")
+        .where(F.col("_floor").isNull() | (F.col("_reach") >= F.col("_floor") - 1e-4))
+    )
+    return _met(postings, strong.select(*keys, "term"), broadcast).select(*keys, "node_id").distinct()
+
+
 def bm25_search(
     queries: DataFrame,
     index: LexicalIndex,
@@ -90,35 +132,36 @@ def bm25_search(
     keys: Sequence[str] = ("query_id",),
     text: str = "query",
     broadcast: bool | None = None,
+    prune: bool | None = None,
 ) -> DataFrame:
-    """The `k` best nodes per question: `score` (rounded) and `rank`.
+    """The `k` best nodes per question: `score` (rounded) and `rank`; exact in all four ways to run.
 
     Question terms whose measured size is within the limit are broadcast: postings are cut down to
     those terms, hashed by node, and then scored and cut to `k` inside each partition, so that only
-    `k` rows per question and partition are shuffled. Beyond the limit, terms and postings meet on
-    (term, shard), which splits the posting list of a frequent term over `TERM_SHARDS` tasks.
+    `k` rows per question and partition are shuffled. When the pairs of question term and node may
+    be too many to enumerate, candidates are found first (`_candidates`), and only they are scored.
     """
+    keys = list(keys)
     terms = query_terms(queries, keys, text)
-    if broadcast is None:
-        broadcast = small_enough(4 * measured_bytes(queries, *keys, text))
-    if broadcast:
-        terms = F.broadcast(terms)
-    weights = index.weighted_terms().join(terms, "term").select(
-        *keys, "term", (F.col("qtf") * F.col("idf")).alias("weight")
+    if broadcast is None or prune is None:
+        n_bytes = measured_bytes(queries, *keys, text)
+        broadcast = small_enough(4 * n_bytes) if broadcast is None else broadcast
+        if prune is None:  # a token takes two bytes or more, and meets each node once at most
+            prune = n_bytes // 2 * index.stats.first()["n"] > PRUNE_PAIRS
+    weights = index.weighted_terms().join(F.broadcast(terms) if broadcast else terms, "term").select(
+        *keys, "term", "df", "peak", (F.col("qtf") * F.col("idf")).alias("weight")
     )
+    score = F.col("weight") * sc.bm25_term_weight(F.col("tf"), F.col("dl"), _row(index.stats)["avgdl"])
+    postings = index.postings.select("node_id", "term", "tf", "dl")
     if broadcast:
         wanted = F.broadcast(terms.select("term").distinct())
-        held = index.postings.join(wanted, "term", "left_semi").repartition("node_id")
-        pairs = held.join(F.broadcast(weights), "term")
+        postings = postings.join(wanted, "term", "left_semi").repartition("node_id")
+    if prune:
+        found = _candidates(postings, weights, score, k, keys, broadcast)
+        asked = weights.select(*keys, "term", "weight")
+        asked = found.join(F.broadcast(asked) if broadcast else asked, keys)
+        pairs = asked.join(postings, ["node_id", "term"])
     else:
-        shard = F.pmod(F.xxhash64("node_id"), F.lit(TERM_SHARDS))
-        spread = weights.withColumn(
-            "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TERM_SHARDS - 1).cast("long")))
-        )
-        pairs = index.postings.withColumn("shard", shard).join(spread, ["term", "shard"])
-    stats = _row(index.stats)
-    part = F.col("weight") * sc.bm25_term_weight(F.col("tf"), F.col("dl"), stats["avgdl"])
-    scored = (
-        pairs.groupBy(*keys, "node_id").agg(sc.rounded(F.sum(part)).alias("score")).where("score > 0")
-    )
+        pairs = _met(postings, weights.select(*keys, "term", "weight"), broadcast)
+    scored = pairs.groupBy(*keys, "node_id").agg(sc.rounded(F.sum(score)).alias("score")).where("score > 0")
     return ranked(scored, keys).where(F.col("rank") <= k)

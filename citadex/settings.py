@@ -12,6 +12,8 @@ BROADCAST_LIMIT_BYTES = 64 << 20
 BLOCK_ROWS = 4096
 # Parts a term's posting list is split into when the query side is too large to broadcast.
 TERM_SHARDS = 32
+# Bound on (question term, node) pairs beyond which a search first narrows down its candidates.
+PRUNE_PAIRS = 10_000_000_000
 # Digits kept in scores, before ranking, so that equal scores are ties.
 SCORE_DIGITS = 6
 # Digits kept in averages and shares.

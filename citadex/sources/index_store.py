@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citadex.operators.lexical import LexicalIndex, postings_of, stats_of, terms_of
+from citadex.session import staged
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,9 @@ def read_index(spark: SparkSession, path: str, with_vectors: bool = False) -> St
         tables = {name: spark.read.parquet(f"{path}/{name}") for name in names}
     except AnalysisException as error:
         raise FileNotFoundError(f"no index at {path}: write one with write_index first") from error
-    terms = tables["terms"].groupBy("term").agg(F.sum("df").alias("df"))
-    lexical = LexicalIndex(tables["postings"], terms, stats_of(tables["postings"], terms))
+    terms = tables["terms"].groupBy("term").agg(
+        F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl")
+    )
+    stats = staged(stats_of(tables["postings"], terms), "stats")
+    lexical = LexicalIndex(tables["postings"], terms, stats)
     return StoredIndex(tables["nodes"], lexical, tables.get("vectors"))
