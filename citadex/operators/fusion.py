@@ -31,15 +31,26 @@ def normalise(hits: DataFrame, keys: Sequence[str] = KEY, into: str = "score") -
 
 
 def fuse(dense: DataFrame, bm25: DataFrame, alpha: float | Column = 0.5, keys: Sequence[str] = KEY) -> DataFrame:
-    """Weighted sum of both normalised lists over the union of their nodes."""
+    """Weighted sum of both normalised lists over the union of their nodes; a missing side counts 0.
+
+    Both lists are stacked and hashed by question once. Maxima, the pairing of nodes and any later
+    ranking by question all work inside that partitioning, where a full outer join would need two
+    more shuffles.
+    """
     alpha = F.lit(alpha) if isinstance(alpha, (int, float)) else alpha
-    left = normalise(dense, keys, "dense").select(*keys, "node_id", "dense")
-    right = normalise(bm25, keys, "bm25").select(*keys, "node_id", "bm25")
-    both = left.join(right, [*keys, "node_id"], "full_outer")
-    a, b = F.coalesce("dense", F.lit(0.0)), F.coalesce("bm25", F.lit(0.0))
-    return both.select(
-        *keys, "node_id", a.alias("dense"), b.alias("bm25"), sc.rounded(alpha * a + (1 - alpha) * b).alias("score")
+    none = F.lit(None).cast("double")
+    stacked = dense.select(*keys, "node_id", F.col("score").alias("dense"), none.alias("bm25")).unionByName(
+        bm25.select(*keys, "node_id", none.alias("dense"), F.col("score").alias("bm25"))
+    ).repartition(*keys)
+    for side in ("dense", "bm25"):
+        best = F.max(side).over(Window.partitionBy(*keys))
+        stacked = stacked.withColumn(side, F.when(best > 0, F.col(side) / best))
+    zero = F.lit(0.0)
+    both = stacked.groupBy(*keys, "node_id").agg(
+        F.coalesce(F.max("dense"), zero).alias("dense"), F.coalesce(F.max("bm25"), zero).alias("bm25")
     )
+    score = alpha * F.col("dense") + (1 - alpha) * F.col("bm25")
+    return both.withColumn("score", sc.rounded(score))
 
 
 def filter_meta(df: DataFrame, filters: Mapping[str, object]) -> DataFrame:
