@@ -30,14 +30,19 @@ def normalise(hits: DataFrame, keys: Sequence[str] = KEY, into: str = "score") -
     return hits.withColumn(into, F.when(best > 0, F.col("score") / best).otherwise(F.lit(0.0)))
 
 
-def fuse(dense: DataFrame, bm25: DataFrame, alpha: float | Column = 0.5, keys: Sequence[str] = KEY) -> DataFrame:
+def weighted(alpha: float | Column) -> Column:
+    """Score of a fused row: `alpha` for the dense side, the rest for BM25."""
+    alpha = alpha if isinstance(alpha, Column) else F.lit(alpha)
+    return sc.rounded(alpha * F.col("dense") + (1 - alpha) * F.col("bm25"))
+
+
+def fuse(dense: DataFrame, bm25: DataFrame, alpha: float = 0.5, keys: Sequence[str] = KEY) -> DataFrame:
     """Weighted sum of both normalised lists over the union of their nodes; a missing side counts 0.
 
     Both lists are stacked and hashed by question once. Maxima, the pairing of nodes and any later
     ranking by question all work inside that partitioning, where a full outer join would need two
     more shuffles.
     """
-    alpha = F.lit(alpha) if isinstance(alpha, (int, float)) else alpha
     none = F.lit(None).cast("double")
     stacked = dense.select(*keys, "node_id", F.col("score").alias("dense"), none.alias("bm25")).unionByName(
         bm25.select(*keys, "node_id", none.alias("dense"), F.col("score").alias("bm25"))
@@ -49,8 +54,7 @@ def fuse(dense: DataFrame, bm25: DataFrame, alpha: float | Column = 0.5, keys: S
     both = stacked.groupBy(*keys, "node_id").agg(
         F.coalesce(F.max("dense"), zero).alias("dense"), F.coalesce(F.max("bm25"), zero).alias("bm25")
     )
-    score = alpha * F.col("dense") + (1 - alpha) * F.col("bm25")
-    return both.withColumn("score", sc.rounded(score))
+    return both.withColumn("score", weighted(alpha))
 
 
 def filter_meta(df: DataFrame, filters: Mapping[str, object]) -> DataFrame:
@@ -116,7 +120,7 @@ def dedupe_hits(hits: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     return ranked(best, keys)
 
 
-def dynamic_window(hits: DataFrame, k: int, keys: Sequence[str] = KEY) -> DataFrame:
+def dynamic_window(hits: DataFrame, k: int | Column, keys: Sequence[str] = KEY) -> DataFrame:
     """Hits not half a deviation below the mean, at least `k` and at most `2k`, per question."""
     all_rows = Window.partitionBy(*keys)
     floor = sc.rounded(F.avg("score").over(all_rows) - 0.5 * F.stddev_pop("score").over(all_rows))

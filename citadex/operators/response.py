@@ -104,7 +104,9 @@ def confidence(context: DataFrame, queries: DataFrame) -> DataFrame:
     )
     value = 0.5 * F.col("_relevance") + 0.3 * F.col("intent_confidence") + 0.2 * F.least(F.col("_files") / 3, F.lit(1.0))
     return queries.select("query_id", "intent_confidence").join(seen, "query_id", "left").select(
-        "query_id", F.coalesce(F.round(F.least(value, F.lit(1.0)), 6), F.lit(0.0)).alias("confidence")
+        "query_id",
+        # `least` skips nulls, so the question without context is told apart first
+        F.when(F.col("_files").isNull(), 0.0).otherwise(F.round(F.least(value, F.lit(1.0)), 6)).alias("confidence"),
     )
 
 

@@ -121,8 +121,8 @@ def parse_intent_json(df: DataFrame, reply: str = "reply", query: str = "query")
 def glossary_hits(queries: DataFrame, glossary: DataFrame, k: int = 5, query: str = "query") -> DataFrame:
     """The `k` best glossary entries of each question, by the same ranking as for documents."""
     nodes = glossary.select(
-        F.col("entry_id").alias("node_id"), F.concat_ws(": ", "term", "definition").alias("text")
-    )
+        F.col("entry_id").alias("node_id"), F.concat_ws(" ", "term", "definition").alias("text")
+    )  # no colon: tokens keep their punctuation, and `term:` would not match `term`
     hits = bm25_search(queries, build_lexical_index(nodes), k, text=query)
     return hits.withColumnRenamed("node_id", "entry_id").join(glossary, "entry_id")
 

@@ -12,7 +12,7 @@ from citadex.operators import understanding as un
 from citadex.operators.dense import dense_search
 from citadex.operators.lexical import LexicalIndex, bm25_search
 from citadex.operators.response import respond
-from citadex.session import staged
+from citadex.session import broadcast_within, staged
 from citadex.settings import AnswerOptions
 
 
@@ -40,36 +40,52 @@ def retrieve(
     All wordings of all questions are searched in one job. Without an encoder the questions carry
     their own `embedding`, which then serves every wording and is searched once per question. Lists
     of `4 * top_k` are fetched, `2 * top_k` survive the re-ranking and `top_k` per wording go on.
+    Columns `top_k` and `alpha` of the questions, where they are set, win over the options.
     """
-    k, keys = options.top_k, ("query_id", "variant_ix")
+    keys = ("query_id", "variant_ix")
+    per_question = [c for c in ("top_k", "alpha") if c in questions.columns]
+    most = options.top_k
+    if "top_k" in per_question:
+        most = max(most, questions.agg(F.max("top_k")).first()[0] or 0)
     n_rows = questions.count() * options.max_variations  # bounds what may be broadcast below
+    own = questions.select(
+        "query_id", *[F.coalesce(F.col(c), F.lit(getattr(options, c))).alias(f"_{c}") for c in per_question]
+    )
+    k = F.col("_top_k") if "top_k" in per_question else F.lit(options.top_k)
+    alpha = F.col("_alpha") if "alpha" in per_question else F.lit(options.alpha)
+
+    def with_options(rows: DataFrame) -> DataFrame:
+        return rows.join(broadcast_within(own, n_rows * 32), "query_id") if per_question else rows
+
     worded = un.rewrite_queries(questions, options.max_variations, "augmented_query")
     if options.metadata_filters and options.filter_mode == "pre":
         allowed = fu.filter_meta(nodes, options.metadata_filters).select("node_id")
         vectors = vectors.join(allowed, "node_id", "left_semi")
         index = LexicalIndex(index.postings.join(allowed, "node_id", "left_semi"), index.terms, index.stats)
-    sparse = bm25_search(worded, index, 4 * k, keys, text="variant")
+    sparse = with_options(bm25_search(worded, index, 4 * most, keys, text="variant")).where(F.col("rank") <= 4 * k)
     if encoder is None:
-        near = dense_search(questions, vectors, 4 * k, exclude_self=exclude_self)
+        near = dense_search(questions, vectors, 4 * most, exclude_self=exclude_self)
         dense = worded.select(*keys).join(near, "query_id")
     else:
-        dense = dense_search(worded.withColumn("embedding", encoder(F.col("variant"))), vectors, 4 * k, keys)
-    hits = fu.ranked(fu.fuse(dense, sparse, options.alpha, keys), keys)
-    rows = fu.attach_nodes(hits, nodes, 8 * k * n_rows)
+        dense = dense_search(worded.withColumn("embedding", encoder(F.col("variant"))), vectors, 4 * most, keys)
+    dense = with_options(dense).where(F.col("rank") <= 4 * k)
+    hits = with_options(fu.fuse(dense, sparse, keys=keys))
+    hits = fu.ranked(hits.withColumn("score", fu.weighted(alpha)), keys)
+    rows = fu.attach_nodes(hits, nodes, 8 * most * n_rows)
     if options.metadata_filters:
         rows = fu.filter_meta(rows, options.metadata_filters)
+    rows = fu.ranked(rows.drop("rank"), keys).where(F.col("rank") <= 4 * k)
     if scorer is not None:
-        rows = rows.join(worded.select(*keys, F.col("variant").alias("query")), list(keys))
-        rows = fu.rerank(rows, 4 * k, scorer, keys).where(F.col("rank") <= 2 * k).drop("query")
-    else:
-        rows = fu.ranked(rows.drop("rank"), keys).where(F.col("rank") <= 2 * k)
+        asked = worded.select(*keys, F.col("variant").alias("query"))
+        rows = fu.rerank(rows.join(asked, list(keys)), None, scorer, keys)
+    rows = rows.where(F.col("rank") <= 2 * k)
     if evaluations is not None:
         rows = fu.blend_scores(
             rows, evaluations, options.min_evaluation_confidence, options.max_evaluated, keys
         )
-    found = fu.dedupe_hits(rows.where(F.col("rank") <= k))
+    found = with_options(fu.dedupe_hits(rows.where(F.col("rank") <= k)))
     kept = fu.dynamic_window(found, k) if options.dynamic_windowing else found.where(F.col("rank") <= k)
-    return fu.attach_nodes(kept, nodes, 2 * k * n_rows)
+    return fu.attach_nodes(kept.drop("_top_k", "_alpha"), nodes, 2 * most * n_rows)
 
 
 def answer_queries(

@@ -210,7 +210,7 @@ cte("image_rows", """SELECT url AS source_path, CAST(page_id % 50 AS INTEGER) AS
 # --- shared steps -------------------------------------------------------------------------------
 
 index_ctes("ix", "nodes")
-cte("gloss_nodes", "SELECT entry_id AS node_id, term || ': ' || definition AS text FROM gloss")
+cte("gloss_nodes", "SELECT entry_id AS node_id, term || ' ' || definition AS text FROM gloss")
 index_ctes("gx", "gloss_nodes")
 cte("bm10", bm25("ix", "queries", 10))
 cte("bm20", bm25("ix", "queries", 20))
@@ -231,7 +231,7 @@ cte("extracted", f"""SELECT q.query_id, coalesce(a.answer, 'The provided context
 cte("sources_", """SELECT query_id, source_no, '[' || CAST(source_no AS VARCHAR) || ']' AS id, file_name AS name,
   array_to_string(list_transform(list_sort(list(DISTINCT CAST(page_label AS INTEGER))), lambda x: CAST(x AS VARCHAR)), ', ') AS pages,
   arg_min(content_type, rank) AS content_type FROM numbered GROUP BY query_id, source_no, file_name""")
-cte("conf", """SELECT query_id, coalesce(round(least(0.5e0 * relevance + 0.3e0 * intent_confidence + 0.2e0 * least(files / 3e0, 1e0), 1e0), 6), 0e0) AS confidence
+cte("conf", """SELECT query_id, CASE WHEN files IS NULL THEN 0e0 ELSE round(least(0.5e0 * relevance + 0.3e0 * intent_confidence + 0.2e0 * least(files / 3e0, 1e0), 1e0), 6) END AS confidence
   FROM asked LEFT JOIN (SELECT query_id, avg(score) AS relevance, count(DISTINCT file_name) AS files FROM ctx GROUP BY 1) USING (query_id)""")
 cte("reasons", """SELECT query_id, CASE WHEN n IS NULL THEN 'No relevant documents were retrieved for this query.' ELSE
   printf('Retrieved %d relevant document chunks using hybrid search (dense embeddings + BM25).', n) || ' ' ||
