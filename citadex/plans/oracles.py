@@ -373,7 +373,8 @@ oracle("hits_dedupe", ranked("SELECT query_id, node_id, max(score) AS score, min
 oracle("dynamic_window", f"SELECT query_id, node_id, score, rank FROM ({windowed('SELECT * FROM fused', 5)})")
 oracle("fixed_topk", f"SELECT query_id, node_id, score, rank FROM ({ranked('SELECT * FROM fused', 'query_id', 5)})")
 cte("worded_dense", "SELECT w.query_id, w.variant_ix, d.node_id, d.score FROM worded w JOIN dn20 d USING (query_id)")
-cte("worded_fused", ranked(fusion("worded_dense", "worded_hits", "query_id, variant_ix"), "query_id, variant_ix"))
+cte("worded_both", fusion("worded_dense", "worded_hits", "query_id, variant_ix"))
+cte("worded_fused", ranked("SELECT b.* FROM worded_both b JOIN nodes USING (node_id)", "query_id, variant_ix"))
 cte("reranked", ranked(f"""SELECT f.query_id, f.variant_ix, f.node_id, CASE WHEN count(*) OVER (PARTITION BY f.query_id, f.variant_ix) > 1 THEN {coverage('w.variant', 'n.text')} ELSE f.score END AS score
   FROM worded_fused f JOIN nodes n USING (node_id) JOIN worded w USING (query_id, variant_ix) WHERE f.rank <= 20""", "query_id, variant_ix", 5))
 cte("deduped", "SELECT query_id, node_id, max(score) AS score, min(variant_ix) AS variant_ix FROM reranked GROUP BY 1, 2")
