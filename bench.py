@@ -26,7 +26,7 @@ from citadex.plans.queries import ASOF
 from citadex.plans.roles import Roles
 from citadex.session import get_session, scratch_path, staged
 from citadex.settings import AnswerOptions
-from citadex.sources.index_store import read_index, write_index
+from citadex.sources.index_store import StoredIndex, read_index, write_index
 
 
 def run(df: DataFrame) -> None:
@@ -43,28 +43,29 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     r = Roles(spark, folder)
     paths: list[str] = []
+    index: list[StoredIndex] = []
 
     def build() -> None:
         paths.append(scratch_path(spark, "bench-index"))
         write_index(r.nodes(), paths[-1], r.vectors())
 
-    def opened():
-        return read_index(spark, paths[-1], with_vectors=True)
+    def load() -> None:
+        index[:] = [read_index(spark, paths[-1], with_vectors=True)]
 
     def bm25(k: int = 10) -> DataFrame:
-        return bm25_search(r.queries(), opened().lexical, k)
+        return bm25_search(r.queries(), index[0].lexical, k)
 
     def dense(k: int = 10) -> DataFrame:
-        return dense_search(r.query_vectors(), opened().vectors, k, exclude_self=True)
+        return dense_search(r.query_vectors(), index[0].vectors, k, exclude_self=True)
 
     def answers() -> DataFrame:
-        index = opened()
-        asked = answering.understand(r.query_vectors())
-        context = answering.retrieve(asked, index.nodes, index.lexical, index.vectors, AnswerOptions(), exclude_self=True)
+        asked, held = answering.understand(r.query_vectors()), index[0]
+        context = answering.retrieve(asked, held.nodes, held.lexical, held.vectors, AnswerOptions(), exclude_self=True)
         return respond(staged(context, "context"), asked.drop("embedding", "augmented_query"))
 
     steps: dict[str, Callable[[], None]] = {
         "index_build": build,
+        "index_load": load,
         "bm25_topk": lambda: run(bm25()),
         "dense_topk": lambda: run(dense()),
         "hybrid_fuse": lambda: run(fu.top_k(fu.fuse(dense(20), bm25(20)), 10)),

@@ -86,11 +86,13 @@ def rerank(
     """Replace the score of (query, text) rows by the scorer's, when a question has several rows.
 
     The fused score stays in `fused`; `limit` keeps that many best rows by the fused score first.
+    Pairs are scored where they are, and both texts are dropped before the rows are shuffled.
     """
     if limit is not None:
         candidates = candidates.where(F.col("rank") <= limit)
     several = F.count("*").over(Window.partitionBy(*keys)) > 1
-    fresh = candidates.withColumn("_pair", sc.rounded(scorer(F.col("query"), F.col("text")).cast("double")))
+    pair = sc.rounded(scorer(F.col("query"), F.col("text")).cast("double"))
+    fresh = candidates.withColumn("_pair", pair).drop("query", "text")
     return ranked(
         fresh.withColumnRenamed("score", "fused")
         .withColumn("score", F.when(several, F.col("_pair")).otherwise(F.col("fused")))

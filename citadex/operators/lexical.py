@@ -133,6 +133,7 @@ def bm25_search(
     text: str = "query",
     broadcast: bool | None = None,
     prune: bool | None = None,
+    n_bytes: int | None = None,
 ) -> DataFrame:
     """The `k` best nodes per question: `score` (rounded) and `rank`; exact in all four ways to run.
 
@@ -140,11 +141,12 @@ def bm25_search(
     those terms, hashed by node, and then scored and cut to `k` inside each partition, so that only
     `k` rows per question and partition are shuffled. When the pairs of question term and node may
     be too many to enumerate, candidates are found first (`_candidates`), and only they are scored.
+    `n_bytes` is the size of the questions, where the caller has measured it.
     """
     keys = list(keys)
     terms = query_terms(queries, keys, text)
     if broadcast is None or prune is None:
-        n_bytes = measured_bytes(queries, *keys, text)
+        n_bytes = measured_bytes(queries, *keys, text) if n_bytes is None else n_bytes
         broadcast = small_enough(4 * n_bytes) if broadcast is None else broadcast
         if prune is None:  # a token takes two bytes or more, and meets each node once at most
             prune = n_bytes // 2 * index.stats.first()["n"] > PRUNE_PAIRS

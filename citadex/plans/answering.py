@@ -12,7 +12,7 @@ from citadex.operators import understanding as un
 from citadex.operators.dense import dense_search
 from citadex.operators.lexical import LexicalIndex, bm25_search
 from citadex.operators.response import respond
-from citadex.session import broadcast_within, staged
+from citadex.session import broadcast_within, measured_bytes, staged
 from citadex.settings import AnswerOptions
 
 
@@ -62,7 +62,8 @@ def retrieve(
         allowed = fu.filter_meta(nodes, options.metadata_filters).select("node_id")
         vectors = vectors.join(allowed, "node_id", "left_semi")
         index = LexicalIndex(index.postings.join(allowed, "node_id", "left_semi"), index.terms, index.stats)
-    sparse = with_options(bm25_search(worded, index, 4 * most, keys, text="variant")).where(F.col("rank") <= 4 * k)
+    n_bytes = measured_bytes(worded, *keys, "variant")
+    sparse = with_options(bm25_search(worded, index, 4 * most, keys, text="variant", n_bytes=n_bytes)).where(F.col("rank") <= 4 * k)
     if encoder is None:
         near = dense_search(questions, vectors, 4 * most, exclude_self=exclude_self)
         dense = worded.select(*keys).join(near, "query_id")
@@ -70,14 +71,14 @@ def retrieve(
         dense = dense_search(worded.withColumn("embedding", encoder(F.col("variant"))), vectors, 4 * most, keys)
     dense = with_options(dense).where(F.col("rank") <= 4 * k)
     hits = with_options(fu.fuse(dense, sparse, keys=keys))
-    hits = fu.ranked(hits.withColumn("score", fu.weighted(alpha)), keys)
-    rows = fu.attach_nodes(hits, nodes, 8 * most * n_rows)
-    if options.metadata_filters:
-        rows = fu.filter_meta(rows, options.metadata_filters)
-    rows = fu.ranked(rows.drop("rank"), keys).where(F.col("rank") <= 4 * k)
+    hits = hits.withColumn("score", fu.weighted(alpha))
+    narrow = nodes.select("node_id", *options.metadata_filters)
+    rows = fu.filter_meta(fu.attach_nodes(hits, narrow, 8 * most * n_rows), options.metadata_filters)
+    rows = fu.ranked(rows, keys).where(F.col("rank") <= 4 * k)
     if scorer is not None:
-        asked = worded.select(*keys, F.col("variant").alias("query"))
-        rows = fu.rerank(rows.join(asked, list(keys)), None, scorer, keys)
+        asked = broadcast_within(worded.select(*keys, F.col("variant").alias("query")), n_bytes)
+        pairs = fu.attach_nodes(rows, nodes.select("node_id", "text"), 4 * most * n_rows).join(asked, list(keys))
+        rows = fu.rerank(pairs, None, scorer, keys)
     rows = rows.where(F.col("rank") <= 2 * k)
     if evaluations is not None:
         rows = fu.blend_scores(
