@@ -80,7 +80,10 @@ def average_metrics(log: DataFrame, days: int, asof: str) -> DataFrame:
 
 
 def metrics_by_range(log: DataFrame, asof: str, ranges: Sequence[int] = METRIC_RANGES) -> DataFrame:
-    """Averages per intent for several ranges from one scan: days are summed first, then shared out."""
+    """Averages per intent for several ranges from one scan: days are summed first, then shared out.
+
+    Ranges are whole days, back from the day `asof`.
+    """
     measures = ("confidence", "response_time_ms", "intent_confidence")
     longest = _since(log, max(ranges), asof)
     age = F.ceil(F.date_diff(F.lit(asof).cast("date"), F.col("dt")))
