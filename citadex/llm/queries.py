@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from public_tokenizers import path as tokenizer_path
+
 from citadex.llm.common import fold_of, table
+from citadex.llm.decontaminate import contamination, find_items
+from citadex.llm.packing import pack
 from citadex.llm.url_filter import UrlRules, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +47,32 @@ SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.action, CASE WHEN list_has_
   ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts p LEFT JOIN best b ON b.page_id = p.page_id
 """
+
+
+@query
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item against every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return contamination(find_items(docs, table(spark, folder, "benchmark"))).drop("text")
+
+
+ORACLES["op6_decontaminate"] = """
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0),
+patterns AS (SELECT DISTINCT item_id, n, list_slice(w, i, i + n - 1) AS pattern FROM starts),
+sizes AS (SELECT DISTINCT n FROM patterns),
+grams AS (SELECT doc_id, s.n, unnest(range(1, len(w) - s.n + 2)) AS i, w FROM words, sizes s WHERE len(w) >= s.n),
+hits AS (SELECT g.doc_id, g.i, g.n, p.item_id FROM (SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS pattern FROM grams) g JOIN patterns p ON p.n = g.n AND p.pattern = g.pattern),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT w.doc_id, coalesce(len(w.w), 0) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(f.n_items, 0) AS n_items,
+  sha256(coalesce(f.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM words w LEFT JOIN covered c ON c.doc_id = w.doc_id LEFT JOIN found f ON f.doc_id = w.doc_id
+"""
+
+
+@query
+def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document into sequences of 2048 tokens, mixed by source."""
+    return pack(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
