@@ -11,6 +11,8 @@ from public_tokenizers import path as tokenizer_path
 
 from citadex.llm.common import fold_of, table
 from citadex.llm.decontaminate import contamination, find_items
+from citadex.llm.html_text import main_text
+from citadex.llm.language import guess_language, learn_profiles, training_rows
 from citadex.llm.packing import pack
 from citadex.llm.url_filter import UrlRules, judge_urls
 
@@ -76,3 +78,19 @@ FROM words w LEFT JOIN covered c ON c.doc_id = w.doc_id LEFT JOIN found f ON f.d
 def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Every document into sequences of 2048 tokens, mixed by source."""
     return pack(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document; profiles from four fifths of the labelled ones."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    profiles = learn_profiles(training_rows(docs, 5, 0))
+    guessed = docs.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), guess_language(F.col("text"), profiles).alias("guess"))
+    return guessed.select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
+
+
+@query
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, folder, "pages").select("page_id", "url", main_text(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
