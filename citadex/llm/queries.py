@@ -13,7 +13,9 @@ from citadex.llm.common import fold_of, table
 from citadex.llm.decontaminate import contamination, find_items
 from citadex.llm.html_text import main_text
 from citadex.llm.language import guess_language, learn_profiles, training_rows
+from citadex.llm.nearest import nearest
 from citadex.llm.packing import pack
+from citadex.llm.token_counts import count_tokens
 from citadex.llm.url_filter import UrlRules, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +76,20 @@ FROM words w LEFT JOIN covered c ON c.doc_id = w.doc_id LEFT JOIN found f ON f.d
 """
 
 
+@query
+def op7_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every hundredth vector against all others."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+@query
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    counts = count_tokens(F.col("text"), tokenizer_path("byte_bpe_50k.tiktoken")).alias("counts")
+    return table(spark, folder, "documents").select("doc_id", counts).select("doc_id", "counts.*")
+
+
 @query
 def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Every document into sequences of 2048 tokens, mixed by source."""
