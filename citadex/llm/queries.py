@@ -13,6 +13,7 @@ from citadex.llm.common import fold_of, table
 from citadex.llm.decontaminate import contamination, find_items
 from citadex.llm.html_text import main_text
 from citadex.llm.language import guess_language, learn_profiles, training_rows
+from citadex.llm.near_duplicates import near_duplicates
 from citadex.llm.nearest import nearest
 from citadex.llm.packing import pack
 from citadex.llm.token_counts import count_tokens
@@ -96,6 +97,12 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of every document: five-word shingles, similarity 0.8."""
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document; profiles from four fifths of the labelled ones."""
