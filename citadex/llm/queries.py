@@ -13,6 +13,7 @@ from citadex.llm.common import fold_of, table
 from citadex.llm.decontaminate import contamination, find_items
 from citadex.llm.html_text import main_text
 from citadex.llm.language import guess_language, learn_profiles, training_rows
+from citadex.llm.language_model import score_texts
 from citadex.llm.near_duplicates import near_duplicates
 from citadex.llm.nearest import nearest
 from citadex.llm.packing import pack
@@ -117,3 +118,9 @@ def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, folder, "pages").select("page_id", "url", main_text(F.col("html")).alias("text"))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of every document under a bigram model of six sevenths of them."""
+    return score_texts(table(spark, folder, "documents").select("doc_id", "text"))
