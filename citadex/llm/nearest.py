@@ -30,7 +30,9 @@ class SearchOptions:
     leaf_rows: int = 128
     calibration_queries: int = 64
     recall: float = 0.96
+    shelves: int = 64
     group_rows: int = 256
+    max_group_rows: int = 65_536
     group_queries: int = 4_096
 
 
@@ -195,54 +197,75 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
     calibration = alike.select(F.col("rep").alias("id"), "vector").orderBy(F.xxhash64("id"), "id").limit(opt.calibration_queries)
     visits = _calibrate(filed, calibration, tree, dim, k, opt.recall)
 
+    # neighbouring leaves share a shelf of bounded size; a larger leaf has a shelf of its own, dealt over several groups
+    shelf_rows = max(opt.group_rows, min(opt.max_group_rows, n // opt.shelves))
+    shelf, filled, number = np.zeros(tree.n_leaves, np.int64), 0, 0
+    for leaf, count in enumerate(held.tolist()):
+        if filled and filled + count > shelf_rows:
+            number, filled = number + 1, 0
+        shelf[leaf], filled = number, filled + count
+    on_shelf = np.bincount(shelf, held, minlength=number + 1).astype(np.int64)
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves: list[list[int]] = []
-            for q in matrix(batch["vector"], dim):
-                taken, seen = [], 0
+            reps, vectors_, shelves, leaves = [], [], [], []
+            for i, q in enumerate(matrix(batch["vector"], dim)):
+                taken: dict[int, list[int]] = {}
+                visited = seen = 0
                 for leaf in tree.leaves(q):
-                    if len(taken) >= visits and seen > k:
+                    if visited >= visits and seen > k:
                         break
-                    seen += held[leaf]
+                    visited, seen = visited + 1, seen + int(held[leaf])
                     if held[leaf]:
-                        taken.append(leaf)
-                leaves.append(taken)
-            yield pa.RecordBatch.from_arrays([batch["rep"], batch["vector"], pa.array(leaves, pa.list_(pa.int64()))], names=["rep", "vector", "leaves"])
-
-    routed = staged(alike.select("rep", "vector").mapInArrow(visit, "rep long, vector array<double>, leaves array<long>"), "routed")
-    wanted = np.zeros(tree.n_leaves, np.int64)
-    for r in routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():
-        wanted[r["leaf"]] = r["count"]
-    # large leaves are dealt over several groups, and so are the many queries of one leaf
-    per_group = max(opt.group_rows, min(8_192, n // 400))
-    parts = F.lit(np.maximum(1, -(-held // per_group)).tolist())
+                        taken.setdefault(int(shelf[leaf]), []).append(leaf)
+                shelves += taken
+                leaves += taken.values()
+                reps += [batch["rep"][i].as_py()] * len(taken)
+                vectors_ += [i] * len(taken)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(reps, pa.int64()), batch["vector"].take(pa.array(vectors_, pa.int64())), pa.array(shelves, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))],
+                names=["rep", "vector", "shelf", "leaves"],
+            )
+
+    routed = staged(alike.select("rep", "vector").mapInArrow(visit, "rep long, vector array<double>, shelf long, leaves array<long>"), "routed")
+    wanted = np.zeros(number + 1, np.int64)
+    for r in routed.groupBy("shelf").count().collect():
+        wanted[r["shelf"]] = r["count"]
+    # the many queries of one shelf are dealt over several groups as well
+    parts = F.lit(np.maximum(1, -(-on_shelf // shelf_rows)).tolist())
     turns = F.lit(np.maximum(1, -(-wanted // opt.group_queries)).tolist())
-    at = (F.col("leaf") + 1).cast("int")
-    base = filed.where(F.element_at(F.lit((wanted > 0).tolist()), at)).select(
-        "leaf", F.pmod(F.xxhash64("id"), F.element_at(parts, at)).alias("part"),
-        F.explode(F.sequence(F.lit(0), F.element_at(turns, at).cast("int") - 1)).alias("turn"), "id", "vector",
+    at = (F.col("shelf") + 1).cast("int")
+    base = filed.withColumn("shelf", F.element_at(F.lit(shelf.tolist()), (F.col("leaf") + 1).cast("int")))
+    base = base.where(F.element_at(F.lit((wanted > 0).tolist()), at)).select(
+        "shelf", F.pmod(F.xxhash64("id"), F.element_at(parts, at)).alias("part"),
+        F.explode(F.sequence(F.lit(0), F.element_at(turns, at).cast("int") - 1)).alias("turn"), "id", "leaf", "vector",
     )
-    sent = routed.select("rep", "vector", F.explode("leaves").alias("leaf")).select(
-        "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.element_at(parts, at).cast("long") - 1)).alias("part"),
-        F.pmod(F.xxhash64("rep"), F.element_at(turns, at)).cast("int").alias("turn"), "rep", "vector",
+    sent = routed.select(
+        "shelf", F.explode(F.sequence(F.lit(0).cast("long"), F.element_at(parts, at).cast("long") - 1)).alias("part"),
+        F.pmod(F.xxhash64("rep"), F.element_at(turns, at)).cast("int").alias("turn"), "rep", "vector", "leaves",
     )
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         reps, found, scores = [], [], []
         if left.num_rows and right.num_rows:
-            ids, body = left["id"].to_numpy(), matrix(left["vector"], dim)
-            for rep, q in zip(right["rep"].to_pylist(), matrix(right["vector"], dim), strict=True):
-                d = _distances(body, q)
-                best = _best(ids, d, k + 1)
+            order = np.argsort(left["leaf"].to_numpy(), kind="stable")
+            leaf, ids, body = left["leaf"].to_numpy()[order], left["id"].to_numpy()[order], matrix(left["vector"], dim)[order]
+            for rep, q, wanted_ in zip(right["rep"].to_pylist(), matrix(right["vector"], dim), right["leaves"].to_pylist(), strict=True):
+                low, high = np.searchsorted(leaf, wanted_, "left"), np.searchsorted(leaf, wanted_, "right")
+                some = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
+                if not len(some):
+                    continue
+                d = _distances(body[some], q)
+                best = _best(ids[some], d, k + 1)
                 reps.append(np.full(len(best), rep))
-                found.append(ids[best])
+                found.append(ids[some][best])
                 scores.append(d[best])
         return pa.table({
             "rep": pa.array(np.concatenate(reps) if reps else [], pa.int64()), "vec_id": pa.array(np.concatenate(found) if found else [], pa.int64()),
             "score": pa.array(np.concatenate(scores) if scores else [], pa.float64()),
         })
 
-    keys = ["leaf", "part", "turn"]
+    keys = ["shelf", "part", "turn"]
     near = base.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(compare, "rep long, vec_id long, score double")
     first = Window.partitionBy("rep").orderBy("score", "vec_id")
     best = near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)

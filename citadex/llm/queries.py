@@ -17,6 +17,7 @@ from citadex.llm.language_model import score_texts
 from citadex.llm.near_duplicates import near_duplicates
 from citadex.llm.nearest import nearest
 from citadex.llm.packing import pack
+from citadex.llm.repeated_text import repeated_spans
 from citadex.llm.token_counts import count_tokens
 from citadex.llm.url_filter import UrlRules, judge_urls
 
@@ -55,6 +56,12 @@ FROM parts p LEFT JOIN best b ON b.page_id = p.page_id
 """
 
 
+@query
+def op5_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes in 50-byte strings that a document with a smaller id shows."""
+    return repeated_spans(table(spark, folder, "documents").select("doc_id", "text")).drop("spans")
+
+
 @query
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Every benchmark item against every document."""
