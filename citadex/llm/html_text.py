@@ -95,14 +95,18 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     links: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, bad, starts an article
+    stack: list[tuple[str, bool, bool]] = []  # tag, whether it or one around it is bad, is an article
+    opened: dict[str, int] = {}  # how often each tag is on the stack
     state = {"link": 0, "heading": False}
 
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
     def close_block() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, len(" ".join(html.unescape("".join(links)).split())), any(s[1] for s in stack), any(s[2] for s in stack), state["heading"]))
+                out.append(Block(text, len(" ".join(html.unescape("".join(links)).split())), bool(stack) and stack[-1][1], bool(stack) and stack[-1][2], state["heading"]))
             parts.clear()
             links.clear()
 
@@ -131,28 +135,28 @@ def blocks_of(page: str) -> list[Block]:
             state["heading"] = not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
             state["link"] = 0 if not closing and tag in ("p", "div", "article", "main", "section", "footer") else state["link"]
             if not closing and stack and stack[-1][0] == "p":
-                stack.pop()  # a paragraph ends where the next block begins
+                pop()  # a paragraph ends where the next block begins
             if not closing and tag in ("li", "dt", "dd") and stack and stack[-1][0] == tag:
-                stack.pop()
+                pop()
         elif tag in ("br", "td", "th"):
             add(" ")
         if tag == "a":
             state["link"] = 0 if closing else 1
         elif closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    bad = any(s[1] for s in stack[i:])
-                    if bad and tag not in BLOCK_TAGS:
-                        close_block()
-                    del stack[i:]
-                    break
+            if opened.get(tag):
+                if stack[-1][1] and tag not in BLOCK_TAGS:
+                    close_block()
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
         elif tag not in VOID_TAGS:
-            inside = any(s[2] for s in stack)
+            around, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             bad = _is_bad(tag, rest, inside)
             if bad and tag not in BLOCK_TAGS:
                 close_block()
             if bad or tag in ("article", "main", "p", "div", "section", "ul", "ol", "li", "dl", "dt", "dd", "header", "table", "tr", "td"):
-                stack.append((tag, bad, tag in ("article", "main")))
+                opened[tag] = opened.get(tag, 0) + 1
+                stack.append((tag, bad or around, inside or tag in ("article", "main")))
     add(page[at:])
     close_block()
     return out
@@ -177,30 +181,36 @@ def _first_pass(block: Block, rules: Rules) -> bool | None:
 
 
 def main_blocks(blocks: list[Block], rules: Rules) -> list[bool]:
-    """Both passes: whether each block is main text."""
+    """Both passes: whether each block is main text.
+
+    Boilerplate inside an article says nothing about its neighbours. Where nothing near is decided, an article is text
+    and anything else is not; at equal distance the neighbour that is text wins.
+    """
     first = [_first_pass(b, rules) for b in blocks]
+    before = _nearest_decided(blocks, first, range(len(blocks)))
+    after = _nearest_decided(blocks, first, range(len(blocks) - 1, -1, -1))
     out: list[bool] = []
     for i, block in enumerate(blocks):
         label = first[i]
         if label is None:
-            near = [(abs(j - i), j < i, first[j]) for j in _decided(blocks, first, i)]
-            # an article with nothing decided is text, anything else with nothing decided is not
-            label = min(near, key=lambda x: (x[0], not x[2]))[2] if near else block.inside
+            near = [(abs(j - i), not first[j]) for j in (before[i], after[i]) if j is not None]
+            label = not min(near)[1] if near else block.inside
         out.append(bool(label))
     return out
 
 
-def _decided(blocks: list[Block], first: list[bool | None], i: int) -> list[int]:
-    """The nearest decided block before and after `i` in the same part; boilerplate inside an article says nothing."""
-    found = []
-    for step in (-1, 1):
-        j = i + step
-        while 0 <= j < len(blocks) and blocks[j].inside == blocks[i].inside:
-            if first[j] is not None and not (blocks[j].bad and blocks[j].inside):
-                found.append(j)
-                break
-            j += step
-    return found
+def _nearest_decided(blocks: list[Block], first: list[bool | None], order: range) -> list[int | None]:
+    """For each block the last decided one that was passed in the same part of the page; one scan."""
+    out: list[int | None] = [None] * len(blocks)
+    seen: int | None = None
+    inside = None
+    for i in order:
+        if blocks[i].inside != inside:
+            seen, inside = None, blocks[i].inside
+        out[i] = seen
+        if first[i] is not None and not (blocks[i].bad and blocks[i].inside):
+            seen = i
+    return out
 
 
 def extract(page: str | None, rules: Rules | None = None) -> str:

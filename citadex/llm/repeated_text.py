@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from citadex.llm.common import mix
 from citadex.llm.exchange import ASKED, chunked, packed, slices, unpacked
@@ -243,7 +244,7 @@ def _packed_ids(rows: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([COPIES], pa.int32()), "chunk": rows["chunk"].slice(0, 1), "payload": pa.array([body], pa.binary())})
 
 
-def _pass_over(docs: DataFrame, least: int, finish: Callable[[Chunk, list, pa.Table], pa.Table], schema: str) -> DataFrame:
+def _pass_over(docs: DataFrame, least: int, finish: Callable[[Chunk, list, pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
     """Run all passes; `docs` has doc_id and text, `finish` gets the removed runs of each row of a chunk."""
     if least < GRAM:
         raise ValueError(f"strings of fewer than {GRAM} bytes are not supported")
@@ -308,7 +309,7 @@ def without_repeats(docs: DataFrame, least: int = 50, text: str = "text", doc_id
     """
     columns = docs.columns
     inner = docs.select(F.struct(*(F.col(c) for c in columns if c != text)).alias("rest"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = f"rest {inner.schema['rest'].dataType.simpleString()}, text string"
+    schema = StructType([StructField("rest", inner.schema["rest"].dataType), StructField("text", StringType())])
 
     def cut(chunk: Chunk, spans: list, rows: pa.Table) -> pa.Table:
         new = [
