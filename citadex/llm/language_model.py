@@ -115,8 +115,8 @@ def _histogram(words: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, n: in
     keys, where = np.unique(key, return_inverse=True)
     return pa.table({
         "context": pa.array(keys >> 24, pa.int32()), "bin2": pa.array((keys >> 12) & 4095, pa.int32()), "bin1": pa.array(keys & 4095, pa.int32()),
-        "n": pa.array(np.bincount(where, minlength=len(keys)).astype(np.int64)),
-        "sum2": pa.array(np.bincount(where, f2, minlength=len(keys))), "sum1": pa.array(np.bincount(where, f1, minlength=len(keys))),
+        "n": pa.array(np.bincount(where, minlength=len(keys)), pa.int64()),
+        "sum2": pa.array(np.bincount(where, f2, minlength=len(keys)), pa.float64()), "sum1": pa.array(np.bincount(where, f1, minlength=len(keys)), pa.float64()),
     })
 
 
