@@ -235,7 +235,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
     parts = F.lit(np.maximum(1, -(-on_shelf // shelf_rows)).tolist())
     turns = F.lit(np.maximum(1, -(-wanted // opt.group_queries)).tolist())
     at = (F.col("shelf") + 1).cast("int")
-    base = filed.withColumn("shelf", F.element_at(F.lit(shelf.tolist()), (F.col("leaf") + 1).cast("int")))
+    base = filed.withColumn("shelf", F.element_at(F.lit(shelf.tolist()), (F.col("leaf") + 1).cast("int")).cast("long"))
     base = base.where(F.element_at(F.lit((wanted > 0).tolist()), at)).select(
         "shelf", F.pmod(F.xxhash64("id"), F.element_at(parts, at)).alias("part"),
         F.explode(F.sequence(F.lit(0), F.element_at(turns, at).cast("int") - 1)).alias("turn"), "id", "leaf", "vector",
