@@ -50,9 +50,12 @@ def queries_between(log: DataFrame, first: str, last: str) -> DataFrame:
 
 
 def _since(log: DataFrame, days: int, asof: str) -> DataFrame:
-    """The partition filter prunes days, the time filter cuts the first one exactly."""
+    """Questions of the `days` up to `asof`. The partition filter prunes days, the time filter cuts both ends exactly."""
+    end = F.expr(f"TIMESTAMP_NTZ '{asof}'")
     start = F.expr(f"TIMESTAMP_NTZ '{asof}' - INTERVAL '{int(days)}' DAY")
-    return log.where((F.col("dt") >= start.cast("date")) & (F.col("ts").cast("timestamp_ntz") >= start))
+    return log.where(
+        F.col("dt").between(start.cast("date"), end.cast("date")) & F.col("ts").cast("timestamp_ntz").between(start, end)
+    )
 
 
 def intent_distribution(log: DataFrame, days: int, asof: str) -> DataFrame:
@@ -82,11 +85,12 @@ def average_metrics(log: DataFrame, days: int, asof: str) -> DataFrame:
 def metrics_by_range(log: DataFrame, asof: str, ranges: Sequence[int] = METRIC_RANGES) -> DataFrame:
     """Averages per intent for several ranges from one scan: days are summed first, then shared out.
 
-    Ranges are whole days, back from the day `asof`.
+    Ranges are whole days of 24 hours, back from `asof`, as in `average_metrics`.
     """
     measures = ("confidence", "response_time_ms", "intent_confidence")
     longest = _since(log, max(ranges), asof)
-    age = F.ceil(F.date_diff(F.lit(asof).cast("date"), F.col("dt")))
+    micros = lambda at: F.unix_micros(at.cast("timestamp_ntz").cast("timestamp"))
+    age = F.ceil((micros(F.lit(asof)) - micros(F.col("ts"))) / 86_400_000_000)
     daily = longest.groupBy(age.alias("age"), "intent_type").agg(
         F.count("*").alias("n"), *[F.sum(m).alias(m) for m in measures]
     )
@@ -134,11 +138,11 @@ def rated(feedback: DataFrame, helpful: bool) -> DataFrame:
 
 
 def _pair() -> list[Column]:
-    return [F.col("query").alias("query"), F.substring("answer", 1, 100).alias("answer_key")]
+    return [F.col("query").alias("query"), F.sha2("answer", 256).alias("answer_key")]
 
 
 def upsert_feedback(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One vote per question and opening of the answer: the last write wins.
+    """One vote per question and answer, by the whole text of both: the last write wins.
 
     `max_by` keeps one row per key in each task before the shuffle, whatever the number of writes.
     """
@@ -150,7 +154,7 @@ def upsert_feedback(old: DataFrame, new: DataFrame) -> DataFrame:
 def rating_of(pairs: DataFrame, feedback: DataFrame) -> DataFrame:
     """Rating of each (question, answer); null if never rated."""
     last = feedback.groupBy(*_pair()).agg(F.max_by("is_helpful", F.struct("timestamp", "id")).alias("rating"))
-    keyed = pairs.withColumn("answer_key", F.substring("answer", 1, 100))
+    keyed = pairs.withColumn("answer_key", F.sha2("answer", 256))
     return keyed.join(last, ["query", "answer_key"], "left").drop("answer_key")
 
 

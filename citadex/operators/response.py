@@ -46,12 +46,14 @@ def metadata_priority(context: DataFrame) -> DataFrame:
     return context.withColumn("priority", F.when(is_table, F.lit(1.2)).otherwise(F.lit(1.0)))
 
 
-def extractive_answer(context: DataFrame, queries: DataFrame) -> DataFrame:
-    """Per file its best three chunks under a citation; a fixed text for questions without context."""
-    within = Window.partitionBy("query_id", "file_name").orderBy("rank")
+def extractive_answer(context: DataFrame, queries: DataFrame, per_file: int | None = None) -> DataFrame:
+    """Per file its chunks (or only the best `per_file`) under a citation; a fixed text for questions without context."""
+    numbered = number_sources(context)
+    if per_file is not None:
+        within = Window.partitionBy("query_id", "file_name").orderBy("rank")
+        numbered = numbered.withColumn("_nth", F.row_number().over(within)).where(F.col("_nth") <= per_file)
     sections = (
-        number_sources(context).withColumn("_nth", F.row_number().over(within)).where("_nth <= 3")
-        .groupBy("query_id", "file_name", "source_no")
+        numbered.groupBy("query_id", "file_name", "source_no")
         .agg(F.array_join(_gathered(tx.strip(F.col("text")), "rank"), " ").alias("_body"))
         .select("query_id", "source_no", F.concat(
             F.lit("According to "), "file_name", F.lit(" "), _cited(F.col("source_no")), F.lit(":\n"), "_body"
@@ -233,36 +235,29 @@ def validate_facts(df: DataFrame, document: str = "document") -> DataFrame:
     )
 
 
-def attach_artefacts(sources: DataFrame, artefacts: DataFrame, n_sources: int = 5, preview: int = 3) -> DataFrame:
-    """Tables or images for the first sources of each question, each artefact shown once.
+def attach_artefacts(sources: DataFrame, artefacts: DataFrame, n_sources: int | None = None, preview: int = 3) -> DataFrame:
+    """Tables or images for the sources of each question (or its first `n_sources`), each artefact shown once.
 
     sources: query_id, source_no, name, page. artefacts: artefact_id, kind, source_path, page_number
-    and `body`, the rows. Per source and kind the first artefact of the same file and page is taken
-    (tier 1), else the first one of that page (tier 2). A name prefix on the same page (the last
-    resort of a lookup by file pattern) can only match what tier 2 has found already. Artefacts
-    are reduced to one per (kind, file, page) before the join, so a crowded page costs one row.
+    and `body`, the rows. Per source and kind all artefacts of the same file and page are taken
+    (tier 1); if there is none, all of that page (tier 2). A name prefix on the same page (the last
+    resort of a lookup by file pattern) can only match what tier 2 has found already. `preview` rows
+    of each body are shown, the number of the others is told.
     """
-    wanted = sources.where(F.col("source_no") <= n_sources).select(
+    wanted = sources if n_sources is None else sources.where(F.col("source_no") <= n_sources)
+    wanted = wanted.select(
         "query_id", "source_no", F.col("page").cast("int").alias("page_number"),
         tx.file_stem(F.col("name")).alias("stem"),
     )
-    first = F.min_by(F.struct("artefact_id", "body"), "artefact_id").alias("a")
-    by_file = (
-        artefacts.withColumn("stem", tx.file_stem(F.col("source_path")))
-        .groupBy("kind", "stem", "page_number").agg(first)
+    shown = artefacts.withColumn("of", tx.file_stem(F.col("source_path"))).select(
+        "kind", "of", "page_number", "artefact_id", F.slice("body", 1, preview).alias("preview"),
+        F.greatest(F.size("body") - preview, F.lit(0)).alias("more_rows"),
     )
-    by_page = by_file.groupBy("kind", "page_number").agg(F.min_by("a", "a.artefact_id").alias("b"))
-    offered = by_page.join(wanted, "page_number").join(by_file, ["kind", "stem", "page_number"], "left")
-    shown = offered.select(
-        "query_id", "source_no", "kind", F.when(F.col("a").isNotNull(), 1).otherwise(2).alias("tier"),
-        F.coalesce("a", "b").alias("a"),
-    ).select("query_id", "source_no", "kind", "tier", "a.artefact_id", "a.body")
+    offered = shown.join(wanted, "page_number").withColumn("tier", F.when(F.col("of") == F.col("stem"), 1).otherwise(2))
+    of_source = Window.partitionBy("query_id", "source_no", "kind")
     once = Window.partitionBy("query_id", "kind", "artefact_id").orderBy("source_no")
     return (
-        shown.withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
-        .select(
-            "query_id", "source_no", "kind", "tier", "artefact_id",
-            F.slice("body", 1, preview).alias("preview"),
-            F.greatest(F.size("body") - preview, F.lit(0)).alias("more_rows"),
-        )
+        offered.withColumn("_best", F.min("tier").over(of_source)).where("tier = _best")
+        .withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
+        .select("query_id", "source_no", "kind", "tier", "artefact_id", "preview", "more_rows")
     )

@@ -39,17 +39,30 @@ def invalidate(cache: DataFrame, bad: DataFrame, on: str = "key") -> DataFrame:
     return cache.join(bad.select(on).distinct(), on, "left_anti")
 
 
-def validated_partials(log: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Votes of one batch per question text, in a form that further batches can be added to.
-
-    Votes are counted per question id before the join, so an answer with a third of all votes is
-    one row by then.
-    """
+def vote_counts(feedback: DataFrame) -> DataFrame:
+    """Votes of one batch per question id. Needs no log, so votes may come before the question they are for."""
     helpful = F.col("is_helpful")
-    votes = feedback.groupBy("query_id").agg(
+    return feedback.groupBy("query_id").agg(
         F.count_if(helpful).alias("helpful"), F.count_if(~helpful).alias("unhelpful"),
         F.min(F.when(helpful, F.col("ts"))).alias("first_vote"), F.max(F.when(helpful, F.col("ts"))).alias("last_vote"),
     )
+
+
+def merge_votes(counts: DataFrame) -> DataFrame:
+    """Counts of any number of batches added up, in any order."""
+    return counts.groupBy("query_id").agg(
+        F.sum("helpful").alias("helpful"), F.sum("unhelpful").alias("unhelpful"), F.min("first_vote").alias("first_vote"),
+        F.max("last_vote").alias("last_vote"),
+    )
+
+
+def validated_partials(log: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Votes of one batch per question text, in a form that further batches can be added to."""
+    return partials_of(log, vote_counts(feedback))
+
+
+def partials_of(log: DataFrame, votes: DataFrame) -> DataFrame:
+    """The same from counted votes: an answer with a third of all votes is one row before the join."""
     voted = log.select("query_id", "query_text", "answer_text", "sources").join(votes, "query_id")
     order = F.when(F.col("helpful") > 0, F.struct("first_vote", "query_id"))
     return voted.groupBy(tx.question_hash(F.col("query_text")).alias("query_hash")).agg(
@@ -140,15 +153,14 @@ def cache_stats(routed: DataFrame, cache: DataFrame) -> DataFrame:
 def evaluation_keys(hits: DataFrame) -> DataFrame:
     """Key of a model's verdict on a (question, chunk)."""
     return hits.withColumn(
-        "eval_key", F.concat_ws("_", F.md5("query"), F.md5(F.substring("text", 1, 500)))
+        "eval_key", F.concat_ws("_", F.md5("query"), F.md5("text"))
     )
 
 
 def answer_keys(context: DataFrame, queries: DataFrame) -> DataFrame:
-    """Key of a generated answer: the question and the openings of its first three chunks."""
-    opening = F.md5(F.substring("text", 1, 200))
-    docs = context.where("rank <= 3").groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", opening.alias("h"))))["h"].alias("_h")
+    """Key of a generated answer: the question and the whole texts of all its chunks, in order."""
+    docs = context.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", F.md5("text").alias("h"))))["h"].alias("_h")
     )
     none = F.array().cast("array<string>")
     return queries.select("query_id", "query").join(docs, "query_id", "left").select(

@@ -121,7 +121,7 @@ def index_ctes(p: str, nodes: str) -> None:
     cte(f"{p}_corpus", f"SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {p}_tok WHERE len(t) > 0")
     cte(f"{p}_df", f"SELECT term, count(*) AS df FROM {p}_post GROUP BY 1")
     cte(f"{p}_raw", f"SELECT term, df, ln(n - df + 0.5e0) - ln(df + 0.5e0) AS raw FROM {p}_df, {p}_corpus")
-    cte(f"{p}_idf", f"SELECT term, df, CASE WHEN raw < 0 THEN 0.25e0 * (SELECT avg(raw) FROM {p}_raw) ELSE raw END AS idf FROM {p}_raw")
+    cte(f"{p}_idf", f"SELECT term, df, CASE WHEN raw < 0 THEN 0.25e0 * avg(raw) OVER () ELSE raw END AS idf FROM {p}_raw")
 
 
 def ranked(scored: str, keys: str = "query_id", k: str | int | None = None, extra: str = "") -> str:
@@ -226,7 +226,7 @@ cte("numbered", """SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY f
 cte("extracted", f"""SELECT q.query_id, coalesce(a.answer, 'The provided context does not include information to answer this query.') AS answer FROM queries q LEFT JOIN (
   SELECT query_id, string_agg('According to ' || file_name || ' [' || CAST(source_no AS VARCHAR) || ']:' || chr(10) || body, chr(10) || chr(10) ORDER BY source_no) AS answer FROM (
     SELECT query_id, file_name, source_no, string_agg({strip('text')}, ' ' ORDER BY rank) AS body FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id, file_name ORDER BY rank) AS nth FROM numbered) WHERE nth <= 3 GROUP BY ALL)
+      SELECT * FROM numbered) GROUP BY ALL)
   GROUP BY query_id) a USING (query_id)""")
 cte("sources_", """SELECT query_id, source_no, '[' || CAST(source_no AS VARCHAR) || ']' AS id, file_name AS name,
   array_to_string(list_transform(list_sort(list(DISTINCT CAST(page_label AS INTEGER))), lambda x: CAST(x AS VARCHAR)), ', ') AS pages,
@@ -419,10 +419,9 @@ cte("artefacts", r"""SELECT table_index AS artefact_id, 'table' AS kind, regexp_
   UNION ALL SELECT image_index, 'image', CASE WHEN length(regexp_replace(source_path, '^.*/', '')) > 1 THEN regexp_replace(regexp_replace(source_path, '^.*/', ''), '(.)\.[^.]*$', '\1') ELSE regexp_replace(source_path, '^.*/', '') END, page_number, [caption] FROM image_rows""")
 oracle("attach_artefacts", """SELECT query_id, source_no, kind, tier, artefact_id, array_to_string(body[1:3], '|') AS preview, greatest(len(body) - 3, 0) AS more_rows FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, kind, artefact_id ORDER BY source_no) AS nth FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id, source_no, kind ORDER BY tier, artefact_id) AS pick FROM (
+    SELECT *, min(tier) OVER (PARTITION BY query_id, source_no, kind) AS best FROM (
       SELECT s.query_id, s.source_no, a.kind, a.artefact_id, a.body, CASE WHEN a.stem = s.file_name THEN 1 ELSE 2 END AS tier
-      FROM (SELECT query_id, source_no, file_name, arg_min(page_label, rank) AS page FROM numbered GROUP BY ALL) s JOIN artefacts a ON a.page_number = CAST(s.page AS INTEGER)
-      WHERE s.source_no <= 5)) WHERE pick = 1) WHERE nth = 1""")
+      FROM (SELECT query_id, source_no, file_name, arg_min(page_label, rank) AS page FROM numbered GROUP BY ALL) s JOIN artefacts a ON a.page_number = CAST(s.page AS INTEGER))) WHERE tier = best) WHERE nth = 1""")
 oracle("snippets", "SELECT doc_id, " + ", ".join(f"CASE WHEN length(text) > {n} THEN substr(text, 1, {n}) || '...' ELSE text END AS s{n}" for n in (200, 50, 40)) + " FROM documents")
 
 # --- re-use of answers --------------------------------------------------------------------------
@@ -459,9 +458,9 @@ cte("routed", f"""SELECT k.query_id, CASE WHEN k.key IN (SELECT key FROM cache)
 oracle("route", "SELECT query_id, route FROM routed")
 oracle("cache_stats", """SELECT hits, total - hits AS misses, total, round(hits / total, 6) AS hit_rate, (SELECT count(*) FROM cache) AS size FROM (
   SELECT count(*) FILTER (WHERE route IN ('exact', 'semantic')) AS hits, count(*) AS total FROM routed)""")
-oracle("answer_keys", """SELECT query_id, rank, md5(query) || '_' || md5(substr(text, 1, 500)) AS key FROM ctx JOIN queries USING (query_id)
+oracle("answer_keys", """SELECT query_id, rank, md5(query) || '_' || md5(text) AS key FROM ctx JOIN queries USING (query_id)
   UNION ALL SELECT query_id, 0, 'answer_' || md5(query) || '_' || md5(coalesce(h, '')) FROM queries LEFT JOIN (
-    SELECT query_id, string_agg(md5(substr(text, 1, 200)), '' ORDER BY rank) AS h FROM ctx WHERE rank <= 3 GROUP BY 1) USING (query_id)""")
+    SELECT query_id, string_agg(md5(text), '' ORDER BY rank) AS h FROM ctx GROUP BY 1) USING (query_id)""")
 
 # --- log and votes ------------------------------------------------------------------------------
 
@@ -473,19 +472,19 @@ oracle("feedback_stats", "SELECT total, helpful, total - helpful AS unhelpful, c
 oracle("date_range", f"""SELECT query_id, "user", {_ts} FROM qlog WHERE dt BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'""")
 _asof = "TIMESTAMP '2024-01-31'"
 cte("dist30", f"""SELECT *, n = max(n) OVER () AND intent_type = max(CASE WHEN n = mx THEN intent_type END) OVER () AS is_top FROM (
-  SELECT *, max(n) OVER () AS mx, n / sum(n) OVER () AS share FROM (SELECT intent_type, count(*) AS n FROM qlog WHERE ts >= {_asof} - INTERVAL 30 DAY GROUP BY 1))""")
+  SELECT *, max(n) OVER () AS mx, n / sum(n) OVER () AS share FROM (SELECT intent_type, count(*) AS n FROM qlog WHERE ts BETWEEN {_asof} - INTERVAL 30 DAY AND {_asof} GROUP BY 1))""")
 oracle("intent_dist", "SELECT intent_type, n, round(share, 10) AS share, is_top, share > 0.5 AS dominant FROM dist30")
 
 
 def averages(days: int) -> str:
     mean = lambda c: f"round(coalesce(avg({c}), 0), 10) AS avg_{c}"
-    return f"SELECT {mean('confidence')}, {mean('response_time_ms')}, {mean('intent_confidence')}, count(*) AS total_queries FROM qlog WHERE ts >= {_asof} - INTERVAL {days} DAY"
+    return f"SELECT {mean('confidence')}, {mean('response_time_ms')}, {mean('intent_confidence')}, count(*) AS total_queries FROM qlog WHERE ts BETWEEN {_asof} - INTERVAL {days} DAY AND {_asof}"
 
 
 oracle("avg_metrics", averages(7))
 oracle("metrics_by_range", " UNION ALL ".join(
     f"SELECT {d} AS days, intent_type, count(*) AS total_queries, round(avg(confidence), 10) AS avg_confidence, round(avg(response_time_ms), 10) AS avg_response_time_ms, "
-    f"round(avg(intent_confidence), 10) AS avg_intent_confidence FROM qlog WHERE ts >= {_asof} - INTERVAL {d} DAY GROUP BY intent_type" for d in (7, 30, 90)))
+    f"round(avg(intent_confidence), 10) AS avg_intent_confidence FROM qlog WHERE ts BETWEEN {_asof} - INTERVAL {d} DAY AND {_asof} GROUP BY intent_type" for d in (7, 30, 90)))
 oracle("health", f"""SELECT total, round(rate, 10) AS helpful_rate, total_queries, CASE WHEN avg_response_time_ms < 1000 THEN 'excellent' WHEN avg_response_time_ms < 2000 THEN 'good' ELSE 'slow' END AS speed,
   CASE WHEN avg_confidence > 0.8 THEN 'high' WHEN avg_confidence > 0.6 THEN 'good' ELSE 'low' END AS quality,
   CASE WHEN len(advice) > 0 THEN array_to_string(advice, '|') WHEN total_queries < 5 THEN 'not enough data' ELSE 'no issues' END AS recommendations FROM (
@@ -495,9 +494,9 @@ oracle("health", f"""SELECT total, round(rate, 10) AS helpful_rate, total_querie
   FROM (SELECT count(*) AS total, coalesce(count(*) FILTER (WHERE is_helpful) / count(*), 0) AS rate FROM votes), ({averages(30)}), (SELECT intent_type, share FROM dist30 WHERE is_top))""")
 oracle("feedback_insights", "SELECT intent_type, count(*) AS n, round(avg(confidence) FILTER (WHERE is_helpful), 10) AS avg_helpful_confidence FROM flat GROUP BY 1")
 oracle("helpful_rows", 'SELECT id, "timestamp", query FROM flat WHERE is_helpful')
-cte("last_votes", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, substr(answer, 1, 100) ORDER BY "timestamp" DESC, id DESC) AS nth FROM both_votes) WHERE nth = 1""")
+cte("last_votes", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, answer ORDER BY "timestamp" DESC, id DESC) AS nth FROM both_votes) WHERE nth = 1""")
 oracle("feedback_upsert", 'SELECT id, "timestamp", query, md5(answer) AS answer_md5, is_helpful FROM last_votes')
-oracle("rating_lookup", "SELECT f.id AS pair_id, v.is_helpful AS rating FROM flat f LEFT JOIN last_votes v ON v.query = f.query AND substr(v.answer, 1, 100) = substr(f.answer, 1, 100)")
+oracle("rating_lookup", "SELECT f.id AS pair_id, v.is_helpful AS rating FROM flat f LEFT JOIN last_votes v ON v.query = f.query AND v.answer = f.answer")
 oracle("feedback_delete", "SELECT id, query, is_helpful FROM flat WHERE toxic = 0")
 oracle("session_stats", f"""SELECT session_id, min("user") AS "user", count(*) AS n_queries, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended,
   CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) AS BIGINT) AS duration_s, (epoch_us({_asof}) - epoch_us(min(ts))) / 1e6 > 86400 AS expired FROM qlog GROUP BY 1""")

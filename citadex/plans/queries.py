@@ -809,8 +809,8 @@ def stream_sessions(r):
 def stream_validated(r):
     out = scratch_path(r.spark, "validated")
     votes = _replayed(r, r.feedback(), closing=False)
-    st.collect_votes(votes, r.log(), out, scratch_path(r.spark, "state")).awaitTermination()
-    return st.read_validated(r.spark, out).select(
+    st.collect_votes(votes, out, scratch_path(r.spark, "state")).awaitTermination()
+    return st.read_validated(r.spark, out, r.log()).select(
         "query_hash", "query_text", "answer_text", flat("sources"), "helpful_count", "unhelpful_count", text_of("first_validated"), text_of("last_used"), "is_active"
     )
 

@@ -29,7 +29,12 @@ def export_feedback(df: DataFrame, path: str) -> None:
     feedback_export_rows(df).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
 
 
-def _with_defaults(df: DataFrame) -> DataFrame:
+def _with_defaults(df: DataFrame, missing_timestamp: str | None) -> DataFrame:
+    """Rows without a timestamp have no id of their own: they take the given one, or stay behind as errors."""
+    if missing_timestamp is None:
+        df = df.where("timestamp IS NOT NULL")
+    else:
+        df = df.withColumn("timestamp", F.coalesce("timestamp", F.lit(missing_timestamp)))
     user = F.coalesce("user", F.lit("Unknown"))
     return df.select(
         F.concat_ws("_", user, "timestamp").alias("query_id"), user.alias("user"),
@@ -40,17 +45,22 @@ def _with_defaults(df: DataFrame) -> DataFrame:
     )
 
 
-def migrate_log(df: DataFrame) -> DataFrame:
+def migrate_log(df: DataFrame, missing_timestamp: str | None = None) -> DataFrame:
     """Log rows out of flat feedback, with stand-ins for what the old format lacks."""
-    return _with_defaults(df).select(
+    return _with_defaults(df, missing_timestamp).select(
         "query_id", "user", "query_text", "answer_text", "intent_type", F.lit(0.8).alias("intent_confidence"), "sources",
         "confidence", F.lit(0).cast("long").alias("response_time_ms"), F.lit("migrated").alias("session_id"), "timestamp",
     )
 
 
-def migrate_feedback(df: DataFrame) -> DataFrame:
+def migration_errors(df: DataFrame) -> DataFrame:
+    """Rows that cannot be moved without a timestamp to stand in."""
+    return df.where("timestamp IS NULL")
+
+
+def migrate_feedback(df: DataFrame, missing_timestamp: str | None = None) -> DataFrame:
     """Vote rows out of flat feedback."""
-    return _with_defaults(df).select("query_id", "user", "is_helpful", F.lit("").alias("feedback_text"), "timestamp")
+    return _with_defaults(df, missing_timestamp).select("query_id", "user", "is_helpful", F.lit("").alias("feedback_text"), "timestamp")
 
 
 def migration_counts(df: DataFrame) -> DataFrame:

@@ -26,28 +26,50 @@ class StoredIndex:
 
 
 def _write_parts(nodes: DataFrame, path: str, mode: str) -> None:
-    nodes.write.mode(mode).parquet(f"{path}/nodes")
-    ordered = postings_of(nodes).repartitionByRange("term", "node_id").sortWithinPartitions("term", "node_id")
+    """Nodes, postings and term counts. Nodes and postings are stored before they are used again, so whatever derives
+    them runs once and every text is tokenised once."""
+    batch = staged(nodes, "nodes")
+    postings = staged(postings_of(batch), "postings")
+    batch.write.mode(mode).parquet(f"{path}/nodes")
+    ordered = postings.repartitionByRange("term", "node_id").sortWithinPartitions("term", "node_id")
     ordered.write.mode(mode).parquet(f"{path}/postings")
+    terms_of(postings).write.mode(mode).parquet(f"{path}/terms")
+
+
+def stored_ids(spark: SparkSession, path: str, without: str | None = None) -> DataFrame | None:
+    """Ids of the nodes stored under `path` (which may hold a glob), or None where nothing is stored yet."""
+    try:
+        stored = spark.read.parquet(f"{path}/nodes")
+    except AnalysisException:
+        return None
+    if without is not None:
+        stored = stored.where(~F.col("_metadata.file_path").contains(without))
+    return stored.select("node_id")
 
 
 def write_index(nodes: DataFrame, path: str, vectors: DataFrame | None = None) -> None:
     """Build and write an index, in place of whatever was there."""
     _write_parts(nodes, path, "overwrite")
-    postings = nodes.sparkSession.read.parquet(f"{path}/postings")
-    terms_of(postings).write.mode("overwrite").parquet(f"{path}/terms")
     if vectors is not None:
         vectors.select("node_id", "embedding").write.mode("overwrite").parquet(f"{path}/vectors")
 
 
-def append_nodes(nodes: DataFrame, path: str, vectors: DataFrame | None = None, mode: str = "append") -> None:
+def append_nodes(
+    nodes: DataFrame, path: str, vectors: DataFrame | None = None, mode: str = "append", known: DataFrame | None = None
+) -> None:
     """Add new nodes: their postings and their own term counts are appended.
 
     Counts of a term from several appends are added up when the index is opened, so an append never
-    rewrites what is there.
+    rewrites what is there. A node whose id is stored already (here, or in `known`), or that comes twice in the batch,
+    is added once, so an append that is run again changes nothing; `write_index` replaces nodes.
     """
+    nodes = nodes.dropDuplicates(["node_id"])
+    here = stored_ids(nodes.sparkSession, path) if mode == "append" else None
+    for stored in (here, known):
+        if stored is not None:
+            nodes = nodes.join(stored, "node_id", "left_anti")
+            vectors = None if vectors is None else vectors.join(stored, "node_id", "left_anti")
     _write_parts(nodes, path, mode)
-    terms_of(postings_of(nodes)).write.mode(mode).parquet(f"{path}/terms")
     if vectors is not None:
         vectors.select("node_id", "embedding").write.mode(mode).parquet(f"{path}/vectors")
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from citadex.operators.analytics import to_query_log
-from citadex.operators.reuse import merge_validated, validated_partials
-from citadex.sources.index_store import append_nodes
+from citadex.operators.reuse import merge_validated, merge_votes, partials_of, vote_counts
+from citadex.sources.index_store import append_nodes, stored_ids
 
 
 def follow(spark: SparkSession, path: str, schema, files_per_batch: int | None = None, **options: str) -> DataFrame:
@@ -67,31 +67,33 @@ def ingest_log(stream: DataFrame, path: str, state: str, delay: str) -> Streamin
     return append_to(to_query_log(deduplicated(stream, delay)), path, state, "dt")
 
 
-def collect_votes(votes: DataFrame, log: DataFrame, path: str, state: str) -> StreamingQuery:
-    """Votes into the partials that `read_validated` merges.
+def collect_votes(votes: DataFrame, path: str, state: str) -> StreamingQuery:
+    """Votes into the counts that `read_validated` merges.
 
-    A batch is reduced to one row per question before it is written under its own number, so a
-    batch that is run again replaces itself, and no batch reads what others have written.
+    A batch is reduced to one row per question id before it is written under its own number, so a batch that is run
+    again replaces itself. No batch reads the log: votes wait here until their question has arrived.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        validated_partials(log, batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        vote_counts(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return votes.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
-def read_validated(spark: SparkSession, path: str) -> DataFrame:
-    return merge_validated(spark.read.parquet(path).drop("batch"))
+def read_validated(spark: SparkSession, path: str, log: DataFrame) -> DataFrame:
+    """Validated answers from all votes so far and the log as it is now."""
+    return merge_validated(partials_of(log, merge_votes(spark.read.parquet(path).drop("batch"))))
 
 
 def grow_index(nodes: DataFrame, path: str, state: str) -> StreamingQuery:
     """New nodes into a persisted index.
 
     A batch is written to a part of its own, so that one that is run again replaces itself.
-    `read_index(spark, f"{path}/part=*")` opens all parts as one index.
+    `read_index(spark, f"{path}/part=*")` opens all parts as one index. A node that another part holds is skipped.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        append_nodes(batch, f"{path}/part={number}", mode="overwrite")
+        others = stored_ids(batch.sparkSession, f"{path}/part=*", without=f"/part={number}/")
+        append_nodes(batch, f"{path}/part={number}", mode="overwrite", known=others)
 
     return nodes.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()

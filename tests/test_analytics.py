@@ -72,17 +72,18 @@ def test_lookup_by_id_with_underscores(spark, log, rows):
 
 
 def test_metrics(log, rows):
-    now = datetime(2024, 1, 31)
-    for days in (7, 30):
-        mine = [r for r in rows if r[8] >= now - timedelta(days=days)]
-        m = an.average_metrics(log, days, "2024-01-31").first()
+    for days, noon in ((7, 0), (30, 0), (7, 12)):  # the last questions come after the date, and do not count
+        now, asof = datetime(2024, 1, 25, noon), f"2024-01-25 {noon:02d}:00:00"
+        mine = [r for r in rows if now - timedelta(days=days) <= r[8] <= now]
+        assert mine and len(mine) < sum(r[8] >= now - timedelta(days=days) for r in rows)
+        m = an.average_metrics(log, days, asof).first()
         assert m.total_queries == len(mine)
         assert m.avg_confidence == pytest.approx(sum(r[4] for r in mine) / len(mine))
-        dist = {r.intent_type: (r.n, r.is_top) for r in an.intent_distribution(log, days, "2024-01-31").collect()}
+        dist = {r.intent_type: (r.n, r.is_top) for r in an.intent_distribution(log, days, asof).collect()}
         counts = {i: sum(r[3] == i for r in mine) for i in "abc"}
         assert {i: n for i, (n, _) in dist.items()} == counts
         assert dist[max(counts, key=lambda i: (counts[i], i))][1] and sum(t for _, t in dist.values()) == 1
-        ranges = {r.intent_type: r.total_queries for r in an.metrics_by_range(log, "2024-01-31").where(f"days = {days}").collect()}
+        ranges = {r.intent_type: r.total_queries for r in an.metrics_by_range(log, asof).where(f"days = {days}").collect()}
         assert ranges == counts
 
 
@@ -113,14 +114,14 @@ VOTES = "id string, timestamp string, query string, answer string, is_helpful bo
 def test_upsert_lookup_delete(spark):
     long = "x" * 100
     old = spark.createDataFrame([("1", "2024-01-01", "q", long + "A", True), ("2", "2024-01-02", "q", "other", False)], VOTES)
-    new = spark.createDataFrame([("3", "2024-01-03", "q", long + "B", False), ("4", "2023-01-01", "q", "other", True)], VOTES)
+    new = spark.createDataFrame([("3", "2024-01-03", "q", long + "B", False), ("4", "2023-01-01", "q", "other", True), ("5", "2024-01-04", "q", long + "A", False)], VOTES)
     merged = an.upsert_feedback(old, new)
-    assert sorted((r.id, r.is_helpful) for r in merged.collect()) == [("2", False), ("3", False)]
-    assert sorted(r.id for r in an.upsert_feedback(merged, new.limit(0)).collect()) == ["2", "3"]
-    pairs = spark.createDataFrame([("q", long + "C"), ("q", "none")], "query string, answer string")
-    assert {r.answer[-1]: r.rating for r in an.rating_of(pairs, merged).collect()} == {"C": False, "e": None}
+    assert sorted((r.id, r.is_helpful) for r in merged.collect()) == [("2", False), ("3", False), ("5", False)]  # A and B share 100 characters
+    assert sorted(r.id for r in an.upsert_feedback(merged, new.limit(0)).collect()) == ["2", "3", "5"]
+    pairs = spark.createDataFrame([("q", long + "B"), ("q", long + "C"), ("q", "none")], "query string, answer string")
+    assert {r.answer[-1]: r.rating for r in an.rating_of(pairs, merged).collect()} == {"B": False, "C": None, "e": None}
     ids = spark.createDataFrame([("2",)], "id string")
-    assert [r.id for r in an.delete_feedback(merged, ids).collect()] == ["3"]
+    assert [r.id for r in an.delete_feedback(merged, ids).collect()] == ["3", "5"]
 
 
 def test_latest_rating_of_a_source(spark):

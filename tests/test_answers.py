@@ -41,8 +41,9 @@ def by_query(df, *columns):
 
 def test_answers(context, queries):
     assert by_query(rs.extractive_answer(context, queries), "answer") == {
-        1: "According to b.pdf [1]:\nfirst third fourth\n\nAccording to a.pdf [2]:\nsecond", 2: NO_CONTEXT_ANSWER,
+        1: "According to b.pdf [1]:\nfirst third fourth fifth\n\nAccording to a.pdf [2]:\nsecond", 2: NO_CONTEXT_ANSWER,
     }
+    assert by_query(rs.extractive_answer(context, queries, per_file=3), "answer")[1].startswith("According to b.pdf [1]:\nfirst third fourth\n\n")
     short = by_query(rs.short_answer(context, queries, n=2, chars=4), "answer")
     assert short == {1: "According to b.pdf [1]:\n fir...\n\nAccording to a.pdf [2]:\nseco...", 2: NO_CONTEXT_SHORT_ANSWER}
 
@@ -108,7 +109,18 @@ def test_artefacts(spark):
         "artefact_id long, kind string, source_path string, page_number int, body array<string>",
     )
     got = {(r.source_no, r.kind, r.tier, r.artefact_id, tuple(r.preview), r.more_rows) for r in rs.attach_artefacts(sources, artefacts).collect()}
-    assert got == {(1, "table", 1, 1, ("a", "b", "c"), 2), (1, "image", 2, 3, ("i",), 0)}
+    assert got == {
+        (1, "table", 1, 1, ("a", "b", "c"), 2), (1, "table", 1, 2, ("z",), 0), (1, "image", 2, 3, ("i",), 0), (6, "table", 1, 4, ("late",), 0),
+    }
+    assert {r.source_no for r in rs.attach_artefacts(sources, artefacts, n_sources=5).collect()} == {1}
+
+
+def test_keys_cover_whole_texts(spark):
+    long_ = "x" * 600
+    context = spark.createDataFrame([(q, rank, long_ + end) for q in (1, 2) for rank, end in enumerate("abcd" if q == 1 else "abce", 1)], "query_id long, rank int, text string")
+    asked = spark.createDataFrame([(1, "same"), (2, "same")], "query_id long, query string")
+    assert len({r.answer_key for r in ru.answer_keys(context, asked).collect()}) == 2
+    assert len({r.eval_key for r in ru.evaluation_keys(context.join(asked, "query_id")).collect()}) == 5
 
 
 def votes(spark, rows):

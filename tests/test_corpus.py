@@ -111,7 +111,8 @@ def test_index_round_trip_append_and_missing(spark, tmp_path):
     assert sorted(map(tuple, bm25_search(asked, read_index(spark, path).lexical, 5).collect())) == want
     write_index(nodes.where("node_id < 20"), path)
     append_nodes(nodes.where("node_id BETWEEN 20 AND 39"), path)
-    append_nodes(nodes.where("node_id >= 40"), path)
+    for _ in range(2):  # an append that is run again changes nothing
+        append_nodes(nodes.where("node_id >= 35").union(nodes.where("node_id = 50")), path)
     opened = read_index(spark, path)
     assert sorted(map(tuple, bm25_search(asked, opened.lexical, 5).collect())) == want and opened.nodes.count() == 60
     with pytest.raises(FileNotFoundError, match="no index at"):
@@ -129,7 +130,10 @@ def test_feedback_array_file_and_migration(spark, tmp_path):
     assert rows[0].sources == "s, t" and rows[1].user == "" and rows[1].sources == "" and rows[0].is_helpful == "true"
     log = {r.query_text: r for r in ff.migrate_log(df).collect()}
     assert log["q"].query_id == "u_1_2024-01-01T00:00:00" and log["q"].intent_confidence == 0.8 and log["q"].session_id == "migrated"
-    assert log["q2"].user == "Unknown" and log["q2"].answer_text == "" and log["q2"].intent_type == "unknown"
+    assert set(log) == {"q"} and [r.query for r in ff.migration_errors(df).collect()] == ["q2"]
+    log = {r.query_text: r for r in ff.migrate_log(df, "2024-02-01T00:00:00").collect()}
+    assert log["q2"].query_id == "Unknown_2024-02-01T00:00:00" and log["q2"].answer_text == "" and log["q2"].intent_type == "unknown"
+    assert {r.query_id for r in ff.migrate_feedback(df, "2024-02-01T00:00:00").collect()} == {r.query_id for r in log.values()}
     assert tuple(ff.migration_counts(df).first()) == (1, 1)
 
 

@@ -4,9 +4,11 @@ import pytest
 from oracle import compare, database
 
 import __spark_entry__ as driver
+from citadex.plans import queries as registered
+from citadex.plans.oracles import assembled
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+QUERIES, ORACLES = registered.QUERIES, assembled()
 ROWS_ONLY = {"chunk_sentences", "dense_lsh"}
 
 

@@ -67,12 +67,13 @@ def test_votes_in_batches_and_again(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
     out = str(tmp_path / "out")
     stream = st.follow(spark, path, spark.createDataFrame([], schema).schema, 1)
-    st.collect_votes(stream, log, out, str(tmp_path / "state")).awaitTermination()
+    st.collect_votes(stream, out, str(tmp_path / "state")).awaitTermination()
+    assert st.read_validated(spark, out, log.where("false")).count() == 0  # the votes came first
     want = sorted(map(str, build_validated(log, spark.createDataFrame(votes, schema)).collect()))
-    assert sorted(map(str, st.read_validated(spark, out).collect())) == want
+    assert sorted(map(str, st.read_validated(spark, out, log).collect())) == want
     # the same arrivals under a fresh state, as after a lost one: batches replace themselves
-    st.collect_votes(stream, log, out, str(tmp_path / "state2")).awaitTermination()
-    assert sorted(map(str, st.read_validated(spark, out).collect())) == want
+    st.collect_votes(stream, out, str(tmp_path / "state2")).awaitTermination()
+    assert sorted(map(str, st.read_validated(spark, out, log).collect())) == want
 
 
 def test_index_grows(spark, tmp_path):
@@ -81,6 +82,8 @@ def test_index_grows(spark, tmp_path):
     for low in (0, 10):
         nodes.where(F.col("node_id").between(low, low + 9)).coalesce(1).write.mode("append").parquet(path)
     st.grow_index(st.follow(spark, path, nodes.schema, 1), out, str(tmp_path / "state")).awaitTermination()
+    nodes.where("node_id < 3").coalesce(1).write.mode("append").parquet(path)  # nodes that come again
+    st.grow_index(st.follow(spark, path, nodes.schema, 1), out, str(tmp_path / "state")).awaitTermination()
     append_nodes(nodes.where("node_id >= 10"), f"{out}/part=1", mode="overwrite")  # a batch run again
     got = read_index(spark, f"{out}/part=*").lexical.weighted_terms()
     want = build_lexical_index(nodes).weighted_terms()
