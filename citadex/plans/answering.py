@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,3 +126,30 @@ def route_queries(
     else:
         defined = ru.definition_answers(typed, un.glossary_hits(queries, glossary, 3))
     return ru.route(typed, exact, semantic, known, defined)
+
+
+SERVED = {
+    "answer": "string", "reasoning": "string", "confidence": "double",
+    "sources": "array<struct<id:string,name:string,pages:string,content_type:string>>",
+}
+
+
+def served(
+    routed: DataFrame, exact: DataFrame, semantic: DataFrame, validated: DataFrame, defined: DataFrame,
+    answer: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """One response per routed question: query_id, route, answer, reasoning, confidence, sources.
+
+    Each table after the first holds the answers of one route by query_id (columns it lacks are null in the response).
+    Only the questions that no table can answer go through `answer`, for example `answer_queries` with its options.
+    Routes are decided once and stored, so nothing is searched again for a question that is answered already.
+    """
+    decided = staged(routed, "routes")
+    left = decided.where("route = 'retrieve'").drop("route")
+    out = None
+    for name, found in (("exact", exact), ("semantic", semantic), ("validated", validated), ("glossary", defined), ("retrieve", answer(left))):
+        ids = decided.where(F.col("route") == name).select("query_id", "route")
+        own = found.select("query_id", *[(F.col(c) if c in found.columns else F.lit(None)).cast(kind).alias(c) for c, kind in SERVED.items()])
+        part = ids.join(own, "query_id", "left")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -456,6 +456,13 @@ cte("routed", f"""SELECT k.query_id, CASE WHEN k.key IN (SELECT key FROM cache)
   WHEN md5({strip('lower(k.query)')}) IN (SELECT query_hash FROM approved) THEN 'validated' WHEN a.intent_type = 'definition' THEN 'glossary' ELSE 'retrieve' END AS route
   FROM again_keyed k JOIN asked a USING (query_id)""")
 oracle("route", "SELECT query_id, route FROM routed")
+oracle("served_batch", f"""SELECT r.query_id, r.route, CASE r.route WHEN 'exact' THEN c.response WHEN 'semantic' THEN s.response WHEN 'validated' THEN a.answer_text
+    WHEN 'glossary' THEN g.answer ELSE x.answer END AS answer,
+  CASE r.route WHEN 'validated' THEN {VALIDATED_CONFIDENCE}e0 WHEN 'glossary' THEN {GLOSSARY_CONFIDENCE}e0 WHEN 'retrieve' THEN x.confidence END AS confidence
+  FROM routed r JOIN again_keyed k ON k.query_id = r.query_id LEFT JOIN cache c ON c.key = k.key LEFT JOIN near n ON n.query_id = r.query_id LEFT JOIN cache s ON s.entry_id = n.entry_id
+  LEFT JOIN approved a ON a.query_hash = md5({strip('lower(k.query)')})
+  LEFT JOIN (SELECT query_id, string_agg(term || ': ' || definition, chr(10) ORDER BY rank) AS answer FROM ghits WHERE rank <= 3 GROUP BY 1) g ON g.query_id = r.query_id
+  LEFT JOIN answers x ON x.query_id = r.query_id""")
 oracle("cache_stats", """SELECT hits, total - hits AS misses, total, round(hits / total, 6) AS hit_rate, (SELECT count(*) FROM cache) AS size FROM (
   SELECT count(*) FILTER (WHERE route IN ('exact', 'semantic')) AS hits, count(*) AS total FROM routed)""")
 oracle("answer_keys", """SELECT query_id, rank, md5(query) || '_' || md5(text) AS key FROM ctx JOIN queries USING (query_id)

@@ -601,6 +601,25 @@ def route(r):
     return _routed(r).select("query_id", "route")
 
 
+@query
+def served_batch(r):
+    """Routes, answers of every route, and retrieval for the rest, in one table."""
+    asked = r.asked_again()
+    exact = ru.exact_reuse(asked, r.cache()).where("response IS NOT NULL").select("query_id", F.col("response").alias("answer"))
+    near = ru.semantic_reuse(r.query_vectors(), _cache_vectors(r), 0.4, exclude_self=True)
+    near = near.join(r.cache().select("entry_id", F.col("response").alias("answer")), "entry_id", "left")
+    known = ru.validated_reuse(asked, _validated(r), min_votes=1).where("answer_text IS NOT NULL").withColumn("answer", F.col("answer_text"))
+    defined = ru.definition_answers(questions(r), un.glossary_hits(r.queries(), _glossary(r), 3))
+
+    def retrieved(rest):
+        these = questions(r).join(rest.select("query_id"), "query_id", "left_semi")
+        hits = fu.attach_nodes(bm25_search(these, r.index(), K), r.nodes(), K * r.queries().count())
+        return rs.respond(staged(hits, "context"), these.select("query_id", "query", "intent_type", "intent_confidence", "keywords"))
+
+    out = answering.served(ru.route(asked, exact, near, known, defined), exact, near, known, defined, retrieved)
+    return out.select("query_id", "route", "answer", "confidence")
+
+
 @query
 def cache_stats(r):
     return ru.cache_stats(_routed(r), r.cache())
