@@ -21,7 +21,7 @@ from citadex.session import scratch_path
 
 ASKED = "part int, chunk int, payload binary"
 #: Stored bytes of one chunk at most, by the size of input splits; texts are two to four times as large.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def packed(*arrays: np.ndarray) -> bytes:

@@ -38,7 +38,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     at = 0
     while at < len(texts):
         size, to = 0, at
-        while to < len(texts) and (size == 0 or size + len(texts[to]) < 1 << 20):
+        while to < len(texts) and (size == 0 or size + len(texts[to]) < 1 << 18):
             size += len(texts[to]) + 1
             to += 1
         line = np.frombuffer(b" ".join([*texts[at:to], b""]).translate(LOWER), np.uint8)

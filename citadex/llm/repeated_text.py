@@ -10,7 +10,7 @@ dealt by the strings themselves instead, where one row per chunk and string is l
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from citadex.llm.common import mix
 from citadex.llm.exchange import ASKED, chunked, packed, slices, unpacked
 from citadex.llm.shingles import _BYTE, POWERS
-from citadex.llm.suffix_array import maximal_repeats
+from citadex.llm.suffix_array import shown_earlier
 from citadex.session import staged
 
 GRAM = 16
@@ -30,6 +30,8 @@ GRAM = 16
 HOT_DOCUMENTS = 4_096
 #: Strings per passage; longer runs under one mark are cut, so that periodic text falls into equal passages.
 RUN = 256
+#: Bytes of passages that share one suffix array; a single group may exceed it.
+BATCH_BYTES = 1 << 19
 #: A null id counts as larger than any other.
 NO_ID = np.iinfo(np.int64).max
 COPIES = -1
@@ -71,7 +73,7 @@ class Chunk:
         at = 0
         while at < len(self.kept):
             size, to = 0, at
-            while to < len(self.kept) and (size == 0 or size + sizes[self.kept[to]] < 1 << 20):
+            while to < len(self.kept) and (size == 0 or size + sizes[self.kept[to]] < 1 << 18):
                 size += sizes[self.kept[to]]
                 to += 1
             some = np.array(self.kept[at:to], np.int64)
@@ -136,7 +138,8 @@ class Chunk:
             some = self.order[at[p] : at[p + 1]]
             bodies = [self.passage[k] for k in some]
             sizes = np.array([len(b) for b in bodies], np.uint32)
-            out.append(packed(np.frombuffer(b"".join(bodies), np.uint8), sizes, self.ids[self.first[some]]))
+            group = (self.route[at[p] : at[p + 1]] >> np.uint64(16)).astype(np.uint32)
+            out.append(packed(np.frombuffer(b"".join(bodies), np.uint8), sizes, self.ids[self.first[some]], group))
         return _rows(chunk, out)
 
     def spans(self, found: pa.Table) -> list[list[tuple[int, int]]]:
@@ -208,37 +211,62 @@ def _flags(asked: pa.Table) -> pa.Table:
 
 
 def _hits(sent: pa.Table, least: int) -> pa.Table:
-    """For each passage: whether a smaller id shows all of it, else the runs of it that smaller ids show."""
+    """For each passage: whether a smaller id shows all of it, else the runs of it that smaller ids show.
+
+    Strings can only be equal under one mark, so each group of passages is looked at alone. A group of one passage
+    needs no suffix array; the others are taken together up to `BATCH_BYTES`.
+    """
     number: dict[bytes, int] = {}
-    entries, docs = [], []
+    entries, docs, under = [], [], []
     for payload in sent["payload"]:
-        body, sizes, ids = unpacked(payload.as_py())
-        raw, ends = body.tobytes(), np.cumsum(sizes.astype(np.int64))
-        entries.append(np.array([number.setdefault(raw[e - int(s) : e], len(number)) for e, s in zip(ends.tolist(), sizes, strict=True)], np.int64))
+        body, sizes, ids, group = unpacked(payload.as_py())
+        raw, at, found = body.tobytes(), 0, []
+        for size, mark in zip(sizes.tolist(), group.tolist(), strict=True):
+            text = raw[at : at + size]
+            at += size
+            found.append(k := number.setdefault(text, len(number)))
+            if k == len(under):
+                under.append(mark)
+        entries.append(np.array(found, np.int64))
         docs.append(ids)
     strings = list(number)
+    del number
     first = np.full(len(strings), NO_ID, np.int64)
     for e, d in zip(entries, docs, strict=True):
         np.minimum.at(first, e, d)
-    found = maximal_repeats(strings, least)
-    spans: dict[int, list[tuple[int, int]]] = {}
-    if len(found.group):
-        owner, offset = found.array.owner[found.suffix], found.array.offset[found.suffix]
-        begins = np.flatnonzero(np.concatenate(([True], found.group[1:] != found.group[:-1])))
-        smallest = np.minimum.reduceat(first[owner], begins)
-        hit = first[owner] > smallest[found.group]
-        for o, p, n in zip(owner[hit].tolist(), offset[hit].tolist(), found.length[found.group[hit]].tolist(), strict=True):
-            spans.setdefault(o, []).append((p, p + n))
-    joined = {o: merged(s) for o, s in spans.items()}
+    joined: dict[int, list[tuple[int, int]]] = {}
+    for some in _batches(strings, np.array(under, np.int64)):
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for o, a, b in zip(*(x.tolist() for x in shown_earlier([strings[k] for k in some], first[some], least)), strict=True):
+            spans.setdefault(int(some[o]), []).append((a, b))
+        joined |= {o: merged(x) for o, x in spans.items()}
     out = []
     for e, d in zip(entries, docs, strict=True):
         whole = d > first[e]
-        runs = [(k, a, b) for k, o in enumerate(e.tolist()) if not whole[k] and o in joined for a, b in joined[o]]
+        runs = [(k, a, b) for k, o in enumerate(e.tolist()) if o in joined and not whole[k] for a, b in joined[o]]
         table = np.array(runs, np.uint32).reshape(-1, 3)
         out.append(packed(whole.astype(np.uint8), *(np.ascontiguousarray(table[:, i]) for i in range(3))))
     return pa.table({"part": sent["part"], "chunk": sent["chunk"], "payload": pa.array(out, pa.binary())})
 
 
+def _batches(strings: list[bytes], under: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of the strings that share their group with another, whole groups together."""
+    order = np.argsort(under, kind="stable")
+    begins = np.flatnonzero(np.diff(under[order], prepend=-1))
+    batch: list[np.ndarray] = []
+    size = 0
+    for group in np.split(order, begins[1:]):
+        if len(group) < 2:
+            continue
+        batch.append(group)
+        size += sum(len(strings[k]) for k in group)
+        if size > BATCH_BYTES:
+            yield np.concatenate(batch)
+            batch, size = [], 0
+    if batch:
+        yield np.concatenate(batch)
+
+
 def _packed_ids(rows: pa.Table) -> pa.Table:
     body = packed(np.unique(rows["doc_id"].to_numpy()))
     return pa.table({"part": pa.array([COPIES], pa.int32()), "chunk": rows["chunk"].slice(0, 1), "payload": pa.array([body], pa.binary())})

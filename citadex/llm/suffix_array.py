@@ -74,15 +74,35 @@ def suffix_array(strings: list[bytes], least: int) -> SuffixArray:
     return SuffixArray(owner[order], (place - first)[order], before[order], lcp)
 
 
-def intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The nodes of the common-prefix interval tree with a prefix of `least` or more: first and last suffix, length.
+@dataclass
+class IntervalTree:
+    """Nodes with a common prefix of at least the wanted length: first and last suffix, length of the prefix, parent or -1."""
 
-    One scan with a stack of open intervals.
-    """
+    first: np.ndarray
+    last: np.ndarray
+    length: np.ndarray
+    parent: np.ndarray
+
+    def least_of(self, values: np.ndarray) -> np.ndarray:
+        """The smallest of `values` (one per suffix) in each node."""
+        if not len(self.first):
+            return np.empty(0, values.dtype)
+        bounds = np.column_stack((self.first, self.last + 1)).ravel()
+        return np.minimum.reduceat(np.append(values, values[-1:]), bounds)[::2]
+
+    def diverse(self, before: np.ndarray) -> np.ndarray:
+        """Whether the bytes to the left of a node's suffixes differ; the start of a string differs from everything."""
+        low, high = self.least_of(before), -self.least_of(-before)
+        return (low < 0) | (low != high)
+
+
+def interval_tree(lcp: np.ndarray, least: int) -> IntervalTree:
+    """One scan over the common prefixes with a stack of open intervals."""
     first: list[int] = []
     last: list[int] = []
     length: list[int] = []
-    open_: list[tuple[int, int]] = []
+    parent: list[int] = []
+    stack: list[int] = []
     near = np.flatnonzero(lcp >= least)
     # after each run of shared prefixes a 0 closes what is open
     closing = near[np.flatnonzero(np.diff(near, append=len(lcp) + 2) > 1)] + 1
@@ -90,15 +110,21 @@ def intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.n
     order = np.argsort(at, kind="stable")
     values = np.concatenate((lcp[near], np.zeros(len(closing), np.int64)))[order]
     for i, value in zip(at[order].tolist(), values.tolist(), strict=True):
-        begin = i - 1
-        while open_ and open_[-1][0] > value:
-            shared, begin = open_.pop()
+        begin, child = i - 1, -1
+        while stack and length[stack[-1]] > value:
+            child = stack.pop()
+            last[child], begin = i - 1, first[child]
+            if stack and length[stack[-1]] >= value:
+                parent[child] = stack[-1]
+        if value and (not stack or length[stack[-1]] < value):
+            if child >= 0:
+                parent[child] = len(first)
+            parent.append(stack[-1] if stack else -1)
+            stack.append(len(first))
             first.append(begin)
-            last.append(i - 1)
-            length.append(shared)
-        if value and (not open_ or open_[-1][0] < value):
-            open_.append((value, begin))
-    return np.array(first, np.int64), np.array(last, np.int64), np.array(length, np.int64)
+            last.append(-1)
+            length.append(value)
+    return IntervalTree(*(np.array(x, np.int64) for x in (first, last, length, parent)))
 
 
 @dataclass
@@ -114,20 +140,37 @@ class Repeats:
 def maximal_repeats(strings: list[bytes], least: int) -> Repeats:
     """Groups of equal substrings of `least` bytes or more that can be extended neither to the right nor to the left.
 
-    An interval cannot be extended to the right by its nature; it is kept if the bytes to the left of its suffixes
-    differ, where the start of a string differs from everything.
+    An interval cannot be extended to the right by its nature; it is kept if its left extensions are diverse. All
+    occurrences are listed, those of nested groups again and again: use it on strings of bounded size.
     """
     array = suffix_array(strings, least)
-    first, last, length = intervals(array.lcp, least)
-    size = last - first + 1
+    tree = interval_tree(array.lcp, least)
+    kept = tree.diverse(array.before)
+    first, size = tree.first[kept], (tree.last - tree.first + 1)[kept]
     group = np.repeat(np.arange(len(first)), size)
-    suffix = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64), size) + np.arange(int(size.sum()))
-    if len(group):
-        begins = np.cumsum(size) - size
-        low = np.minimum.reduceat(array.before[suffix], begins)
-        high = np.maximum.reduceat(array.before[suffix], begins)
-        diverse = (low < 0) | (low != high)
-        kept = diverse[group]
-        number = np.cumsum(diverse) - 1
-        return Repeats(array, number[group[kept]], suffix[kept], length[diverse])
-    return Repeats(array, group, suffix, length)
+    return Repeats(array, group, np.arange(len(group)) - np.repeat(np.cumsum(size) - size - first, size), tree.length[kept])
+
+
+def shown_earlier(strings: list[bytes], ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (string, start, stop) that occur in a string with a smaller id, from all occurrences of all maximal repeats.
+
+    Of the nested repeats at a suffix the longest with a smaller id counts. One that extends to the left by a single
+    byte adds nothing to the repeat one byte to the left, and is left out. Memory grows with the strings alone.
+    """
+    array = suffix_array(strings, least)
+    tree = interval_tree(array.lcp, least)
+    mine = ids[array.owner]
+    low, diverse = tree.least_of(mine), tree.diverse(array.before)
+    inner = np.full(len(array.owner), -1, np.int64)
+    above = np.full(len(tree.first), -1, np.int64)  # the nearest node around with a smaller id
+    for k in np.argsort(tree.length, kind="stable").tolist():
+        inner[tree.first[k] : tree.last[k] + 1] = k
+        p = tree.parent[k]
+        if p >= 0:
+            above[k] = p if low[p] < low[k] else above[p]
+    at = np.flatnonzero(inner >= 0)
+    node = inner[at]
+    node = np.where(low[node] < mine[at], node, above[node])
+    good = (node >= 0) & diverse[node] if len(node) else node >= 0
+    at, node = at[good], node[good]
+    return array.owner[at], array.offset[at], array.offset[at] + tree.length[node]
