@@ -15,6 +15,9 @@ from citadex.operators.fusion import ranked
 from citadex.session import measured_bytes, small_enough
 from citadex.settings import BLOCK_ROWS, SCORE_DIGITS
 
+#: Questions scored at once against one block of vectors.
+QUESTION_ROWS = 2_048
+
 
 def _unit(vectors: Sequence) -> np.ndarray:
     matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
@@ -23,24 +26,33 @@ def _unit(vectors: Sequence) -> np.ndarray:
 
 
 def _block_hits(keys: pd.DataFrame, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """The `k` best rows of one block for each question; ties go to the smaller id."""
+    """The `k` best rows of one block for each question; ties go to the smaller id.
+
+    Questions are scored in tiles, so the score matrix is bounded whatever their number. `_row` numbers the question.
+    """
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
-    scores = queries @ vectors.T
-    if len(ids) > k:
-        shown = np.round(scores, SCORE_DIGITS)
-        limit = np.partition(shown, -k, axis=1)[:, -k]
-        picked = []
-        for row, bar in zip(shown, limit, strict=True):
-            above = np.flatnonzero(row > bar)
-            level = np.flatnonzero(row == bar)[: k - len(above)]
-            picked.append(np.concatenate([above, level]))
-        columns = np.concatenate(picked)
-        rows = np.repeat(np.arange(len(queries)), [len(p) for p in picked])
-    else:
-        rows, columns = np.repeat(np.arange(len(queries)), len(ids)), np.tile(np.arange(len(ids)), len(queries))
-    out = keys.iloc[rows].reset_index(drop=True)
-    return out.assign(node_id=ids[columns], score=scores[rows, columns])
+    n = len(ids)
+    rows, columns, kept = [], [], []
+    for start in range(0, len(queries), QUESTION_ROWS):
+        scores = queries[start:start + QUESTION_ROWS] @ vectors.T
+        if n > k:  # one number per cell that orders by rounded score, then by smaller id
+            place = np.rint(scores * 10**SCORE_DIGITS).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+            best = np.argpartition(place, n - k, axis=1)[:, n - k:]
+        else:
+            best = np.tile(np.arange(n), (len(scores), 1))
+        rows.append(np.repeat(np.arange(start, start + len(scores)), best.shape[1]))
+        columns.append(best.ravel())
+        kept.append(np.take_along_axis(scores, best, axis=1).ravel())
+    row, column = np.concatenate(rows), np.concatenate(columns)
+    out = keys.iloc[row].reset_index(drop=True)
+    return out.assign(node_id=ids[column], score=np.concatenate(kept), _row=row)
+
+
+def _cut(hits: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The `k` best hits of each question among those of several blocks."""
+    ordered = hits.assign(_shown=-hits["score"].round(SCORE_DIGITS)).sort_values(["_row", "_shown", "node_id"], kind="stable")
+    return ordered.groupby("_row").head(k).drop(columns="_shown")
 
 
 def _result_schema(queries: DataFrame, vectors: DataFrame, keys: Sequence[str]) -> T.StructType:
@@ -65,7 +77,7 @@ def dense_search(
     """The exact `k` nearest nodes by cosine; both sides hold `embedding`.
 
     A question side of measured small size goes to every task, and the vectors are not shuffled at
-    all. Beyond the limit both sides meet in bounded blocks, see `probed_search`.
+    all; a task keeps the best rows over all its blocks and gives back at most `k` per question. Beyond the limit both sides meet in bounded blocks, see `probed_search`.
     """
     if broadcast is None:
         broadcast = small_enough(measured_bytes(queries, *keys, "embedding"))
@@ -80,10 +92,16 @@ def dense_search(
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, matrix = shared.value
+        held: pd.DataFrame | None = None
         for batch in batches:
             for start in range(0, len(batch), BLOCK_ROWS):
                 part = batch.iloc[start:start + BLOCK_ROWS]
-                yield _block_hits(names, matrix, part["node_id"].to_numpy(), _unit(part["embedding"]), fetch)
+                new = _block_hits(names, matrix, part["node_id"].to_numpy(), _unit(part["embedding"]), fetch)
+                held = new if held is None else pd.concat([held, new], ignore_index=True)
+                if len(held) > 4 * fetch * len(names):
+                    held = _cut(held, fetch)
+        if held is not None:
+            yield _cut(held, fetch).drop(columns="_row")
 
     held = vectors.select("node_id", "embedding").where(F.size("embedding") > 0)
     return _top(held.mapInPandas(score, schema), keys, k, exclude_self)
@@ -149,7 +167,7 @@ def probed_search(
         return _block_hits(
             questions[keys], _unit(questions["embedding"]),
             nodes["node_id"].to_numpy(), _unit(nodes["embedding"]), fetch,
-        )
+        ).drop(columns="_row")
 
     place = ["cell", "block", "part"]
     scored = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInPandas(score, schema)

@@ -82,6 +82,7 @@ def test_dense_equals_brute_force(spark, vectors, broadcast, monkeypatch):
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
     nodes = spark.createDataFrame(rows, "node_id long, embedding array<float>")
     asked = spark.createDataFrame(rows[:70], "query_id long, embedding array<float>")
+    monkeypatch.setattr("citadex.operators.dense.QUESTION_ROWS", 16)
     hits = dense_search(asked, nodes, K, exclude_self=True, broadcast=broadcast)
     assert {(r.query_id, r.node_id, r["rank"]) for r in hits.collect()} == brute_dense(vectors, range(70), K)
 
