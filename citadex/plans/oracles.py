@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
 from citadex.plans.roles import PREFIXES
 from citadex.settings import (
     ACRONYMS, DEFAULT_GUIDANCE, DEFAULT_LABEL, GLOSSARY_CONFIDENCE, GLOSSARY_REASONING, INTENT_GUIDANCE, INTENT_LABELS,
@@ -349,6 +351,18 @@ oracle("bm25_terms", "SELECT term, df, round(idf, 6) AS idf FROM ix_idf")
 oracle("bm25_postings", "SELECT node_id, dl, term, tf FROM ix_post")
 oracle("bm25_topk", "SELECT * FROM bm10")
 oracle("dense_topk", "SELECT * FROM dn10")
+
+
+def cell(bits: int = 6, dim: int = 64, seed: int = 7) -> str:
+    """The fixed planes as literals: which side of each a vector lies on."""
+    sides = (", ".join(repr(float(x)) for x in plane) for plane in np.random.default_rng(seed).standard_normal((bits, dim)))
+    return " + ".join(f"CASE WHEN list_inner_product(CAST(embedding AS DOUBLE[]), CAST([{s}] AS DOUBLE[])) > 0 THEN {1 << i} ELSE 0 END" for i, s in enumerate(sides))
+
+
+cte("lsh_nodes", f"SELECT node_id, embedding, {cell()} AS cell FROM vectors")
+cte("lsh_asked", f"SELECT query_id, embedding, {cell()} AS cell FROM qvecs")
+oracle("dense_lsh", ranked("""SELECT q.query_id, v.node_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
+  FROM lsh_asked q JOIN lsh_nodes v ON bit_count(xor(q.cell, v.cell)) <= 2 AND v.node_id <> q.query_id""", k=10))
 oracle("score_norm", "SELECT query_id, node_id, rank, round(score / max(score) OVER (PARTITION BY query_id), 6) AS norm FROM bm10")
 oracle("hybrid_fuse", f"SELECT query_id, node_id, round(dense, 6) AS dense, round(bm25, 6) AS bm25, score, rank FROM ({ranked('SELECT * FROM fused', 'query_id', 10)})")
 oracle("hybrid_filtered", ranked("SELECT query_id, node_id, score FROM fused JOIN nodes USING (node_id) WHERE content_type = 'text'", "query_id", 10))
