@@ -176,28 +176,35 @@ def chunk_sentences(
     return _exploded_chunks(df, pack(sentences), text, key)
 
 
+# What is no mark-up of the page: comments, scripts, styles.
+UNSEEN = r"(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>"
+ATTRIBUTE_VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 # Kind of block, the content type its node gets, and the pattern whose first group is its content.
 BLOCK_PATTERNS = (
     ("heading", "text", r"(?is)<h[1-6](?:\s[^>]*)?>(.*?)</h[1-6]>"),
     ("paragraph", "text", r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"),
     ("list_item", "text", r"(?is)<li(?:\s[^>]*)?>(.*?)</li>"),
-    ("link", "text", r"(?is)<a\s[^>]*href=\"([^\"]*)\""),
+    ("link", "text", r"(?is)<a\s(?:[^>]*?\s)?href" + ATTRIBUTE_VALUE),
     ("table", "table", r"(?is)<table(?:\s[^>]*)?>(.*?)</table>"),
-    ("image", "image", r"(?is)<img\s[^>]*alt=\"([^\"]*)\""),
+    ("image", "image", r"(?is)<img\s(?:[^>]*?\s)?alt" + ATTRIBUTE_VALUE),
     ("caption", "figure_caption", r"(?is)<figcaption(?:\s[^>]*)?>(.*?)</figcaption>"),
 )
 
 
 def page_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Typed blocks of raw pages, in one pass over the mark-up; tags inside a block are removed."""
+    """Typed blocks of raw pages, in one pass over the mark-up; tags inside a block are removed.
+
+    Comments, scripts and styles hold no blocks. Attribute values may be quoted either way or bare.
+    """
     keep = [c for c in pages.columns if c != html]
+    seen = F.regexp_replace(F.col(html), UNSEEN, "")
 
     def found(kind: str, content_type: str, pattern: str) -> Column:
         return F.transform(
-            F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1)),
+            F.regexp_extract_all(seen, F.lit(pattern), F.lit(1)),
             lambda body, i: F.struct(
                 F.lit(kind).alias("kind"), F.lit(content_type).alias("content_type"),
-                i.alias("block_ix"), body.alias("body"),
+                i.alias("block_ix"), (F.regexp_replace(body, "^[\"']|[\"']$", "") if ATTRIBUTE_VALUE in pattern else body).alias("body"),
             ),
         )
 

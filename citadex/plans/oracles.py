@@ -309,12 +309,16 @@ oracle("chunk_window", f"""SELECT doc_id, source, i AS chunk_ix, array_to_string
 oracle("ingest_summary", "SELECT file_name, content_type, count(*) AS n_nodes FROM nodes GROUP BY ALL")
 _blocks = (
     ("heading", "text", r"(?is)<h[1-6](?:\s[^>]*)?>(.*?)</h[1-6]>"), ("paragraph", "text", r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"),
-    ("list_item", "text", r"(?is)<li(?:\s[^>]*)?>(.*?)</li>"), ("link", "text", r'(?is)<a\s[^>]*href="([^"]*)"'),
-    ("table", "table", r"(?is)<table(?:\s[^>]*)?>(.*?)</table>"), ("image", "image", r'(?is)<img\s[^>]*alt="([^"]*)"'),
+    ("list_item", "text", r"(?is)<li(?:\s[^>]*)?>(.*?)</li>"), ("link", "text", r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""),
+    ("table", "table", r"(?is)<table(?:\s[^>]*)?>(.*?)</table>"), ("image", "image", r"""(?is)<img\s(?:[^>]*?\s)?alt\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""),
     ("caption", "figure_caption", r"(?is)<figcaption(?:\s[^>]*)?>(.*?)</figcaption>"),
 )
+_quoted = lambda x: x.replace("'", "''")
+_seen = r"regexp_replace(html, '(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>', '', 'g')"
+_plain_value = "regexp_replace(body, '^[\"'']|[\"'']$', '', 'g')"
 oracle("page_blocks", f"""SELECT page_id, kind, content_type, block_ix, {strip("regexp_replace(body, '(?s)<[^>]*>', '', 'g')")} AS text FROM (""" + " UNION ALL ".join(
-    f"SELECT page_id, '{k}' AS kind, '{c}' AS content_type, unnest(m) AS body, generate_subscripts(m, 1) - 1 AS block_ix FROM (SELECT page_id, regexp_extract_all(html, '{x}', 1) AS m FROM pages)"
+    f"SELECT page_id, '{k}' AS kind, '{c}' AS content_type, {_plain_value if k in ('link', 'image') else 'body'} AS body, block_ix FROM ("
+    f"SELECT page_id, unnest(m) AS body, generate_subscripts(m, 1) - 1 AS block_ix FROM (SELECT page_id, regexp_extract_all({_seen}, '{_quoted(x)}', 1) AS m FROM pages))"
     for k, c, x in _blocks) + f""") WHERE {strip("regexp_replace(body, '(?s)<[^>]*>', '', 'g')")} <> ''""")
 
 # --- question understanding ---------------------------------------------------------------------

@@ -72,11 +72,12 @@ def test_sentences_are_kept_whole(spark):
 
 def test_page_blocks(spark):
     html = '<h1>Top &amp; title</h1><p class="x">One <b>bold</b></p><pre>no</pre><ul><li><a href="/u">link</a></li></ul><img src="i" alt="a pump"><figcaption>Fig</figcaption>'
+    html += """<a class=x href='/single'>s</a><a href=/bare>b</a><img alt='one "two"' src=i><!-- <p>comment</p> --><script>var p = "<p>script</p>";</script>"""
     df = spark.createDataFrame([(1, html)], "page_id long, html string")
     got = {(r.kind, r.content_type, r.text) for r in co.page_blocks(df).collect()}
     assert got == {
         ("heading", "text", "Top &amp; title"), ("paragraph", "text", "One bold"), ("list_item", "text", "link"), ("link", "text", "/u"),
-        ("image", "image", "a pump"), ("caption", "figure_caption", "Fig"),
+        ("link", "text", "/single"), ("link", "text", "/bare"), ("image", "image", 'one "two"'), ("image", "image", "a pump"), ("caption", "figure_caption", "Fig"),
     }
 
 
