@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citadex.session import scratch_path
+from citadex.session import broadcast_within, scratch_path, staged
 
 TOKENS = "queue string, block int, doc_id long, block_start long, n_tokens long, ids binary"
 PIECES = T.StructType([
@@ -175,7 +175,7 @@ def pack(
     path = scratch_path(spark, "tokens")
     tokenise(docs, tokenizer, end_id, queue, text, doc_id).write.option("compression", "zstd").parquet(path)
     stored = spark.read.schema(TOKENS).parquet(path)
-    blocks = stored.groupBy("queue", "block").agg(F.sum("n_tokens").alias("n"))
+    blocks = staged(stored.groupBy("queue", "block").agg(F.sum("n_tokens").alias("n")), "blocks")
     before = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = blocks.select("queue", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     totals = {r["queue"]: r["n"] for r in blocks.groupBy("queue").agg(F.sum("n").alias("n")).limit(max_queues + 1).collect()}
@@ -197,5 +197,7 @@ def pack(
             types = [pa.string() if f.name == "queue" else pa.int64() for f in PIECES]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=PIECES.names)
 
-    placed = stored.join(bases, ["queue", "block"]).select("queue", "doc_id", (F.col("base") + F.col("block_start")).alias("start"), "n_tokens", "ids")
+    # one row per queue and task of the first pass; beyond the measured bound both sides are shuffled
+    near = broadcast_within(bases, int(blocks.select(F.sum(F.octet_length("queue") + 64)).first()[0] or 0))
+    placed = stored.join(near, ["queue", "block"]).select("queue", "doc_id", (F.col("base") + F.col("block_start")).alias("start"), "n_tokens", "ids")
     return placed.mapInArrow(place, PIECES)
