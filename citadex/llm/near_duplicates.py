@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from citadex.llm.common import free_name
 from citadex.llm.components import connected
 from citadex.llm.shingles import bag, bands, overlap, signature
-from citadex.session import broadcast_within, staged
+from citadex.session import broadcast_within, scratch_path, scratch_scope, staged
 
 
 def signed(docs: DataFrame, text: str, doc_id: str, words: int, m: int, rows: int) -> DataFrame:
@@ -153,8 +153,12 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
 
     Rows with a null doc_id stay as they are.
     """
-    classes = near_duplicates(docs, text, doc_id, **options)
-    gone = staged(classes.where("class_id <> doc_id").select("doc_id").distinct(), "gone")
+    spark = docs.sparkSession
+    path = scratch_path(spark, "gone")
+    with scratch_scope(spark):
+        classes = near_duplicates(docs, text, doc_id, **options)
+        classes.where("class_id <> doc_id").select("doc_id").distinct().write.parquet(path)
+    gone = spark.read.schema("doc_id long").parquet(path)
     left = docs.join(broadcast_within(gone.withColumnRenamed("doc_id", doc_id), 64 * gone.count()), doc_id, "left_anti")
     repeated = staged(docs.groupBy(doc_id).count().where(F.col("count") > 1).where(F.col(doc_id).isNotNull()).select(doc_id), "repeated")
     if repeated.isEmpty():

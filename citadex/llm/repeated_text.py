@@ -23,7 +23,7 @@ from citadex.llm.common import mix
 from citadex.llm.exchange import ASKED, chunked, packed, slices, unpacked
 from citadex.llm.shingles import _BYTE, POWERS
 from citadex.llm.suffix_array import shown_earlier
-from citadex.session import staged
+from citadex.session import scratch_path, scratch_scope, staged
 
 GRAM = 16
 #: A mark met in more documents than this is dealt by whole strings.
@@ -276,36 +276,41 @@ def _pass_over(docs: DataFrame, least: int, finish: Callable[[Chunk, list, pa.Ta
     """Run all passes; `docs` has doc_id and text, `finish` gets the removed runs of each row of a chunk."""
     if least < GRAM:
         raise ValueError(f"strings of fewer than {GRAM} bytes are not supported")
-    chunks = chunked(docs)
-    parts = 2 * chunks.parts
-    known = chunks.rows.where("doc_id IS NOT NULL").select("chunk", "doc_id", F.sha2("text", 256).alias("digest")).where("digest IS NOT NULL")
-    firsts = staged(known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "firsts")
-    copies = known.join(firsts, "digest").where("doc_id > first").select("chunk", "doc_id")
-    copies = staged(copies.groupBy("chunk").applyInArrow(_packed_ids, ASKED), "copies")
-    asked = chunks.hear(copies, lambda rows, found: Chunk(rows, found, least).asked(rows["chunk"][0].as_py(), parts) if rows.num_rows else _rows(0, []), ASKED)
-    flags = staged(asked.groupBy("part").applyInArrow(_flags, ASKED), "flags")
-
-    def prepared(rows: pa.Table, found: pa.Table) -> Chunk:
-        chunk = Chunk(rows, found, least)
-        answers = [f for f in _answers(found) if len(f) == 1]
-        chunk.passages(np.concatenate([f[0] for f in answers] or [np.empty(0, np.uint8)]))
-        return chunk
-
-    def send(rows: pa.Table, found: pa.Table) -> pa.Table:
-        return prepared(rows, found).sent(rows["chunk"][0].as_py(), parts) if rows.num_rows else _rows(0, [])
-
-    sent = chunks.hear(copies.union(flags), send, ASKED)
-    hits = staged(sent.groupBy("part").applyInArrow(lambda table: _hits(table, least), ASKED), "hits")
-
-    def end(rows: pa.Table, found: pa.Table) -> pa.Table:
-        chunk = prepared(rows, found)
-        part = found["part"].to_numpy()
-        mine = found.take(pa.array(np.flatnonzero(part >= parts)))
-        return finish(chunk, chunk.spans(mine), rows)
-
-    # answers of the last pass are told from flags by their key range
-    later = hits.select((F.col("part") + parts).alias("part"), "chunk", "payload")
-    return staged(chunks.hear(copies.union(flags).union(later), end, schema), "removed")
+    spark = docs.sparkSession
+    path = scratch_path(spark, "removed")
+    with scratch_scope(spark):
+        chunks = chunked(docs)
+        parts = 2 * chunks.parts
+        known = chunks.rows.where("doc_id IS NOT NULL").select("chunk", "doc_id", F.sha2("text", 256).alias("digest")).where("digest IS NOT NULL")
+        firsts = staged(known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "firsts")
+        copies = known.join(firsts, "digest").where("doc_id > first").select("chunk", "doc_id")
+        copies = staged(copies.groupBy("chunk").applyInArrow(_packed_ids, ASKED), "copies")
+        asked = chunks.hear(copies, lambda rows, found: Chunk(rows, found, least).asked(rows["chunk"][0].as_py(), parts) if rows.num_rows else _rows(0, []), ASKED)
+        flags = staged(asked.groupBy("part").applyInArrow(_flags, ASKED), "flags")
+
+        def prepared(rows: pa.Table, found: pa.Table) -> Chunk:
+            chunk = Chunk(rows, found, least)
+            answers = [f for f in _answers(found) if len(f) == 1]
+            chunk.passages(np.concatenate([f[0] for f in answers] or [np.empty(0, np.uint8)]))
+            return chunk
+
+        def send(rows: pa.Table, found: pa.Table) -> pa.Table:
+            return prepared(rows, found).sent(rows["chunk"][0].as_py(), parts) if rows.num_rows else _rows(0, [])
+
+        sent = chunks.hear(copies.union(flags), send, ASKED)
+        hits = staged(sent.groupBy("part").applyInArrow(lambda table: _hits(table, least), ASKED), "hits")
+
+        def end(rows: pa.Table, found: pa.Table) -> pa.Table:
+            chunk = prepared(rows, found)
+            part = found["part"].to_numpy()
+            mine = found.take(pa.array(np.flatnonzero(part >= parts)))
+            return finish(chunk, chunk.spans(mine), rows)
+
+        # answers of the last pass are told from flags by their key range
+        later = hits.select((F.col("part") + parts).alias("part"), "chunk", "payload")
+        chunks.hear(copies.union(flags).union(later), end, schema).write.parquet(path)
+        chunks.close()
+    return spark.read.schema(schema).parquet(path)
 
 
 def repeated_spans(docs: DataFrame, least: int = 50, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
