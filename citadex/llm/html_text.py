@@ -38,12 +38,25 @@ DROPPED_TAGS = frozenset("button canvas iframe math noscript object script selec
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BAD_TAGS = frozenset("aside dialog footer form menu nav".split())
 BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adbox|adsense|advert\w*|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|side-?bar|breadcrumbs?|pagination|pager|foot|footer|"
-    r"comments?|comment-?list|commentlist|disqus\w*|respond|repl(?:y|ies)|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|login|"
-    r"share|sharing|social|related|recommended|widget|copyright|disclaimer|toolbar|topbar|skip-?link)(?:$|[\s_-])"
+# Names are class and id tokens. A token counts if all its parts between hyphens are such words, or words that only say
+# which part or how many ("site-footer", "comments-area"); "content-sidebar-wrap" and "has-sidebar" name a layout.
+BEFORE = r"(?:site|global|primary|secondary|top|bottom|post|entry|article)[_-]+"
+AFTER = r"[_-]+(?:area|bar|block|box|container|form|inner|items?|links?|lists?|section|wrap|wrapper)"
+LAYOUT = r"nav|navbar|navigation|menu\w*|side-?bar|breadcrumbs?|pagination|pager|foot|footer|share|sharing|social|widget|copyright|disclaimer|toolbar|topbar|skip-?link"
+MATTER = (
+    r"ads?|adbox|adsense|advert\w*|sponsor\w*|promo\w*|comments?|comment-?list|disqus\w*|respond|repl(?:y|ies)|cookies?|consent|gdpr|notices?|popup|modal|"
+    r"newsletter|subscribe|signup|login|related|recommended"
 )
-HEAD_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead|banner)(?:$|[\s_-])")
+
+
+def _name(words: str) -> re.Pattern[str]:
+    return re.compile(rf"(?:^|\s)(?:{BEFORE})*(?:{words})(?:[_-]+(?:{LAYOUT}|{MATTER})|{AFTER})*(?=\s|$)")
+
+
+#: Names of layout, which an article or main element inside may overrule, and of matter that is not the page's own.
+LAYOUT_NAME, MATTER_NAME, HEAD_NAME = _name(LAYOUT), _name(rf"(?:(?:{LAYOUT})[_-]+)*(?:{MATTER})"), _name("header|masthead|banner")
+#: How bad a container is: not; an article in others' matter, which counts if the page has no other; layout; others' matter; for good.
+CLEAN, LAST_RESORT, BAD_LAYOUT, BAD_MATTER, BAD = range(5)
 
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -52,6 +65,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 CLOSING = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in DROPPED_TAGS}
 WORD = re.compile(r"[^\W\d_]+")
+LATIN = re.compile(r"[a-z\u00df-\u024f]")
+DENSE = re.compile(r"[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff]")  # one character says as much as several letters
 
 
 @dataclass
@@ -72,22 +87,29 @@ class Block:
     bad: bool
     inside: bool
     heading: bool
+    plain: bool = True  # has words outside links
 
 
 def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)}
 
 
-def _is_bad(tag: str, source: str, inside: bool) -> bool:
+def _badness(tag: str, source: str, inside: bool) -> int:
+    if tag == "form":
+        return BAD_LAYOUT  # some systems put whole pages into one
     if tag in BAD_TAGS or (tag == "header" and not inside):
-        return True
+        return BAD
     if "=" not in source and "hidden" not in source:
-        return False
+        return CLEAN
     have = _attributes(source.rstrip(">"))
+    if "hidden" in have or have.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", have.get("style", "")) is not None or have.get("role", "").lower() in BAD_ROLES:
+        return BAD
+    if tag in ("article", "main", "body", "html"):
+        return CLEAN
     name = f"{have.get('class', '')} {have.get('id', '')}".lower()
-    hidden = "hidden" in have or have.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", have.get("style", "")) is not None
-    main = tag in ("article", "main", "body", "html")
-    return hidden or have.get("role", "").lower() in BAD_ROLES or (not main and (BAD_NAME.search(name) is not None or (not inside and HEAD_NAME.search(name) is not None)))
+    if MATTER_NAME.search(name) is not None:
+        return BAD_MATTER
+    return BAD_LAYOUT if LAYOUT_NAME.search(name) is not None or (not inside and HEAD_NAME.search(name) is not None) else CLEAN
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -95,7 +117,8 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     links: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, whether it or one around it is bad, is an article
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, how bad it or what is around it is, whether in an article or main, in an article
+    levels: list[int] = []
     opened: dict[str, int] = {}  # how often each tag is on the stack
     state = {"link": 0, "heading": False}
 
@@ -106,7 +129,10 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, len(" ".join(html.unescape("".join(links)).split())), bool(stack) and stack[-1][1], bool(stack) and stack[-1][2], state["heading"]))
+                linked = " ".join(html.unescape("".join(links)).split())
+                _, level, inside, _ = stack[-1] if stack else ("", CLEAN, False, False)
+                levels.append(level)
+                out.append(Block(text, len(linked), False, inside, state["heading"], not linked or sum(map(str.isalnum, text)) > sum(map(str.isalnum, linked))))
             parts.clear()
             links.clear()
 
@@ -150,15 +176,20 @@ def blocks_of(page: str) -> list[Block]:
                     pop()
                 pop()
         elif tag not in VOID_TAGS:
-            around, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            bad = _is_bad(tag, rest, inside)
+            _, around, inside, article = stack[-1] if stack else ("", CLEAN, False, False)
+            bad = _badness(tag, rest, inside)
+            if tag in ("article", "main") and not article:
+                around = {BAD_LAYOUT: CLEAN, BAD_MATTER: LAST_RESORT}.get(around, around)
             if bad and tag not in BLOCK_TAGS:
                 close_block()
             if bad or tag in ("article", "main", "p", "div", "section", "ul", "ol", "li", "dl", "dt", "dd", "header", "table", "tr", "td"):
                 opened[tag] = opened.get(tag, 0) + 1
-                stack.append((tag, bad or around, inside or tag in ("article", "main")))
+                stack.append((tag, max(bad, around), inside or tag in ("article", "main"), article or tag == "article"))
     add(page[at:])
     close_block()
+    best = CLEAN if any(level == CLEAN and b.inside for level, b in zip(levels, out, strict=True)) else LAST_RESORT
+    for level, block in zip(levels, out, strict=True):
+        block.bad = level > best
     return out
 
 
@@ -168,7 +199,7 @@ def _first_pass(block: Block, rules: Rules) -> bool | None:
     if block.bad or "©" in block.text and not block.inside:
         return False
     if block.link_chars > rules.max_link_density * n:
-        return False if not block.inside or n < rules.long or block.link_chars > 0.8 * n else None
+        return None if block.inside and (block.plain if n < rules.long else block.link_chars <= 0.8 * n) else False
     if block.heading or n < rules.short:
         return None
     words = WORD.findall(block.text.lower())
@@ -180,13 +211,26 @@ def _first_pass(block: Block, rules: Rules) -> bool | None:
     return None if block.inside else False
 
 
+def _by_length(block: Block, rules: Rules, latin: bool) -> bool:
+    """Whether a block outside articles is prose by length and links alone; `latin`: in whatever script."""
+    if block.bad or block.heading or "©" in block.text or block.link_chars > rules.max_link_density * len(block.text):
+        return False
+    words = WORD.findall(block.text.lower())
+    return len(block.text) + 2 * len(DENSE.findall(block.text)) >= rules.short and len(words) > 1 and (latin or 2 * sum(LATIN.search(w) is not None for w in words) < len(words))
+
+
 def main_blocks(blocks: list[Block], rules: Rules) -> list[bool]:
     """Both passes: whether each block is main text.
 
     Boilerplate inside an article says nothing about its neighbours. Where nothing near is decided, an article is text
-    and anything else is not; at equal distance the neighbour that is text wins.
+    and anything else is not; at equal distance the neighbour that is text wins. The stop words are those of some
+    languages: on a page without article, blocks in a script that no list has, and all blocks if the lists find no text,
+    are decided by length and links alone.
     """
     first = [_first_pass(b, rules) for b in blocks]
+    if not any(b.inside and not b.bad for b in blocks):
+        silent = True not in first
+        first = [label or _by_length(b, rules, silent) or label for label, b in zip(first, blocks, strict=True)]
     before = _nearest_decided(blocks, first, range(len(blocks)))
     after = _nearest_decided(blocks, first, range(len(blocks) - 1, -1, -1))
     out: list[bool] = []
@@ -208,7 +252,7 @@ def _nearest_decided(blocks: list[Block], first: list[bool | None], order: range
         if blocks[i].inside != inside:
             seen, inside = None, blocks[i].inside
         out[i] = seen
-        if first[i] is not None and not (blocks[i].bad and blocks[i].inside):
+        if first[i] or (first[i] is False and not blocks[i].inside):
             seen = i
     return out
 

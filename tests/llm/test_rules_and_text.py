@@ -121,6 +121,51 @@ def test_pages_without_article():
     assert ht.extract(f"<ul>{links}</ul><p>Short</p><ul>{links}</ul>") == ""
 
 
+PROSE = "This is the text of the page, and it is long enough that the rules can tell what it is. It goes on and on, for it has to be more than a few words."
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-sidebar", "layout with-comments", "sidebar", "right-sidebar", "site-header", "comments", "modal"])
+@pytest.mark.parametrize("page", [
+    '<div class="{n}"><article><p>{t}</p></article></div>', '<div id="{n}"><div><main><p>{t}</p></main></div></div>',
+    '<form><main><div class="{n}"><article><p>{t}</p></article></div></main></form>',
+])
+def test_layout_names_keep_the_article(name, page):
+    assert ht.extract(page.format(n=name, t=PROSE)) == PROSE
+
+
+def test_names_of_other_matter():
+    other = "I think that this is the best of all the articles that I have read in the whole of the year."
+    for name in ("comments", "site-footer", "post-comments", "comments-area", "cookie-notice", "sidebar", "footer-nav"):
+        assert ht.extract(f'<div class="content"><p>{PROSE}</p></div><div class="{name}"><p>{other}</p></div>') == PROSE, name
+    for name in ("has-sidebar", "content-sidebar-wrap"):
+        assert ht.extract(f'<div class="{name}"><p>{PROSE}</p></div>') == PROSE
+    # comments are articles as well on many sites; what is hidden, or an article's own aside, stays bad
+    comment = f'<div id="comments" class="comments-area"><article><p>{other}</p></article></div>'
+    assert ht.extract(f"<main><article><p>{PROSE}</p></article>{comment}</main>") == PROSE
+    assert ht.extract(f"<article><p>{PROSE}</p>{comment}</article>") == PROSE
+    assert ht.extract(f"<div hidden><article><p>{PROSE}</p></article></div>") == ""
+
+
+def test_short_paragraphs_with_links():
+    short = '<p>See <a href="/g">the guide to the method</a>.</p><p>Read <a href="/h">the whole of the long report</a> for more.</p>'
+    want = f"{PROSE}\nSee the guide to the method.\nRead the whole of the long report for more.\n{PROSE}"
+    assert ht.extract(f'<article><p>{PROSE}</p>{short}<p><a href="/n">Next</a> | <a href="/p">Previous</a></p><p>{PROSE}</p></article>') == want
+
+
+def test_languages_without_a_list():
+    texts = [
+        "Na początku roku mieszkańcy zauważyli, że rzeka podniosła się wyżej niż kiedykolwiek przedtem, więc wszyscy wyszli naprawiać wały przeciwpowodziowe.",
+        "В начале года жители заметили, что река поднялась выше, чем когда-либо раньше, поэтому все вышли чинить плотину.",
+        "今年の初めに住民は川の水位がこれまでになく高くなったことに気づき、みんなで堤防を直しに行きました。それから雨は三日続いた。",
+    ]
+    links = "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(9))
+    for text in texts:
+        page = f'<ul>{links}</ul><div class="content"><div>{text}</div><div>{text}</div></div><ul>{links}</ul>'
+        assert ht.extract(page) == f"{text}\n{text}"
+    # an English line beside a script that the lists do not hold
+    assert texts[1] in ht.extract(f"<div>{texts[1]}</div><ul>{links}</ul><div>{PROSE}</div>")
+
+
 def test_odd_pages(spark):
     pages = [None, "", "<", "<p", "<<<a>>", "<p class='x>broken", "text only", "<article>" + "<p>word and the rest</p>" * 40_000, "<!-- <article>x</article>", "<script>x"]
     df = spark.createDataFrame([(p,) for p in pages * 2], "html string").select(ht.main_text(F.col("html")).alias("text"))
