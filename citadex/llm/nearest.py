@@ -116,12 +116,16 @@ def _distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the `k` nearest, ties to the smaller id."""
-    if len(ids) > 4 * k:
-        kth = np.partition(scores, k - 1)[k - 1]
-        some = np.flatnonzero(scores <= kth)
-        return some[np.lexsort((ids[some], scores[some]))[:k]]
-    return np.lexsort((ids, scores))[:k]
+    """Positions of the `k` nearest ids, each at its nearest row; ties to the smaller id."""
+    some, taken = np.arange(len(ids)), k
+    while taken < len(ids):
+        near = np.flatnonzero(scores <= np.partition(scores, taken - 1)[taken - 1])
+        if len(np.unique(ids[near])) >= k:
+            some = near
+            break
+        taken *= 4  # repeated ids: look further
+    some = some[np.lexsort((ids[some], scores[some]))]
+    return some[np.sort(np.unique(ids[some], return_index=True)[1])[:k]]
 
 
 def _calibrate(filed: DataFrame, sample: DataFrame, tree: Tree, dim: int, k: int, recall: float) -> int:
@@ -150,7 +154,8 @@ def _calibrate(filed: DataFrame, sample: DataFrame, tree: Tree, dim: int, k: int
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, q)), pa.array(ids[good]), pa.array(leaves[good]), pa.array(scores[good])], names=["q", "id", "leaf", "score"])
 
     order = Window.partitionBy("q").orderBy("score", "id")
-    truth = filed.select("id", "leaf", "vector").mapInArrow(exact, "q long, id long, leaf long, score double")
+    found_ = filed.select("id", "leaf", "vector").mapInArrow(exact, "q long, id long, leaf long, score double")
+    truth = found_.groupBy("q", "id").agg(F.min(F.struct("score", "leaf")).alias("near")).select("q", "id", "near.*")
     rows = truth.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("q", "leaf").collect()
     place = [{leaf: i for i, leaf in enumerate(tree.leaves(q))} for q in queries]
     needed = np.sort([place[r["q"]][r["leaf"]] + 1 for r in rows] or [1])
@@ -162,8 +167,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
 
     `queries` holds rows of `vectors` (same two columns); a row is no neighbour of itself. Ties go to the smaller id.
     Vectors that are null, zero, or hold nulls or non-finite values take no part, nor do those of a length other than
-    the most frequent one. With at most `k` candidates all are returned; an empty table gives no rows. Repeated rows of
-    one id count as one candidate each. Queries with equal vectors are searched once.
+    the most frequent one. With at most `k` candidates all are returned; an empty table gives no rows. The rows of one id
+    are one candidate, at the distance of the nearest, and one query. Queries with equal vectors are searched once.
     """
     opt = options or SearchOptions()
     spark = vectors.sparkSession
@@ -188,12 +193,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
             yield pa.RecordBatch.from_arrays([batch["id"], batch["vector"], pa.array(leaf, pa.int64())], names=["id", "vector", "leaf"])
 
     filed = staged(rows.mapInArrow(file, "id long, vector array<double>, leaf long"), "filed")
-    held = np.zeros(tree.n_leaves, np.int64)
-    for r in filed.groupBy("leaf").count().collect():
-        held[r["leaf"]] = r["count"]
+    held, different = np.zeros(tree.n_leaves, np.int64), np.zeros(tree.n_leaves, np.int64)  # rows and ids of each leaf
+    per_id = filed.groupBy("leaf", "id").agg(F.count(F.lit(1)).alias("n"))
+    for r in per_id.groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ids")).collect():
+        held[r["leaf"]], different[r["leaf"]] = r["n"], r["ids"]
     asked = picked(queries).where(F.size("vector") == dim)
     alike = asked.groupBy("vector").agg(F.min("id").alias("rep"))
-    members = asked.join(alike, "vector").select("id", "rep")
+    members = asked.join(alike, "vector").select("id", "rep").distinct()
     calibration = alike.select(F.col("rep").alias("id"), "vector").orderBy(F.xxhash64("id"), "id").limit(opt.calibration_queries)
     visits = _calibrate(filed, calibration, tree, dim, k, opt.recall)
 
@@ -215,7 +221,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
                 for leaf in tree.leaves(q):
                     if visited >= visits and seen > k:
                         break
-                    visited, seen = visited + 1, seen + int(held[leaf])
+                    visited, seen = visited + 1, seen + int(different[leaf])
                     if held[leaf]:
                         taken.setdefault(int(shelf[leaf]), []).append(leaf)
                 shelves += taken
@@ -268,7 +274,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
     keys = ["shelf", "part", "turn"]
     near = base.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(compare, "rep long, vec_id long, score double")
     first = Window.partitionBy("rep").orderBy("score", "vec_id")
+    near = near.repartition("rep").groupBy("rep", "vec_id").agg(F.min("score").alias("score"))
     best = near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
-    others = members.join(best, "rep").where("id <> vec_id")
+    others = members.join(best, "rep").where("id <> vec_id").repartition("id").groupBy("id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("score", "vec_id"))
     return others.select(F.col("id").alias("query_id"), rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

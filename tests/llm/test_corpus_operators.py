@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from operator import itemgetter
 
 import corpus_pipeline
 import numpy as np
@@ -204,6 +205,26 @@ def test_neighbours(spark):
     assert nearest(df.limit(0), df.limit(0)).count() == 0 and nearest(df.where("vec_id = 4000"), df).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(5)
+    body = [(i, rng.normal(size=8).tolist()) for i in range(600)] + [(i, [2.0] * 8) for i in range(600, 660)]
+    df = spark.createDataFrame(body, "vec_id long, embedding array<double>").repartition(4)
+    asked = df.where("vec_id % 50 = 0")
+    want = sorted(map(tuple, nearest(df, asked).collect()))
+    assert len(want) == 14 * 10
+    many = df.where("vec_id IN (0, 50)").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(30)))).drop("copy")
+    twice = df.union(df).union(many)
+    got = sorted(map(tuple, nearest(twice, twice.where("vec_id % 50 = 0")).collect()))
+    for q in {r[0] for r in want}:
+        assert len({r[2] for r in got if r[0] == q}) == len([r for r in got if r[0] == q]) == 10, q
+    assert len(set(map(itemgetter(0, 2), got)) & set(map(itemgetter(0, 2), want))) >= 0.9 * len(want)
+    # an id with two vectors is found at the nearer one, and asked by both
+    two = spark.createDataFrame([(1, [0.0, 1.0]), (1, [9.0, 9.0]), (2, [0.0, 2.0]), (3, [9.0, 8.5])], "vec_id long, embedding array<double>")
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest(two, two.where("vec_id < 3")).collect()) == [
+        (1, 1, 3, 0.5), (1, 2, 2, 1.0), (2, 1, 1, 1.0), (2, 2, 3, pytest.approx(np.hypot(9, 6.5)))
+    ]
+
+
 # --- language model -----------------------------------------------------------------------------
 
 
