@@ -2,13 +2,16 @@
 
 Rules and listed host names are keys. Level 0 of the cascade encodes the listed keys; level 1 the keys of the corpus
 that level 0 takes for listed by mistake; level 2 the listed keys that level 1 takes for mistakes, and so on until no
-mistake is left. Over the keys of the corpus the answer is exact. The filters are literals of bounded size in the plan.
+mistake is left. Over the keys of the corpus the answer is exact. The filters are literals of bounded size in the plan:
+level 0 gets so many bits a key that it mistakes no more keys than are listed, however many the corpus has, and keys
+that need more than one filter's bits are dealt by hash over several cascades.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +54,25 @@ class UrlRules:
     max_bits: int = field(default=1 << 23)
 
 
+@dataclass(frozen=True)
+class Dealt:
+    """Cascades for keys dealt by hash."""
+
+    parts: tuple[Cascade, ...]
+
+    def listed(self, key: Column) -> Column:
+        at = part_of(key, len(self.parts))
+        return reduce(lambda rest, i: F.when(at == i, self.parts[i].listed(key)).otherwise(rest), range(len(self.parts)), F.lit(False))
+
+
+class TooManyBits(ValueError):
+    """The keys of one filter need more than its bits."""
+
+
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts))
+
+
 def positions(key: Column, level: int, m: int, k: int) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(level), F.lit(i), key), F.lit(m)) for i in range(k)]
 
@@ -59,7 +81,7 @@ def _bits(keys: DataFrame, level: int, n: int, per_key: int, max_bits: int) -> t
     """The filter of `n` keys. Its bytes are or-ed in Spark; at most `max_bits / 8` rows reach the driver."""
     m, k = max(64, -(-n * per_key // 8) * 8), max(1, round(per_key * 0.69))
     if m > max_bits:
-        raise ValueError(f"{n} keys need more than {max_bits} bits: split the list and run the filter once per part")
+        raise TooManyBits(f"{n} keys need more than {max_bits} bits")
     at = keys.select(F.explode(F.array(*positions(F.col("key"), level, m, k))).alias("at"))
     byte = F.floor(F.col("at") / 8).alias("byte")
     found = at.groupBy(byte).agg(F.bit_or(F.pow(F.lit(2), F.col("at") % 8).cast("int")).alias("bits")).collect()
@@ -69,19 +91,40 @@ def _bits(keys: DataFrame, level: int, n: int, per_key: int, max_bits: int) -> t
     return m, k, bytes(out)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, per_key: int = 8, max_bits: int = 1 << 23) -> Cascade:
-    """A cascade that tells listed keys from all other keys of the universe. Both frames hold a column `key`.
+def build_cascade(listed: DataFrame, universe: DataFrame, per_key: int = 8, max_bits: int = 1 << 23) -> Cascade | Dealt:
+    """What tells listed keys from all other keys of the universe. Both frames hold a column `key`.
 
     Nulls are no keys, repeated keys count once, an empty list gives a cascade that lists nothing. The universe is
-    scanned once; what passes level 0 by mistake is stored, and all further levels look at that and at the list.
+    scanned once to count its keys, and once for each part; what passes level 0 by mistake is stored, and all further
+    levels look at that and at the list. `per_key` is the least number of bits a key. Parts are doubled until each
+    filter has at most `max_bits`.
     """
-    spark = listed.sparkSession
     inside = staged(listed.where("key IS NOT NULL").distinct(), "listed")
     n = inside.count()
     if not n:
         return Cascade()
-    cascade = Cascade((_bits(inside, 0, n, per_key, max_bits),))
-    wrong = universe.where(F.col("key").isNotNull() & cascade.passes(F.col("key"), 0)).select("key", F.lit(0).alias("is_listed"))
+    known = universe.where("key IS NOT NULL")
+    distinct = known.agg(F.approx_count_distinct("key")).first()[0]
+    first = max(per_key, ceil(log2(max(2, distinct / n)) / 0.69))
+    parts = ceil(n * first / max_bits)
+    while True:
+        try:
+            if parts == 1:
+                return _cascade(inside, known, first, per_key, max_bits)
+            at = part_of(F.col("key"), parts)
+            return Dealt(tuple(_cascade(inside.where(at == i), known.where(at == i), first, per_key, max_bits) for i in range(parts)))
+        except TooManyBits:
+            if parts > 2 * n:
+                raise
+            parts *= 2
+
+
+def _cascade(inside: DataFrame, universe: DataFrame, first: int, per_key: int, max_bits: int) -> Cascade:
+    n = inside.count()
+    if not n:
+        return Cascade()
+    cascade = Cascade((_bits(inside, 0, n, first, max_bits),))
+    wrong = universe.where(cascade.passes(F.col("key"), 0)).select("key", F.lit(0).alias("is_listed"))
     both = wrong.union(inside.select("key", F.lit(1).alias("is_listed")))
     outside = staged(both.groupBy("key").agg(F.max("is_listed").alias("is_listed")).where("is_listed = 0").select("key"), "mistakes")
     sides = [inside, outside]
@@ -93,7 +136,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, per_key: int = 8, max_
         cascade = Cascade((*cascade.levels, _bits(encoded, level, n, per_key, max_bits)))
         other = sides[(level + 1) % 2]
         sides[(level + 1) % 2] = staged(other.where(cascade.passes(F.col("key"), level)), "mistakes")
-    raise RuntimeError(f"the cascade does not end for {spark.sparkContext.appName}: raise bits_per_key")
+    raise RuntimeError(f"the cascade does not end for {inside.sparkSession.sparkContext.appName}: raise bits_per_key")
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:

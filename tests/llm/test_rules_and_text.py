@@ -32,6 +32,16 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert keys.where(build_cascade(listed.limit(0), keys).listed(F.col("key"))).count() == 0
 
 
+@pytest.mark.parametrize("n", [3, 1500])
+def test_cascade_of_a_large_universe_or_list(spark, n):
+    """Neither the corpus nor the list may need more bits than one filter holds."""
+    keys = spark.range(100_000).select(F.concat(F.lit("k"), "id").alias("key"), "id")
+    cascade = build_cascade(keys.where(F.col("id") < n).select("key"), keys.select("key"), max_bits=4096)
+    got = keys.where(cascade.listed(F.col("key"))).agg(F.count("id"), F.max("id")).first()
+    assert tuple(got) == (n, n - 1)
+    assert all(m <= 4096 for part in getattr(cascade, "parts", (cascade,)) for m, _, _ in part.levels)
+
+
 def test_url_rules(spark):
     cases = {
         "http://A.Example.COM/en/71?x": ("a.example.com", "/en/71", "example.com/en/7", "allow"),
