@@ -161,11 +161,12 @@ class Layout:
 
 def pack(
     docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, queue: str = "source", text: str = "text", doc_id: str = "doc_id",
-    weights: dict[str, float] | None = None, round_sequences: int = 64, max_queues: int = 100_000,
+    weights: dict[str, float] | None = None, round_sequences: int = 1, max_queues: int = 100_000,
 ) -> DataFrame:
     """Pieces of documents in sequences of `length` tokens, gapless from offset 0; every token is in exactly one piece.
 
-    Without `weights` every round holds the queues in the proportions of the whole corpus, so all run dry together.
+    A round is one sequence (or `round_sequences`), so each sequence holds the queues in their proportions within a token.
+    Without `weights` those are the proportions of the whole corpus, so all run dry together.
     Queues without a weight follow when the weighted ones are dry; nothing is dropped. A null or empty text is its end
     token alone; null and empty sources share one queue; repeated rows are packed each for itself; an empty table gives
     no pieces. One row per queue (at most `max_queues`) reaches the driver. Columns: doc_id, start, length, ids_crc32,

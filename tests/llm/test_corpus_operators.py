@@ -352,6 +352,23 @@ def test_packing_round_trip(documents, prose):
     assert pk.pack(docs.limit(0), BPE).count() == 0
 
 
+def test_every_sequence_is_mixed(documents, prose):
+    texts = {i: prose(random.Random(i).randint(1, 200)) for i in range(60)}
+    docs = documents(list(texts.values()), 5, sources=["big" if i % 3 else f"s{i % 6}" for i in range(60)])
+    sequences = unpack(pk.pack(docs, BPE, length=256).collect(), texts, 256)
+    total = Counter()
+    for r in (r for rows in sequences.values() for r in rows):
+        total[r["queue"]] += r["length"]
+    everything = sum(total.values())
+    assert len(sequences) > 20 and len(total) == 3
+    for number in sorted(sequences)[:-1]:
+        held = Counter()
+        for r in sequences[number]:
+            held[r["queue"]] += r["length"]
+        for q in total:  # the deficit carried in and the one carried on; a gapless stream shifts by less than a token a queue
+            assert abs(held[q] - 256 * total[q] / everything) <= 1 + len(total)
+
+
 def test_repeated_rows_are_packed_each(documents):
     pieces = pk.pack(documents(["one two"] * 3, ids=[1, 1, None]), BPE, length=4).collect()
     assert sum(r["length"] for r in pieces) == 3 * len([*Tokenizer.from_file(BPE).encode("one two").ids, 1])
