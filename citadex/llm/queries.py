@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as tokenizer_path
 
+from citadex.llm.alignment import cross_tokenizer
+from citadex.llm.centroids import cluster_vectors
 from citadex.llm.common import fold_of, table
 from citadex.llm.decontaminate import contamination, find_items
 from citadex.llm.html_text import main_text
@@ -131,3 +133,40 @@ def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
 def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
     """Log probabilities of every document under a bigram model of six sevenths of them."""
     return score_texts(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_cross_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document under two public tokenizers, aligned and linked."""
+    return cross_tokenizer(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Five exact rounds over every vector of 64 components, then the last assignment."""
+    return cluster_vectors(table(spark, folder, "embeddings"))
+
+
+_ROUND = """
+near{i} AS (SELECT vec_id, n, v, CAST(min(d * 64 + c) % 64 AS INT) AS cluster, CAST(min(d * 64 + c) // 64 AS BIGINT) AS distance
+  FROM (SELECT x.vec_id, x.n, x.v, k.c, list_sum(list_transform(range(1, 65), i -> CAST((x.v[i] - k.v[i]) * (x.v[i] - k.v[i]) AS HUGEINT))) AS d FROM kept x, c{i} k) GROUP BY ALL),
+"""
+_MOVE = """
+s{i} AS (SELECT cluster, j, sum(v[j]) AS s, count(*) AS n FROM near{i}, range(1, 65) r(j) GROUP BY cluster, j),
+m{i} AS (SELECT cluster, list((CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END)::BIGINT ORDER BY j) AS v FROM s{i} GROUP BY cluster),
+c{n} AS (SELECT k.c, coalesce(m.v, k.v) AS v FROM c{i} k LEFT JOIN m{i} m ON m.cluster = k.c),
+"""
+ORACLES["op13_centroids"] = (
+    """
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM kept ORDER BY c LIMIT 40),"""
+    + "".join(_ROUND.format(i=i) + _MOVE.format(i=i, n=i + 1) for i in range(5)).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+    + _ROUND.format(i=5)
+    + """
+per AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM near5 GROUP BY cluster)
+SELECT n.vec_id, n.cluster, n.distance, p.cluster_inertia, CAST((SELECT sum(distance) FROM near5) AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM near5 n JOIN per p ON p.cluster = n.cluster JOIN c5 c ON c.c = n.cluster
+"""
+)
