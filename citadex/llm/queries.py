@@ -149,7 +149,7 @@ def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
 
 _ROUND = """
 near{i} AS (SELECT vec_id, n, v, CAST(min(d * 64 + c) % 64 AS INT) AS cluster, CAST(min(d * 64 + c) // 64 AS BIGINT) AS distance
-  FROM (SELECT x.vec_id, x.n, x.v, k.c, list_sum(list_transform(range(1, 65), i -> CAST((x.v[i] - k.v[i]) * (x.v[i] - k.v[i]) AS HUGEINT))) AS d FROM kept x, c{i} k) GROUP BY ALL),
+  FROM (SELECT x.vec_id, x.n, x.v, k.c, list_sum(list_transform(range(1, 65), lambda i: CAST((x.v[i] - k.v[i]) * (x.v[i] - k.v[i]) AS HUGEINT))) AS d FROM kept x, c{i} k) GROUP BY ALL),
 """
 _MOVE = """
 s{i} AS (SELECT cluster, j, sum(v[j]) AS s, count(*) AS n FROM near{i}, range(1, 65) r(j) GROUP BY cluster, j),
@@ -158,8 +158,8 @@ c{n} AS (SELECT k.c, coalesce(m.v, k.v) AS v FROM c{i} k LEFT JOIN m{i} m ON m.c
 """
 ORACLES["op13_centroids"] = (
     """
-WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64),
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
 c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM kept ORDER BY c LIMIT 40),"""
     + "".join(_ROUND.format(i=i) + _MOVE.format(i=i, n=i + 1) for i in range(5)).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
     + _ROUND.format(i=5)
