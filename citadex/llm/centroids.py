@@ -60,6 +60,16 @@ def levels(n: int) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:], strict=False))
 
 
+def _leaders(who: np.ndarray, partial: np.ndarray) -> np.ndarray:
+    """Where the smallest sum of every vector stands, the first of equal ones."""
+    new = np.append(True, who[1:] != who[:-1])[: len(who)]
+    if not len(who):
+        return np.empty(0, np.int64)
+    lead = np.minimum.reduceat(partial, np.flatnonzero(new))
+    at = np.flatnonzero(partial == lead[np.cumsum(new) - 1])
+    return at[np.append(True, who[at][1:] != who[at][:-1])]
+
+
 def nearest_centroid(vectors: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Number of the nearest centroid (ties: the smaller), squared distance, coefficient differences paid for.
 
@@ -68,28 +78,22 @@ def nearest_centroid(vectors: np.ndarray, centroids: np.ndarray) -> tuple[np.nda
     rows, k, n = len(vectors), len(centroids), vectors.shape[1]
     who, what = np.repeat(np.arange(rows), k), np.tile(np.arange(k), rows)
     partial = np.zeros(rows * k, np.int64)
-    paid = 0
     best = np.full(rows, np.iinfo(np.int64).max)
+    paid = 0
     for low, high in levels(n):
         gap = vectors[who, low:high] - centroids[what, low:high]
         partial += np.einsum("ij,ij->i", gap, gap)
         paid += gap.size
-        if high < n and k > 1:
+        if high < n:
             # the leader of every vector is finished; its distance bounds what may stay
-            first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
-            lead = np.minimum.reduceat(partial, first)
-            at = np.flatnonzero(partial == np.repeat(lead, np.diff(np.append(first, len(who)))))
-            at = at[np.concatenate(([True], who[at][1:] != who[at][:-1]))]
+            at = _leaders(who, partial)
             rest = vectors[who[at], high:] - centroids[what[at], high:]
             paid += rest.size
             best = np.minimum(best, partial[at] + np.einsum("ij,ij->i", rest, rest))
             stay = partial <= best[who]
             who, what, partial = who[stay], what[stay], partial[stay]
-    first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))) if rows else np.empty(0, np.int64)
-    total = np.minimum.reduceat(partial, first) if rows else partial
-    at = np.flatnonzero(partial == np.repeat(total, np.diff(np.append(first, len(who))))) if rows else first
-    at = at[np.concatenate(([True], who[at][1:] != who[at][:-1]))] if rows else at
-    return what[at], total // n, paid
+    at = _leaders(who, partial)
+    return what[at], partial[at] // n, paid
 
 
 def integer_vectors(vectors: DataFrame, embedding: str, vec_id: str, size: int, scale: int) -> DataFrame:

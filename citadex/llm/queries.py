@@ -18,6 +18,7 @@ from citadex.llm.language import guess_language, learn_profiles, training_rows
 from citadex.llm.language_model import score_texts
 from citadex.llm.near_duplicates import near_duplicates
 from citadex.llm.nearest import nearest
+from citadex.llm.ngram_join import ngram_components
 from citadex.llm.packing import pack
 from citadex.llm.repeated_text import repeated_spans
 from citadex.llm.token_counts import count_tokens
@@ -135,6 +136,25 @@ def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return score_texts(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query
+def op11_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose four-word shingles overlap by 0.85 or more."""
+    return ngram_components(table(spark, folder, "documents"))
+
+
+ORACLES["op11_ngram_join"] = """
+WITH RECURSIVE words AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+grams AS MATERIALIZED (SELECT DISTINCT doc_id, list_slice(w, i, i + 3) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+found AS (SELECT s.a, s.b FROM shared s JOIN sizes x ON x.doc_id = s.a JOIN sizes y ON y.doc_id = s.b WHERE 100 * s.both >= 85 * (x.n + y.n - s.both)),
+links AS MATERIALIZED (SELECT a, b FROM found UNION ALL SELECT b, a FROM found),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""
+
+
 @query
 def op12_cross_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
     """Every document under two public tokenizers, aligned and linked."""
