@@ -28,34 +28,43 @@ ALIGNED = "chunk long, doc_id long, n_a long, n_b long, n_groups long, groups_sh
 TOTALS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def aligned_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Indices into both lists of strictly increasing end offsets at which a group closes; the last ends are equal."""
+def aligned_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices into both of strictly increasing end offsets at which a group closes; the last ends are equal."""
+    ends_a, ends_b = a.tolist(), b.tolist()
+    # slices of bytes compare at once; what follows the ends differs, so a stretch never runs past them
+    bytes_a, bytes_b = a.astype("<i8").tobytes() + b"a" * 8, b.astype("<i8").tobytes() + b"b" * 8
     i = j = 0
-    n, m = len(a), len(b)
-    at_a: list[int] = []
-    at_b: list[int] = []
-    while i < n:
-        if a[i] == b[j]:
-            run, step = 1, 1
-            while i + run + step <= n and j + run + step <= m and a[i + run : i + run + step] == b[j + run : j + run + step]:
-                run += step
-                step *= 2
-            while step := step >> 1:
-                if i + run + step <= n and j + run + step <= m and a[i + run : i + run + step] == b[j + run : j + run + step]:
-                    run += step
-            at_a += range(i, i + run)
-            at_b += range(j, j + run)
-            i, j = i + run, j + run
+    from_a: list[int] = []
+    from_b: list[int] = []
+    lengths: list[int] = []
+    while i < len(ends_a):
+        x, y = ends_a[i], ends_b[j]
+        if x == y:
+            p, q, width = 8 * i + 8, 8 * j + 8, 32
+            while bytes_a[p : p + width] == bytes_b[q : q + width]:
+                p, q, width = p + width, q + width, 2 * width
+            while width > 8:
+                width >>= 1
+                if bytes_a[p : p + width] == bytes_b[q : q + width]:
+                    p, q = p + width, q + width
+            run = (p >> 3) - i
         else:
-            while (x := a[i]) != (y := b[j]):
+            while x != y:
                 if x < y:
                     i += 1
+                    x = ends_a[i]
                 else:
                     j += 1
-            at_a.append(i)
-            at_b.append(j)
-            i, j = i + 1, j + 1
-    return at_a, at_b
+                    y = ends_b[j]
+            run = 1
+        from_a.append(i)
+        from_b.append(j)
+        lengths.append(run)
+        i += run
+        j += run
+    n = np.array(lengths, np.int64)
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(np.array(from_a, np.int64), n) + within, np.repeat(np.array(from_b, np.int64), n) + within
 
 
 class TokenizerPair:
@@ -66,12 +75,12 @@ class TokenizerPair:
         self.a = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         size_a = max([*ranks.values(), *special.values()]) + 1
-        self.bytes_a = [b""] * size_a
+        tokens_a = [b""] * size_a
         for token, i in ranks.items():
-            self.bytes_a[i] = token
+            tokens_a[i] = token
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.width = np.dtype("<u2" if max(size_a, len(self.bytes_b)) <= 1 << 16 else "<u4")
-        self.sizes_a, self.sizes_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.sizes_a, self.sizes_b = (np.array([len(t) for t in x], np.int64) for x in (tokens_a, self.bytes_b))
         # an id as text, with what follows it inside a group and at its end
         self.inner_a, self.last_a = self._texts(size_a, ","), self._texts(size_a, "|")
         self.inner_b, self.last_b = self._texts(len(self.bytes_b), ","), self._texts(len(self.bytes_b), ";")
@@ -84,21 +93,19 @@ class TokenizerPair:
     def _texts(n: int, end: str) -> np.ndarray:
         return np.array([f"{i}{end}" for i in range(n)], object)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of both; None for a text without tokens or whose tokens spell other bytes."""
-        for text, b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both for every text; None without tokens or where the tokens spell other bytes."""
+        for text, b in zip(texts, self.b.encode([t or "" for t in texts], num_threads=1), strict=True):
             if not text:
                 yield None
                 continue
-            a = self.a.encode_ordinary(f" {text}")
-            data = f" {text}".encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == data == b"".join(map(self.bytes_b.__getitem__, b))
+            a, data = self.a.encode_ordinary(f" {text}"), f" {text}".encode()
+            same = self.a.decode_bytes(a) == data == b"".join(map(self.bytes_b.__getitem__, b))
             yield (np.array(a, np.int64), np.array(b, np.int64)) if same else None
 
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the last token of every group."""
-        at_a, at_b = aligned_ends(np.cumsum(self.sizes_a[a]).tolist(), np.cumsum(self.sizes_b[b]).tolist())
-        return np.array(at_a, np.int64), np.array(at_b, np.int64)
+        return aligned_ends(np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b]))
 
     def spelled(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> str:
         """`a1,a2|b1;a3|b2,b3`: groups in order."""
@@ -122,7 +129,7 @@ def align_texts(docs: DataFrame, byte_bpe: str, pieces: str, text: str = "text",
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 out: list[list] = [[] for _ in range(7)]
-                for task, found in zip(part.column(0).to_pylist(), pair.encode([t or "" for t in part.column(2).to_pylist()]), strict=True):
+                for task, found in zip(part.column(0).to_pylist(), pair.encode(part.column(2).to_pylist()), strict=True):
                     row = 0, 0, 0, "", 0, b""
                     if found:
                         a, b = found

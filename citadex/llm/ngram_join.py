@@ -2,9 +2,10 @@
 
 Two sets of sizes x >= y that reach p / q share at least ceil(p (x + y) / (p + q)) n-grams, so in any order that all sets
 have in common they share one of the first x - ceil(p x / q) + 1 n-grams of each (the prefix). The order here is by
-document frequency, rarest first, counted over the whole corpus in one shuffle. An n-gram that no other set holds finds
-nobody, so a set with less than ceil(p x / q) shared n-grams leaves at once, and of the others only shared n-grams of the
-prefix are joined. N-grams that make up a noticeable share of the corpus are found beforehand by counter summaries of
+document frequency, rarest first. An n-gram that no other set holds finds nobody, so a set with more than
+x - ceil(p x / q) of them has no link and leaves, and of the others only shared n-grams of the prefix are joined. Most
+sets leave after one of four n-grams has been counted over the whole corpus: what they hold alone among those is too much
+already. All n-grams of the sets that stay are then counted among these sets, which is an order like any other. N-grams that make up a noticeable share of the corpus are found beforehand by counter summaries of
 fixed size; they come last in the order and are never counted by key.
 
 Sets that are equal are one node. In a bucket (all nodes with one prefix n-gram) everything is compared with the best
@@ -33,9 +34,11 @@ SPACED = bytes(0x20 if b in b" \t\n\v\f\r" else LOWER[b] for b in range(256))
 COUNTERS = 1 << 16
 #: Places of the order that frequent n-grams share.
 LAST = (1 << 31) - 1
-#: N-grams of one block of a bucket.
-BLOCK = 200_000
-MEMBERS = "doc_id long, key binary, n long, score double, ranked binary, grams array<struct<gram: long, place: int>>"
+#: Rows of one block of a bucket.
+BLOCK = 2048
+#: One n-gram in so many is counted first.
+SCREEN = 4
+MEMBERS = "doc_id long, key binary, n long, score double, ranked binary, grams array<struct<gram: long, place: int, behind: binary>>"
 
 
 def ngrams(text: str | None, size: int) -> np.ndarray:
@@ -67,12 +70,16 @@ class Summary:
             self.keys, self.counts = self.keys[self.counts > 0], self.counts[self.counts > 0]
 
 
+def screened(grams: np.ndarray) -> np.ndarray:
+    return grams[grams % np.uint64(SCREEN) == 0]
+
+
 def _sketches(docs: DataFrame, size: int, counters: int) -> DataFrame:
-    """Rows of documents (doc_id, body, key of the set, n) and rows of frequent n-grams (gram, seen) of every task."""
+    """Rows of documents (doc_id, body, key of the set, n, n-grams of the screen) and of frequent n-grams (gram, seen)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary = Summary(counters)
-        names = ["doc_id", "body", "key", "n", "gram", "seen"]
+        names = ["doc_id", "body", "key", "n", "screened", "gram", "seen"]
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
@@ -80,38 +87,47 @@ def _sketches(docs: DataFrame, size: int, counters: int) -> DataFrame:
                 summary.add(np.concatenate(sets))
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 none = pa.nulls(len(sets), pa.int64())
-                columns = [part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), none, none]
+                sizes, few = ([len(s) for s in x] for x in (sets, [screened(s) for s in sets]))
+                columns = [part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(few, pa.int64()), none, none]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         often = summary.counts >= max(2, summary.total // counters)
         none = pa.nulls(int(often.sum()), pa.int64())
-        columns = [none, none, pa.nulls(len(none), pa.binary()), none, pa.array(summary.keys[often].view(np.int64)), pa.array(summary.counts[often])]
+        columns = [none, none, pa.nulls(len(none), pa.binary()), none, none, pa.array(summary.keys[often].view(np.int64)), pa.array(summary.counts[often])]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(sketch, "doc_id long, body long, key binary, n long, gram long, seen long")
+    return docs.mapInArrow(sketch, "doc_id long, body long, key binary, n long, screened long, gram long, seen long")
 
 
-def _occurrences(docs: DataFrame, size: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, gram (its upper 48 bits), salt (null but for frequent n-grams): one row per document and n-gram."""
+def _occurrences(docs: DataFrame, size: int, frequent: np.ndarray, few: bool) -> DataFrame:
+    """doc_id, gram, df of every n-gram that another document holds (`LAST` if it is frequent); with `few` of the screen.
+
+    Frequent n-grams are salted, all others meet by key. 48 bits of a hash are counted: should two n-grams share them,
+    their documents count together, which is as good an order.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 sets = [ngrams(t.as_py(), size) for t in part.column(1)]
+                sets = [screened(s) for s in sets] if few else sets
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(s) for s in sets])
                 grams = np.concatenate(sets) >> np.uint64(16)
                 hot = np.isin(grams, frequent)
                 salt = pa.array((ids % (1 << 20)).astype(np.int32), mask=~hot)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(grams.view(np.int64)), salt], names=["doc_id", "gram", "salt"])
 
-    return docs.mapInArrow(spread, "doc_id long, gram long, salt int")
+    by_gram = Window.partitionBy("gram", "salt")
+    counted = docs.mapInArrow(spread, "doc_id long, gram long, salt int").withColumn("df", F.count("*").over(by_gram).cast("int"))
+    frequent_last = F.when(F.col("salt").isNotNull(), LAST).otherwise(F.col("df"))
+    return counted.where("df > 1 OR salt IS NOT NULL").select("doc_id", "gram", frequent_last.alias("df"))
 
 
 def _members(found: DataFrame, size: int, p: int, q: int) -> DataFrame:
     """Sets in rare-first order, with the shared n-grams of their prefix. `found` has doc_id, text, shared (gram, df)."""
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("gram", pa.int64()), ("place", pa.int32())]))
+        kind = pa.list_(pa.struct([("gram", pa.int64()), ("place", pa.int32()), ("behind", pa.binary())]))
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             for text, shared in zip(batch.column(1), batch.column(2), strict=True):
@@ -131,7 +147,9 @@ def _members(found: DataFrame, size: int, p: int, q: int) -> DataFrame:
                 out[1].append(n)
                 out[2].append(float(np.log2(df).mean()))
                 out[3].append(ranked.tobytes())
-                out[4].append([{"gram": g, "place": i} for g, i in zip(ranked[places].view(np.int64).tolist(), places.tolist(), strict=True)])
+                out[4].append([
+                    {"gram": g, "place": i, "behind": cells(ranked[i + 1 :]).astype("<u4").tobytes()} for g, i in zip(ranked[places].view(np.int64).tolist(), places.tolist(), strict=True)
+                ])
             kinds = (pa.binary(), pa.int64(), pa.float64(), pa.binary(), kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "key", "n", "score", "ranked", "grams"])
 
@@ -170,54 +188,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "at_a", "at_b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
 
 
-def _block_links(outside: pa.Table, members: pa.Table, p: int, q: int) -> pa.Table:
-    """Links of `outside` to members of other components: one per row and component.
-
-    A pair that meets in several buckets is looked at in that of the first n-gram which both prefixes hold.
-    """
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in members["ranked"].combine_chunks()] if len(members) else []
+def _block_pairs(outside: pa.Table, members: pa.Table, p: int, q: int) -> pa.Table:
+    """Pairs of `outside` and members of other components that pass the length, positional and suffix filters."""
     sizes, places = members["n"].to_numpy(), members["place"].to_numpy()
     ids, labels = members["node"].to_numpy(), members["label"].to_numpy()
-    behind = np.array([cells(s[i + 1 :]) for s, i in zip(sets, places, strict=True)]).reshape(len(sets), 64)
-    prefixes = [s[: len(s) - -(-p * len(s) // q) + 1] for s in sets]
-    grams = np.concatenate(prefixes or [np.empty(0, np.uint64)])
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in prefixes])
-    order = np.argsort(grams, kind="stable")
-    grams, owner = grams[order], owner[order]
-    a, b = [], []
-    for node, label, n, place, gram, body in zip(*(outside[c].to_pylist() for c in ("node", "label", "n", "place", "gram")), outside["ranked"].combine_chunks() if len(outside) else [], strict=True):
-        own = np.frombuffer(body.as_buffer(), np.uint64)
-        prefix = own[: n - -(-p * n // q) + 1]
+    behind = np.frombuffer(b"".join(members["behind"].to_pylist()), "<u4").reshape(-1, 64)
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for node, label, n, place, own in zip(*(outside[c].to_pylist() for c in ("node", "label", "n", "place", "behind")), strict=True):
         least = -(-p * (sizes + n) // (p + q))
         good = (labels != label) & (q * np.minimum(sizes, n) >= p * np.maximum(sizes, n))
         good &= np.minimum(places, place) + np.minimum(sizes - places, n - place) >= least
-        low, high = np.searchsorted(grams, prefix, "left"), np.searchsorted(grams, prefix, "right")
-        count = high - low
-        at = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
-        first = np.full(len(sets), n)
-        np.minimum.at(first, owner[at], np.repeat(np.arange(len(prefix)), count))
-        good &= first == place
-        good &= np.minimum(places, place) + 1 + np.minimum(behind, cells(own[place + 1 :])).sum(axis=1) >= least
         some = np.flatnonzero(good)
-        if len(some):
-            whole = np.sort(own)
-            both = np.array([len(np.intersect1d(sets[i], whole, assume_unique=True)) for i in some])
-            for there in np.unique(labels[some[both >= least[some]]]):
-                a.append(node)
-                b.append(int(ids[some[(both >= least[some]) & (labels[some] == there)][0]]))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        bound = np.minimum(places[some], place) + 1 + np.minimum(behind[some], np.frombuffer(own, "<u4")).sum(axis=1)
+        some = some[bound >= least[some]]
+        # one order for both ways to meet a pair
+        a, b = np.minimum(ids[some], node), np.maximum(ids[some], node)
+        flip = ids[some] < node
+        for column, value in zip(out, (a, b, np.where(flip, places[some], place), np.where(flip, place, places[some])), strict=True):
+            column.append(value)
+    names = ("a", "b", "at_a", "at_b")
+    return pa.table({c: pa.array(np.concatenate(v) if v else [], pa.int64()) for c, v in zip(names, out, strict=True)})
 
 
 def _links(members: DataFrame, p: int, q: int) -> DataFrame:
     """node, label of every node with a link."""
-    postings = members.select("node", "n", "score", F.explode("grams").alias("at")).select("node", "n", "score", "at.gram", "at.place")
-    sizes = staged(postings.groupBy("gram").agg(F.count("*").alias("size"), F.sum("n").alias("grams")).where("size > 1"), "buckets")
+    postings = members.select("node", "n", "score", F.explode("grams").alias("at")).select("node", "n", "score", "at.*")
+    sizes = staged(postings.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     shared = staged(postings.join(sizes.select("gram"), "gram"), "postings")
     hub = F.max(F.struct("score", (-F.col("node")).alias("minus"), "n", "place"))
     hubs = shared.groupBy("gram").agg(hub.alias("hub")).select("gram", (-F.col("hub.minus")).alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.place").alias("at_b"))
     hubs = staged(hubs, "hubs")
     near = shared.join(hubs, "gram").where(F.col("node") != F.col("b")).where(_possible(F.col("n"), F.col("place"), F.col("n_b"), F.col("at_b"), p, q))
     pairs = near.groupBy(F.col("node").alias("a"), "b").agg(F.min(F.struct("place", "at_b")).alias("at")).select("a", "b", F.col("at.place").alias("at_a"), "at.at_b")
+    pairs = staged(pairs, "pairs")
     sets = members.select("node", "ranked")
     links = staged(_verified(pairs, sets, p, q), "links")
     labels = connected(links)
@@ -228,20 +231,22 @@ def _links(members: DataFrame, p: int, q: int) -> DataFrame:
         return df.join(found, node, "left").withColumn(name, F.coalesce(name, node))
 
     main = labelled(hubs.select("gram", "b"), "b", "main").select("gram", "main")
-    open_ = staged(labelled(shared.select("gram", "node", "n", "place"), "node", "label").join(main, "gram"), "open")
-    outside = open_.where("label <> main").groupBy("gram").agg(F.sum("n").alias("outside"))
-    open_ = staged(open_.join(outside, "gram").join(sizes.where("size > 2").select("gram", "grams"), "gram"), "outside")
+    wide = labelled(shared.select("gram", "node", "n", "place", "behind"), "node", "label").join(main, "gram")
+    outside = wide.where("label <> main").groupBy("gram").agg(F.count("*").alias("outside"))
+    open_ = staged(wide.join(outside, "gram").join(sizes.where("size > 2"), "gram"), "open")
     if open_.isEmpty():
         return labels
-    wide = open_.join(sets, "node").withColumn("parts", F.ceil(F.col("grams") / BLOCK).cast("int")).withColumn("turns", F.ceil(F.col("outside") / BLOCK).cast("int"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    columns = ["node", "label", "n", "place", "ranked"]
-    left = wide.where("label <> main").select("gram", every("parts").alias("part"), own("turns").alias("turn"), *columns)
-    right = wide.select(F.col("gram").alias("gram"), own("parts").alias("part"), every("turns").alias("turn"), *(F.col(c).alias(c) for c in columns))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    columns = ["node", "label", "n", "place", "behind"]
+    left = open_.where("label <> main").select("gram", every("size").alias("part"), own("outside").alias("turn"), *columns)
+    right = open_.select(F.col("gram").alias("gram"), own("size").alias("part"), every("outside").alias("turn"), *(F.col(c).alias(c) for c in columns))
     keys = ["gram", "part", "turn"]
-    more = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda x, y: _block_links(x, y, p, q), "a long, b long")
-    more = staged(more, "more")
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda x, y: _block_pairs(x, y, p, q), "a long, b long, at_a long, at_b long")
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = met.groupBy("a", "b").agg(F.min(F.struct("at_a", "at_b")).alias("at")).select("a", "b", "at.*").join(done, ["a", "b"], "left_anti")
+    more = staged(_verified(staged(rest, "more-pairs"), sets, p, q), "more")
     return labels if more.isEmpty() else connected(links.union(more))
 
 
@@ -262,22 +267,25 @@ def ngram_components(
     p, q = threshold
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
     rows = staged(_sketches(picked, words, counters), "sketches")
-    sketches = rows.where("gram IS NULL").select("doc_id", "body", "key", "n")
+    sketches = rows.where("gram IS NULL").select("doc_id", "body", "key", "n", "screened")
     some = sketches.where("key IS NOT NULL AND doc_id IS NOT NULL")
     total = sketches.agg(F.sum("n")).first()[0] or 0
     often = rows.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(frequent, total // counters))
     hot = np.array([r["gram"] for r in often.select("gram").collect()], np.int64).view(np.uint64)  # at most `counters`
     hot = np.unique(hot >> np.uint64(16))
 
-    firsts = staged(some.groupBy("key").agg(F.min(F.struct("doc_id", "body")).alias("first"), F.first("n").alias("n")).select("key", "first.*", "n"), "firsts")
+    firsts = staged(some.groupBy("key").agg(F.min(F.struct("doc_id", "body")).alias("first"), F.first("n").alias("n"), F.first("screened").alias("screened")).select("key", "first.*", "n", "screened"), "firsts")
     others = some.join(firsts.select("key", F.col("doc_id").alias("first_id"), F.col("body").alias("first_body")), "key")
     copies = staged(others.where((F.col("doc_id") != F.col("first_id")) | (F.col("body") != F.col("first_body"))).select("doc_id", "body").distinct(), "copies")
     bodies = picked.where("doc_id IS NOT NULL").join(broadcast_within(copies, 64 * copies.count()), ["doc_id", "body"], "left_anti")
 
-    by_gram = Window.partitionBy("gram", "salt")
-    counted = _occurrences(bodies.select("doc_id", "text"), words, hot).withColumn("df", F.count("*").over(by_gram).cast("int"))
-    shared = counted.where("df > 1 OR salt IS NOT NULL").select("doc_id", "gram", F.when(F.col("salt").isNotNull(), LAST).otherwise(F.col("df")).alias("df"))
-    lists = shared.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "df")).alias("shared"))
+    alone = firsts.groupBy("doc_id").agg(F.min("screened").alias("screened"), F.max(F.col("n") - F.ceil(F.col("n") * p / F.lit(q))).alias("most"))
+    met = _occurrences(bodies.select("doc_id", "text"), words, hot, few=True).groupBy("doc_id").agg(F.count("*").alias("met"))
+    stay = alone.join(met, "doc_id", "left").where(F.col("screened") - F.coalesce("met", F.lit(0)) <= F.col("most")).select("doc_id")
+    stay = staged(stay, "candidates")
+    bodies = bodies.join(broadcast_within(stay, 64 * stay.count()), "doc_id", "left_semi")
+
+    lists = _occurrences(bodies.select("doc_id", "text"), words, hot, few=False).groupBy("doc_id").agg(F.collect_list(F.struct("gram", "df")).alias("shared"))
     needed = firsts.groupBy("doc_id").agg(F.min("n").alias("n"))
     kept = staged(lists.join(needed, "doc_id").where(q * F.size("shared") >= p * F.col("n")).select("doc_id", "shared"), "shared")
     wanted = broadcast_within(kept, int(kept.agg(F.sum(F.size("shared") * 16 + 64)).first()[0] or 0))

@@ -88,7 +88,7 @@ def joined_texts(prose):
 
 @pytest.mark.parametrize("options", [{}, {"frequent": 20}, {"frequent": 2, "counters": 64}])
 def test_components_equal_brute_force(documents, joined_texts, options, monkeypatch):
-    monkeypatch.setattr(nj, "BLOCK", 2_000)
+    monkeypatch.setattr(nj, "BLOCK", 5)
     df = documents(joined_texts)
     got = Counter(tuple(r) for r in nj.ngram_components(df, **options).collect())
     want = components_by_hand(list(enumerate(joined_texts)))
@@ -150,7 +150,7 @@ def test_ends_meet_where_both_sides_end():
         a, b = ([*sorted(i for i in range(1, n) if rng.random() < share), n] for _ in range(2))
         if rng.random() < 0.3:
             b = list(a)
-        x, y = al.aligned_ends(a, b)
+        x, y = al.aligned_ends(np.array(a), np.array(b))
         assert [a[i] for i in x] == sorted({*a} & {*b}) == [b[j] for j in y]
 
 
