@@ -16,7 +16,7 @@ components, so that no link between components is lost and no group is expanded
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,8 @@ SPACED = bytes(0x20 if b in b" \t\n\v\f\r" else LOWER[b] for b in range(256))
 COUNTERS = 1 << 16
 #: Places of the order that frequent n-grams share.
 LAST = (1 << 31) - 1
-#: Rows of one block of a bucket.
-BLOCK = 2048
+#: N-grams of one block of a bucket.
+BLOCK = 1 << 20
 #: One n-gram in so many is counted first.
 SCREEN = 4
 MEMBERS = "doc_id long, key binary, n long, score double, ranked binary, grams array<struct<gram: long, place: int, behind: binary>>"
@@ -148,7 +148,7 @@ def _members(found: DataFrame, size: int, p: int, q: int) -> DataFrame:
                 out[2].append(float(np.log2(df).mean()))
                 out[3].append(ranked.tobytes())
                 out[4].append([
-                    {"gram": g, "place": i, "behind": cells(ranked[i + 1 :]).astype("<u4").tobytes()} for g, i in zip(ranked[places].view(np.int64).tolist(), places.tolist(), strict=True)
+                    {"gram": g, "place": i, "behind": cells(ranked[i + 1 :], n).astype("<u2").tobytes()} for g, i in zip(ranked[places].view(np.int64).tolist(), places.tolist(), strict=True)
                 ])
             kinds = (pa.binary(), pa.int64(), pa.float64(), pa.binary(), kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "key", "n", "score", "ranked", "grams"])
@@ -162,15 +162,22 @@ def _possible(n_a: Column, at_a: Column, n_b: Column, at_b: Column, p: int, q: i
     return (q * F.least(n_a, n_b) >= p * F.greatest(n_a, n_b)) & (F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b) >= least)
 
 
-def cells(grams: np.ndarray) -> np.ndarray:
-    """How many n-grams lie between 63 fixed pivots of the hash space."""
-    return np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=64)
+def cells(grams: np.ndarray, n: int) -> np.ndarray:
+    """How many n-grams lie between fixed pivots of the hash space, about as many pivots as the set has n-grams."""
+    bits = max(6, (n - 1).bit_length())
+    return np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def folded(counts: np.ndarray, n: int) -> np.ndarray:
+    """The same between fewer pivots."""
+    return counts.reshape(*counts.shape[:-1], n, -1).sum(axis=-1)
 
 
 def linked(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, p: int, q: int) -> bool:
     """Suffix filter behind a shared n-gram at these places, then the exact overlap. Sets in the common order."""
     least = -(-p * (len(a) + len(b)) // (p + q))
-    bound = min(at_a, at_b) + 1 + int(np.minimum(cells(a[at_a + 1 :]), cells(b[at_b + 1 :])).sum())
+    n = min(len(a), len(b))
+    bound = min(at_a, at_b) + 1 + int(np.minimum(cells(a[at_a + 1 :], n), cells(b[at_b + 1 :], n)).sum())
     return bound >= least and len(np.intersect1d(a, b, assume_unique=True)) >= least
 
 
@@ -188,19 +195,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "at_a", "at_b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
 
 
-def _block_pairs(outside: pa.Table, members: pa.Table, p: int, q: int) -> pa.Table:
-    """Pairs of `outside` and members of other components that pass the length, positional and suffix filters."""
+def _block_pairs(outside: pa.Table, members: pa.Table, p: int, q: int, best: int | None) -> pa.Table:
+    """Pairs of `outside` and members of other components that pass the length, positional and suffix filters.
+
+    A link is sure to pass in the bucket of the first n-gram that both prefixes hold, and before that they share nothing:
+    so the filters count this n-gram and what lies behind it, and a pair hardly passes in later buckets again. With `best` only so many with the highest bounds per row and other component.
+    """
     sizes, places = members["n"].to_numpy(), members["place"].to_numpy()
     ids, labels = members["node"].to_numpy(), members["label"].to_numpy()
-    behind = np.frombuffer(b"".join(members["behind"].to_pylist()), "<u4").reshape(-1, 64)
+    bodies = members["behind"].to_pylist()
+    widths = np.array([len(x) // 2 for x in bodies], np.int64)
+    #: number of cells -> members that have so many, their cells
+    held = {w: (np.flatnonzero(widths == w), np.stack([np.frombuffer(bodies[i], "<u2") for i in np.flatnonzero(widths == w)]).astype(np.int32)) for w in np.unique(widths).tolist()}
+    fewer: dict[tuple[int, int], np.ndarray] = {}
     out: list[list[np.ndarray]] = [[], [], [], []]
     for node, label, n, place, own in zip(*(outside[c].to_pylist() for c in ("node", "label", "n", "place", "behind")), strict=True):
+        mine = np.frombuffer(own, "<u2").astype(np.int32)
         least = -(-p * (sizes + n) // (p + q))
         good = (labels != label) & (q * np.minimum(sizes, n) >= p * np.maximum(sizes, n))
-        good &= np.minimum(places, place) + np.minimum(sizes - places, n - place) >= least
-        some = np.flatnonzero(good)
-        bound = np.minimum(places[some], place) + 1 + np.minimum(behind[some], np.frombuffer(own, "<u4")).sum(axis=1)
-        some = some[bound >= least[some]]
+        good &= np.minimum(sizes - places, n - place) >= least
+        bound = np.zeros(len(sizes), np.int64)
+        for width, (rows, counts) in held.items():
+            if not good[rows].any():
+                continue
+            w = min(width, len(mine))
+            if width > w:
+                counts = fewer.setdefault((width, w), folded(counts, w))
+            some = np.flatnonzero(good[rows])
+            bound[rows[some]] = np.minimum(counts[some], folded(mine, w)).sum(axis=1)
+        bound += 1
+        some = np.flatnonzero(good & (bound >= least))
+        if best is not None and len(some) > best:
+            order = some[np.lexsort((ids[some], least[some] - bound[some], labels[some]))]
+            nth = np.arange(len(order)) - np.searchsorted(labels[order], labels[order])
+            some = order[nth < best]
         # one order for both ways to meet a pair
         a, b = np.minimum(ids[some], node), np.maximum(ids[some], node)
         flip = ids[some] < node
@@ -210,10 +238,14 @@ def _block_pairs(outside: pa.Table, members: pa.Table, p: int, q: int) -> pa.Tab
     return pa.table({c: pa.array(np.concatenate(v) if v else [], pa.int64()) for c, v in zip(names, out, strict=True)})
 
 
+def _pairs_of(p: int, q: int, best: int | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    return lambda outside, members: _block_pairs(outside, members, p, q, best)
+
+
 def _links(members: DataFrame, p: int, q: int) -> DataFrame:
     """node, label of every node with a link."""
     postings = members.select("node", "n", "score", F.explode("grams").alias("at")).select("node", "n", "score", "at.*")
-    sizes = staged(postings.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    sizes = staged(postings.groupBy("gram").agg(F.count("*").alias("size"), F.sum("n").alias("grams")).where("size > 1"), "buckets")
     shared = staged(postings.join(sizes.select("gram"), "gram"), "postings")
     hub = F.max(F.struct("score", (-F.col("node")).alias("minus"), "n", "place"))
     hubs = shared.groupBy("gram").agg(hub.alias("hub")).select("gram", (-F.col("hub.minus")).alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.place").alias("at_b"))
@@ -225,29 +257,39 @@ def _links(members: DataFrame, p: int, q: int) -> DataFrame:
     links = staged(_verified(pairs, sets, p, q), "links")
     labels = connected(links)
 
-    # buckets in which members of several components are left
+    # buckets in which members of several components are left: the likeliest pairs first, then all that are left
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    columns, keys = ["node", "label", "n", "place", "behind"], ["gram", "part", "turn"]
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for best in (2, None):
+        open_ = staged(_open_buckets(shared, hubs, sizes, labels), "open")
+        if open_.isEmpty():
+            break
+        left = open_.where("label <> main").select("gram", every("grams").alias("part"), own("outside").alias("turn"), *columns)
+        right = open_.select(F.col("gram").alias("gram"), own("grams").alias("part"), every("outside").alias("turn"), *(F.col(c).alias(c) for c in columns))
+        met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_pairs_of(p, q, best), "a long, b long, at_a long, at_b long")
+        rest = met.groupBy("a", "b").agg(F.min(F.struct("at_a", "at_b")).alias("at")).select("a", "b", "at.*").join(done, ["a", "b"], "left_anti")
+        rest = staged(rest, "more-pairs")
+        more = staged(_verified(rest, sets, p, q), "more")
+        if not more.isEmpty():
+            links, done = links.union(more), done.union(rest.select("a", "b"))
+            labels = connected(links)
+    return labels
+
+
+def _open_buckets(shared: DataFrame, hubs: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component: label, main (that of the hub), n-grams in all and outside it."""
+
     def labelled(df: DataFrame, node: str, name: str) -> DataFrame:
         found = labels.select(F.col("node").alias(node), F.col("label").alias(name))
         return df.join(found, node, "left").withColumn(name, F.coalesce(name, node))
 
     main = labelled(hubs.select("gram", "b"), "b", "main").select("gram", "main")
     wide = labelled(shared.select("gram", "node", "n", "place", "behind"), "node", "label").join(main, "gram")
-    outside = wide.where("label <> main").groupBy("gram").agg(F.count("*").alias("outside"))
-    open_ = staged(wide.join(outside, "gram").join(sizes.where("size > 2"), "gram"), "open")
-    if open_.isEmpty():
-        return labels
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
-    columns = ["node", "label", "n", "place", "behind"]
-    left = open_.where("label <> main").select("gram", every("size").alias("part"), own("outside").alias("turn"), *columns)
-    right = open_.select(F.col("gram").alias("gram"), own("size").alias("part"), every("outside").alias("turn"), *(F.col(c).alias(c) for c in columns))
-    keys = ["gram", "part", "turn"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda x, y: _block_pairs(x, y, p, q), "a long, b long, at_a long, at_b long")
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = met.groupBy("a", "b").agg(F.min(F.struct("at_a", "at_b")).alias("at")).select("a", "b", "at.*").join(done, ["a", "b"], "left_anti")
-    more = staged(_verified(staged(rest, "more-pairs"), sets, p, q), "more")
-    return labels if more.isEmpty() else connected(links.union(more))
+    outside = wide.where("label <> main").groupBy("gram").agg(F.sum("n").alias("outside"))
+    return wide.join(outside, "gram").join(sizes.where("size > 2").select("gram", "grams"), "gram")
 
 
 def ngram_components(
