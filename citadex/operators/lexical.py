@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from citadex.functions import scoring as sc
 from citadex.functions import text as tx
 from citadex.operators.fusion import ranked
+from citadex.operators.sharded import Shards, search_shards
 from citadex.session import measured_bytes, small_enough, staged
 from citadex.settings import PRUNE_PAIRS, TERM_SHARDS
 
@@ -26,6 +27,8 @@ class LexicalIndex:
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    #: Of a stored index: its postings by shard, one entry per segment. A search then goes over these.
+    shards: tuple[Shards, ...] = ()
 
     def weighted_terms(self) -> DataFrame:
         """Idf per term, with the floor for terms held by more than half of the nodes."""
@@ -135,7 +138,9 @@ def bm25_search(
     prune: bool | None = None,
     n_bytes: int | None = None,
 ) -> DataFrame:
-    """The `k` best nodes per question: `score` (rounded) and `rank`; exact in all four ways to run.
+    """The `k` best nodes per question: `score` (rounded) and `rank`; exact in all ways to run.
+
+    A stored index is searched shard by shard where it lies, unless `broadcast` or `prune` ask for another way.
 
     Question terms whose measured size is within the limit are broadcast: postings are cut down to
     those terms, hashed by node, and then scored and cut to `k` inside each partition, so that only
@@ -145,6 +150,8 @@ def bm25_search(
     """
     keys = list(keys)
     terms = query_terms(queries, keys, text)
+    if index.shards and broadcast is None and prune is None:
+        return _by_shard(terms, index, k, keys, measured_bytes(queries, *keys, text) if n_bytes is None else n_bytes)
     if broadcast is None or prune is None:
         n_bytes = measured_bytes(queries, *keys, text) if n_bytes is None else n_bytes
         broadcast = small_enough(4 * n_bytes) if broadcast is None else broadcast
@@ -167,3 +174,17 @@ def bm25_search(
         pairs = _met(postings, weights.select(*keys, "term", "weight"), broadcast)
     scored = pairs.groupBy(*keys, "node_id").agg(sc.rounded(F.sum(score)).alias("score")).where("score > 0")
     return ranked(scored, keys).where(F.col("rank") <= k)
+
+
+def _by_shard(terms: DataFrame, index: LexicalIndex, k: int, keys: list[str], n_bytes: int) -> DataFrame:
+    small = small_enough(4 * n_bytes)
+    weights = index.weighted_terms().join(F.broadcast(terms) if small else terms, "term")
+    lists = weights.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("weight")))).alias("w"))
+    asked = staged(lists.select(*keys, F.col("w.term").alias("terms"), F.col("w.weight").alias("weights")), "asked")
+    wanted = asked.select(F.explode("terms").alias("term")).distinct() if small else None
+    avgdl = index.stats.first()["avgdl"] or 1.0
+    found = [search_shards(asked, keys, part, avgdl, k, wanted) for part in index.shards]
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    return ranked(hits, keys).where(F.col("rank") <= k)

@@ -254,6 +254,9 @@ oracle("glossary_lines", f"""SELECT doc_id, line_ix, term, definition FROM (
     WHERE contains(line, ':') OR contains(line, ' - ')))
   WHERE length(term) > 1 AND length(definition) > 1""")
 oracle("index_roundtrip", "SELECT * FROM bm10")
+oracle("index_replace", "SELECT * FROM bm10")
+oracle("index_overwrite", "SELECT term, df, round(idf, 6) AS idf FROM ix_idf")
+oracle("index_compact", "SELECT term, df, round(idf, 6) AS idf FROM ix_idf")
 oracle("index_append", "SELECT term, df, round(idf, 6) AS idf FROM ix_idf")
 oracle("feedback_json", """SELECT id, "timestamp", "user", query, answer, is_helpful, confidence, intent_type, feedback_type, source || '|' || lang AS source_list FROM flat""")
 oracle("feedback_export", """SELECT "timestamp", coalesce("user", '') AS "user", query, answer, CASE WHEN is_helpful THEN 'true' ELSE 'false' END AS is_helpful,

@@ -114,6 +114,47 @@ def index_append(r):
     return index_store.read_index(r.spark, path).lexical.weighted_terms().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def _terms(r: Roles, path: str) -> DataFrame:
+    return index_store.read_index(r.spark, path).lexical.weighted_terms().select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def index_overwrite(r):
+    """An index of other texts, and the corpus written over it."""
+    path = scratch_path(r.spark, "index")
+    index_store.write_index(r.nodes().withColumn("text", F.concat_ws(" ", "file_name", "page_label")), path)
+    index_store.write_index(r.nodes(), path)
+    index_store.drop_replaced(r.spark, path)
+    return _terms(r, path)
+
+
+@query
+def index_replace(r):
+    """Drafts of three content types, in segments of their own, give way to the texts of the corpus."""
+    path = scratch_path(r.spark, "index")
+    draft = r.nodes().withColumn("text", F.concat(F.lit("draft of "), F.substring("text", 1, 200)))
+    english = F.col("content_type") == "text"
+    index_store.write_index(r.nodes().where(english), path)
+    index_store.append_nodes(draft.where("content_type = 'table'"), path)
+    index_store.append_nodes(draft.where("content_type IN ('image', 'figure_caption')"), path)
+    index_store.replace_nodes(r.nodes().where(~english), path)
+    return bm25_search(r.queries(), index_store.read_index(r.spark, path).lexical, K)
+
+
+@query
+def index_compact(r):
+    """Segments per content type, some nodes taken out and put back, then merged."""
+    path = scratch_path(r.spark, "index")
+    for kind in ("text", "table", "image", "figure_caption"):
+        index_store.append_nodes(r.nodes().where(F.col("content_type") == kind), path)
+    odd = r.nodes().where("content_type <> 'text'")
+    index_store.remove_nodes(odd.select("node_id"), path)
+    index_store.append_nodes(odd, path)
+    index_store.compact_index(r.spark, path, 2)
+    index_store.drop_replaced(r.spark, path)
+    return _terms(r, path)
+
+
 @query
 def feedback_json(r):
     path = scratch_path(r.spark, "feedback")
@@ -840,5 +881,5 @@ def stream_index(r):
     r.nodes().write.partitionBy("content_type").parquet(arrivals)
     stream = st.follow(r.spark, arrivals, r.nodes().schema, 8)
     st.grow_index(stream, out, scratch_path(r.spark, "state")).awaitTermination()
-    index = index_store.read_index(r.spark, f"{out}/part=*").lexical
+    index = index_store.read_index(r.spark, out).lexical
     return index.weighted_terms().select("term", "df", F.round("idf", 6).alias("idf"))

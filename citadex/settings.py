@@ -14,6 +14,11 @@ BLOCK_ROWS = 4096
 TERM_SHARDS = 32
 # Bound on (question term, node) pairs beyond which a search first narrows down its candidates.
 PRUNE_PAIRS = 10_000_000_000
+# Nodes of one shard of a stored index, and cells that its posting lists keep maxima of.
+NODES_PER_SHARD = 16_384
+CELLS = 64
+# Stored segments beyond which small ones are merged.
+MAX_SEGMENTS = 8
 # Digits kept in scores, before ranking, so that equal scores are ties.
 SCORE_DIGITS = 6
 # Digits kept in averages and shares.

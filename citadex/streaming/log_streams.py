@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from citadex.operators.analytics import to_query_log
 from citadex.operators.reuse import merge_validated, merge_votes, partials_of, vote_counts
-from citadex.sources.index_store import append_nodes, stored_ids
+from citadex.sources.index_store import append_nodes
 
 
 def follow(spark: SparkSession, path: str, schema, files_per_batch: int | None = None, **options: str) -> DataFrame:
@@ -88,12 +88,11 @@ def read_validated(spark: SparkSession, path: str, log: DataFrame) -> DataFrame:
 def grow_index(nodes: DataFrame, path: str, state: str) -> StreamingQuery:
     """New nodes into a persisted index.
 
-    A batch is written to a part of its own, so that one that is run again replaces itself.
-    `read_index(spark, f"{path}/part=*")` opens all parts as one index. A node that another part holds is skipped.
+    A batch is a segment under its own number, so that one that is run again replaces itself. A node that another
+    segment holds is skipped; the filters of the segments tell, so no batch reads what is stored.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        others = stored_ids(batch.sparkSession, f"{path}/part=*", without=f"/part={number}/")
-        append_nodes(batch, f"{path}/part={number}", mode="overwrite", known=others)
+        append_nodes(batch, path, name=f"batch-{number}")
 
     return nodes.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
