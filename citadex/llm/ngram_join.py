@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from citadex.llm.common import LOWER, mix
 from citadex.llm.components import connected
@@ -38,7 +39,7 @@ LAST = (1 << 31) - 1
 BLOCK = 1 << 20
 #: One n-gram in so many is counted first.
 SCREEN = 4
-MEMBERS = "doc_id long, key binary, n long, score double, ranked binary, grams array<struct<gram: long, place: int, behind: binary>>"
+MEMBERS = "doc_id long, key binary, n long, score double, ranked binary, grams array<struct<gram: long, place: int>>"
 
 
 def ngrams(text: str | None, size: int) -> np.ndarray:
@@ -127,8 +128,8 @@ def _members(found: DataFrame, size: int, p: int, q: int) -> DataFrame:
     """Sets in rare-first order, with the shared n-grams of their prefix. `found` has doc_id, text, shared (gram, df)."""
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("gram", pa.int64()), ("place", pa.int32()), ("behind", pa.binary())]))
-        for batch in batches:
+        kind = pa.list_(pa.struct([("gram", pa.int64()), ("place", pa.int32())]))
+        for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
             out: list[list] = [[] for _ in range(5)]
             for text, shared in zip(batch.column(1), batch.column(2), strict=True):
                 grams = ngrams(text.as_py(), size)
@@ -147,9 +148,7 @@ def _members(found: DataFrame, size: int, p: int, q: int) -> DataFrame:
                 out[1].append(n)
                 out[2].append(float(np.log2(df).mean()))
                 out[3].append(ranked.tobytes())
-                out[4].append([
-                    {"gram": g, "place": i, "behind": cells(ranked[i + 1 :], n).astype("<u2").tobytes()} for g, i in zip(ranked[places].view(np.int64).tolist(), places.tolist(), strict=True)
-                ])
+                out[4].append([{"gram": g, "place": i} for g, i in zip(ranked[places].view(np.int64).tolist(), places.tolist(), strict=True)])
             kinds = (pa.binary(), pa.int64(), pa.float64(), pa.binary(), kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "key", "n", "score", "ranked", "grams"])
 
@@ -163,8 +162,8 @@ def _possible(n_a: Column, at_a: Column, n_b: Column, at_b: Column, p: int, q: i
 
 
 def cells(grams: np.ndarray, n: int) -> np.ndarray:
-    """How many n-grams lie between fixed pivots of the hash space, about as many pivots as the set has n-grams."""
-    bits = max(6, (n - 1).bit_length())
+    """How many n-grams lie between fixed pivots of the hash space, up to 512 of them and about as many as n-grams."""
+    bits = min(9, max(6, (n - 1).bit_length()))
     return np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
@@ -204,13 +203,13 @@ def _block_pairs(outside: pa.Table, members: pa.Table, p: int, q: int, best: int
     sizes, places = members["n"].to_numpy(), members["place"].to_numpy()
     ids, labels = members["node"].to_numpy(), members["label"].to_numpy()
     bodies = members["behind"].to_pylist()
-    widths = np.array([len(x) // 2 for x in bodies], np.int64)
+    widths = np.array([len(x) // 4 for x in bodies], np.int64)
     #: number of cells -> members that have so many, their cells
-    held = {w: (np.flatnonzero(widths == w), np.stack([np.frombuffer(bodies[i], "<u2") for i in np.flatnonzero(widths == w)]).astype(np.int32)) for w in np.unique(widths).tolist()}
+    held = {w: (np.flatnonzero(widths == w), np.stack([np.frombuffer(bodies[i], "<u4") for i in np.flatnonzero(widths == w)]).astype(np.int32)) for w in np.unique(widths).tolist()}
     fewer: dict[tuple[int, int], np.ndarray] = {}
     out: list[list[np.ndarray]] = [[], [], [], []]
     for node, label, n, place, own in zip(*(outside[c].to_pylist() for c in ("node", "label", "n", "place", "behind")), strict=True):
-        mine = np.frombuffer(own, "<u2").astype(np.int32)
+        mine = np.frombuffer(own, "<u4").astype(np.int32)
         least = -(-p * (sizes + n) // (p + q))
         good = (labels != label) & (q * np.minimum(sizes, n) >= p * np.maximum(sizes, n))
         good &= np.minimum(sizes - places, n - place) >= least
@@ -267,11 +266,14 @@ def _links(members: DataFrame, p: int, q: int) -> DataFrame:
         open_ = staged(_open_buckets(shared, hubs, sizes, labels), "open")
         if open_.isEmpty():
             break
+        open_ = staged(_with_cells(open_, sets), "open-cells")
         left = open_.where("label <> main").select("gram", every("grams").alias("part"), own("outside").alias("turn"), *columns)
         right = open_.select(F.col("gram").alias("gram"), own("grams").alias("part"), every("outside").alias("turn"), *(F.col(c).alias(c) for c in columns))
         met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_pairs_of(p, q, best), "a long, b long, at_a long, at_b long")
         rest = met.groupBy("a", "b").agg(F.min(F.struct("at_a", "at_b")).alias("at")).select("a", "b", "at.*").join(done, ["a", "b"], "left_anti")
         rest = staged(rest, "more-pairs")
+        if rest.isEmpty():
+            break
         more = staged(_verified(rest, sets, p, q), "more")
         if not more.isEmpty():
             links, done = links.union(more), done.union(rest.select("a", "b"))
@@ -279,6 +281,26 @@ def _links(members: DataFrame, p: int, q: int) -> DataFrame:
     return labels
 
 
+def _with_cells(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """`rows` (node, place and others) with `behind`, the cells of what lies behind the place. A set moves once."""
+    others = [c for c in rows.columns if c != "node"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, at, body in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                ranked = np.frombuffer(body.as_buffer(), np.uint64)
+                table = at.values
+                for start in range(0, len(table), 1024):
+                    part = table.slice(start, 1024)
+                    behind = [cells(ranked[i + 1 :], len(ranked)).astype("<u4").tobytes() for i in part.field("place").to_pylist()]
+                    columns = [pa.array([node.as_py()] * len(part), pa.int64()), *(part.field(c) for c in others), pa.array(behind, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["node", *others, "behind"])
+
+    schema = StructType([rows.schema["node"], *(rows.schema[c] for c in others), StructField("behind", BinaryType())])
+    lists = rows.groupBy("node").agg(F.collect_list(F.struct(*others)).alias("at")).join(sets, "node").select("node", "at", "ranked")
+    return lists.mapInArrow(add, schema)
+
+
 def _open_buckets(shared: DataFrame, hubs: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one component: label, main (that of the hub), n-grams in all and outside it."""
 
@@ -287,7 +309,7 @@ def _open_buckets(shared: DataFrame, hubs: DataFrame, sizes: DataFrame, labels:
         return df.join(found, node, "left").withColumn(name, F.coalesce(name, node))
 
     main = labelled(hubs.select("gram", "b"), "b", "main").select("gram", "main")
-    wide = labelled(shared.select("gram", "node", "n", "place", "behind"), "node", "label").join(main, "gram")
+    wide = labelled(shared.select("gram", "node", "n", "place"), "node", "label").join(main, "gram")
     outside = wide.where("label <> main").groupBy("gram").agg(F.sum("n").alias("outside"))
     return wide.join(outside, "gram").join(sizes.where("size > 2").select("gram", "grams"), "gram")
 
