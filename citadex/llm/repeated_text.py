@@ -64,8 +64,9 @@ class Chunk:
         self.ids = np.array([NO_ID if x is None else x for x in rows["doc_id"].to_pylist()], np.int64)
         self.texts = [b"" if (t := x.as_py()) is None else t.encode() for x in rows["text"]]
         part = found["part"].to_numpy()
-        copies = [unpacked(found["payload"][int(k)].as_py())[0] for k in np.flatnonzero(part == COPIES)]
-        self.copy = np.isin(self.ids, np.concatenate(copies)) if copies else np.zeros(len(self.ids), bool)
+        copies = {pair for k in np.flatnonzero(part == COPIES) for pair in zip(*(x.tolist() for x in unpacked(found["payload"][int(k)].as_py())), strict=True)}
+        ids = {i for i, _ in copies}
+        self.copy = np.array([i in ids and (i, _digest(hashlib.sha256(t).hexdigest())) in copies for i, t in zip(self.ids.tolist(), self.texts, strict=True)], bool)
         order = np.argsort(self.ids, kind="stable")
         sizes = np.array([len(t) for t in self.texts], np.int64)
         self.kept = [int(i) for i in order if not self.copy[i] and sizes[i] >= least]
@@ -267,8 +268,14 @@ def _batches(strings: list[bytes], under: np.ndarray) -> Iterator[np.ndarray]:
         yield np.concatenate(batch)
 
 
-def _packed_ids(rows: pa.Table) -> pa.Table:
-    body = packed(np.unique(rows["doc_id"].to_numpy()))
+def _digest(text: str) -> int:
+    return int(text[:16], 16)
+
+
+def _packed_copies(rows: pa.Table) -> pa.Table:
+    """Copies of one chunk by id and text: rows of one id may have different texts."""
+    pairs = sorted(set(zip(rows["doc_id"].to_pylist(), map(_digest, rows["digest"].to_pylist()), strict=True)))
+    body = packed(np.array([i for i, _ in pairs], np.int64), np.array([d for _, d in pairs], np.uint64))
     return pa.table({"part": pa.array([COPIES], pa.int32()), "chunk": rows["chunk"].slice(0, 1), "payload": pa.array([body], pa.binary())})
 
 
@@ -280,36 +287,38 @@ def _pass_over(docs: DataFrame, least: int, finish: Callable[[Chunk, list, pa.Ta
     path = scratch_path(spark, "removed")
     with scratch_scope(spark):
         chunks = chunked(docs)
-        parts = 2 * chunks.parts
-        known = chunks.rows.where("doc_id IS NOT NULL").select("chunk", "doc_id", F.sha2("text", 256).alias("digest")).where("digest IS NOT NULL")
-        firsts = staged(known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "firsts")
-        copies = known.join(firsts, "digest").where("doc_id > first").select("chunk", "doc_id")
-        copies = staged(copies.groupBy("chunk").applyInArrow(_packed_ids, ASKED), "copies")
-        asked = chunks.hear(copies, lambda rows, found: Chunk(rows, found, least).asked(rows["chunk"][0].as_py(), parts) if rows.num_rows else _rows(0, []), ASKED)
-        flags = staged(asked.groupBy("part").applyInArrow(_flags, ASKED), "flags")
-
-        def prepared(rows: pa.Table, found: pa.Table) -> Chunk:
-            chunk = Chunk(rows, found, least)
-            answers = [f for f in _answers(found) if len(f) == 1]
-            chunk.passages(np.concatenate([f[0] for f in answers] or [np.empty(0, np.uint8)]))
-            return chunk
-
-        def send(rows: pa.Table, found: pa.Table) -> pa.Table:
-            return prepared(rows, found).sent(rows["chunk"][0].as_py(), parts) if rows.num_rows else _rows(0, [])
-
-        sent = chunks.hear(copies.union(flags), send, ASKED)
-        hits = staged(sent.groupBy("part").applyInArrow(lambda table: _hits(table, least), ASKED), "hits")
-
-        def end(rows: pa.Table, found: pa.Table) -> pa.Table:
-            chunk = prepared(rows, found)
-            part = found["part"].to_numpy()
-            mine = found.take(pa.array(np.flatnonzero(part >= parts)))
-            return finish(chunk, chunk.spans(mine), rows)
-
-        # answers of the last pass are told from flags by their key range
-        later = hits.select((F.col("part") + parts).alias("part"), "chunk", "payload")
-        chunks.hear(copies.union(flags).union(later), end, schema).write.parquet(path)
-        chunks.close()
+        try:
+            parts = 2 * chunks.parts
+            known = chunks.rows.where("doc_id IS NOT NULL").select("chunk", "doc_id", F.sha2("text", 256).alias("digest")).where("digest IS NOT NULL")
+            firsts = staged(known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "firsts")
+            copies = known.join(firsts, "digest").where("doc_id > first").select("chunk", "doc_id", "digest")
+            copies = staged(copies.groupBy("chunk").applyInArrow(_packed_copies, ASKED), "copies")
+            asked = chunks.hear(copies, lambda rows, found: Chunk(rows, found, least).asked(rows["chunk"][0].as_py(), parts) if rows.num_rows else _rows(0, []), ASKED)
+            flags = staged(asked.groupBy("part").applyInArrow(_flags, ASKED), "flags")
+
+            def prepared(rows: pa.Table, found: pa.Table) -> Chunk:
+                chunk = Chunk(rows, found, least)
+                answers = [f for f in _answers(found) if len(f) == 1]
+                chunk.passages(np.concatenate([f[0] for f in answers] or [np.empty(0, np.uint8)]))
+                return chunk
+
+            def send(rows: pa.Table, found: pa.Table) -> pa.Table:
+                return prepared(rows, found).sent(rows["chunk"][0].as_py(), parts) if rows.num_rows else _rows(0, [])
+
+            sent = chunks.hear(copies.union(flags), send, ASKED)
+            hits = staged(sent.groupBy("part").applyInArrow(lambda table: _hits(table, least), ASKED), "hits")
+
+            def end(rows: pa.Table, found: pa.Table) -> pa.Table:
+                chunk = prepared(rows, found)
+                part = found["part"].to_numpy()
+                mine = found.take(pa.array(np.flatnonzero(part >= parts)))
+                return finish(chunk, chunk.spans(mine), rows)
+
+            # answers of the last pass are told from flags by their key range
+            later = hits.select((F.col("part") + parts).alias("part"), "chunk", "payload")
+            chunks.hear(copies.union(flags).union(later), end, schema).write.parquet(path)
+        finally:
+            chunks.close()
     return spark.read.schema(schema).parquet(path)
 
 
