@@ -23,7 +23,7 @@ class SuffixArray:
 
 
 def suffix_array(strings: list[bytes], least: int) -> SuffixArray:
-    """By prefix doubling; ranks of all levels are kept for the common prefixes."""
+    """By prefix doubling of what is not unique yet; ranks of all levels are kept for the common prefixes."""
     sizes = np.array([len(s) for s in strings], np.int64)
     body = np.frombuffer(b"".join(strings), np.uint8)
     n = len(body)
@@ -36,16 +36,25 @@ def suffix_array(strings: list[bytes], least: int) -> SuffixArray:
         key = (key << 9) | np.where(t < left, symbols[t : t + n], 0)
     levels: list[tuple[int, np.ndarray]] = []
     length, longest = WORD, int(sizes.max(initial=0))
+    # the rank of a suffix is the number of smaller ones; only suffixes that share theirs are sorted again
+    open_ = np.argsort(key, kind="stable")
+    rank = np.empty(n, np.int32)
+    group, follow = np.zeros(n, np.int64), key[open_]
     while n:
-        _, rank = np.unique(key, return_inverse=True)
-        rank = rank.astype(np.int32)
-        levels.append((length, rank))
-        if length >= longest:
+        new = np.append(True, (group[1:] != group[:-1]) | (follow[1:] != follow[:-1]))
+        at = np.arange(len(open_))
+        begin = np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1]), at, 0))
+        rank[open_] = group + np.maximum.accumulate(np.where(new, at, 0)) - begin
+        levels.append((length, rank.copy()))
+        open_ = open_[~(new & np.append(new[1:], True))]
+        if length >= longest or not len(open_):
             break
-        follow = np.zeros(n, np.int64)
-        inside = left > length
-        follow[inside] = rank[place[inside] + length].astype(np.int64) + 1
-        key = rank.astype(np.int64) * (n + 2) + follow
+        follow = np.zeros(len(open_), np.int64)
+        inside = left[open_] > length
+        follow[inside] = rank[open_[inside] + length].astype(np.int64) + 1
+        group = rank[open_].astype(np.int64)
+        order = np.argsort(group * (n + 2) + follow, kind="stable")
+        open_, group, follow = open_[order], group[order], follow[order]
         length *= 2
     starts = np.flatnonzero(left >= least)
     order = starts[np.argsort(levels[-1][1][starts], kind="stable")] if n else starts
