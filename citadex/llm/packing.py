@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,49 +113,74 @@ class Layout:
             at += rounds
             taken = [min(t, b + rounds * round_tokens * g // total) for t, b, g in zip(self.totals, taken, w, strict=True)]
             left = [t - x for t, x in zip(self.totals, taken, strict=True)]
-        self.starts = [p[0] for p in self.phases]
-        self.known: dict[int, tuple[list[int], list[int], list[int]]] = {}
-
-    def taken(self, r: int) -> list[int]:
-        """Tokens that each queue has given before round `r`."""
-        first, base, w = self.phases[max(0, bisect_right(self.starts, r) - 1)]
-        total = sum(w)
-        return [min(t, b + (r - first) * self.round * g // total) for t, b, g in zip(self.totals, base, w, strict=True)]
-
-    def bounds(self, r: int) -> tuple[list[int], list[int], list[int]]:
-        """Of round `r`: first token and end of each queue, and the place of each queue's part in the whole stream."""
-        if r not in self.known:
-            if len(self.known) > 64:
-                self.known.clear()
-            a, b = self.taken(r), self.taken(r + 1)
-            places, at = [], sum(a)
-            for x, y in zip(a, b, strict=True):
-                places.append(at)
-                at += y - x
-            self.known[r] = a, b, places
-        return self.known[r]
-
-    def round_of(self, queue: int, token: int) -> int:
-        """The round that takes a token of a queue."""
-        k = bisect_right([p[1][queue] for p in self.phases], token) - 1
-        first, base, w = self.phases[k]
-        while not w[queue]:
-            k -= 1
-            first, base, w = self.phases[k]
-        return first + ((token - base[queue] + 1) * sum(w) - 1) // (self.round * w[queue])
-
-    def pieces(self, queue: int, start: int, n: int, length: int) -> Iterator[tuple[int, int, int, int, int]]:
-        """(start in the document, tokens, sequence, offset, round) of a document that starts at `start` in its queue."""
-        at = start
-        while at < start + n:
-            r = self.round_of(queue, at)
-            a, b, places = self.bounds(r)
-            stop = min(start + n, b[queue])
-            while at < stop:
-                sequence, offset = divmod(places[queue] + at - a[queue], length)
-                size = min(stop - at, length - offset)
-                yield at - start, size, sequence, offset, r
-                at += size
+        self.starts = np.array([p[0] for p in self.phases], np.int64)
+        self.bases = np.array([p[1] for p in self.phases], np.int64).reshape(len(self.phases), len(self.names))
+        self.weights = np.array([p[2] for p in self.phases], np.int64).reshape(len(self.phases), len(self.names))
+        #: the last phase up to each in which a queue gives anything
+        gives = np.where(self.weights > 0, np.arange(len(self.phases))[:, None], 0)
+        self.giving = np.maximum.accumulate(gives, axis=0) if len(gives) else gives
+
+    def taken(self, rounds: np.ndarray) -> np.ndarray:
+        """Tokens that each queue (second axis) has given before each round."""
+        phase = np.maximum(np.searchsorted(self.starts, rounds, "right") - 1, 0)
+        w = self.weights[phase]
+        share = _share((rounds - self.starts[phase])[:, None] * self.round, w, self.weights.sum(axis=1)[phase][:, None])
+        return np.minimum(np.array(self.totals, np.int64), self.bases[phase] + share)
+
+    def round_of(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The rounds that take some tokens of some queues."""
+        phase = np.empty(len(queue), np.int64)
+        for q in np.unique(queue):
+            own = queue == q
+            phase[own] = self.giving[np.searchsorted(self.bases[:, q], token[own], "right") - 1, q]
+        ahead = token - self.bases[phase, queue] + 1
+        return self.starts[phase] + _share(ahead, self.weights.sum(axis=1)[phase], self.round * self.weights[phase, queue], less=1)
+
+    def _bounds(self, rounds: np.ndarray, queue: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First token and end of some queues in some rounds, and the place of that part in the whole stream."""
+        some, at = np.unique(rounds, return_inverse=True)
+        out = np.empty((3, len(rounds)), np.int64)
+        order = np.argsort(at, kind="stable")
+        step = max(1, (1 << 20) // len(self.names))  # all queues count in every round
+        for low in range(0, len(some), step):
+            mine = order[slice(*np.searchsorted(at[order], (low, low + step)))]
+            a, b = self.taken(some[low : low + step]), self.taken(some[low : low + step] + 1)
+            places = a.sum(axis=1, keepdims=True) + np.cumsum(b - a, axis=1) - (b - a)
+            for row, values in zip(out, (a, b, places), strict=True):
+                row[mine] = values[at[mine] - low, queue[mine]]
+        return out[0], out[1], out[2]
+
+    def pieces(self, queue: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+        """Number of the document, start in it, tokens, sequence, offset and round of every piece of some documents.
+
+        A document has `n` tokens and starts at `start` in its queue; pieces come in its order.
+        """
+        doc = np.flatnonzero(n > 0)
+        first, last = self.round_of(queue[doc], start[doc]), self.round_of(queue[doc], start[doc] + n[doc] - 1)
+        doc, r = _spread(doc, first, last)
+        begins, ends, places = self._bounds(r, queue[doc])
+        low, high = np.maximum(start[doc], begins), np.minimum(start[doc] + n[doc], ends)
+        place = places + low - begins
+        full = high > low
+        doc, r, low, high, place = (x[full] for x in (doc, r, low, high, place))
+        piece, sequence = _spread(np.arange(len(doc)), place // length, (place + high - low - 1) // length)
+        begin = np.maximum(place[piece], sequence * length)
+        size = np.minimum((place + high - low)[piece], (sequence + 1) * length) - begin
+        doc = doc[piece]
+        return doc, (low - place)[piece] + begin - start[doc], size, sequence, begin - sequence * length, r[piece]
+
+
+def _share(x: np.ndarray, w: np.ndarray, total: np.ndarray, less: int = 0) -> np.ndarray:
+    """(x * w - less) // total, in unbounded integers where 64 bits might not do."""
+    if int(x.max(initial=0)) * int(w.max(initial=0)) >= 1 << 62:
+        x, w, total = (v.astype(object) for v in (x, w, total))
+    return ((x * w - less) // total).astype(np.int64)
+
+
+def _spread(rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row once for every number from its first to its last."""
+    n = last - first + 1
+    return np.repeat(rows, n), np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def pack(
@@ -186,17 +210,21 @@ def pack(
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {n: i for i, n in enumerate(layout.names)}
-        for batch in batches:
-            out: list[list] = [[] for _ in PIECES]
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             names, docs_, starts, sizes, ids = (batch.column(i) for i in range(5))
-            for name, doc, start, n, body in zip(names.to_pylist(), docs_.to_pylist(), starts.to_pylist(), sizes.to_pylist(), ids, strict=True):
-                full = np.frombuffer(body.as_buffer(), f"<u{width}").astype("<u4")
-                for first, size, sequence, offset, r in layout.pieces(number[name], start, n, length):
-                    row = doc, first, size, zlib.crc32(full[first : first + size]), n, sequence, offset, name, r
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            types = [pa.string() if f.name == "queue" else pa.int64() for f in PIECES]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=PIECES.names)
+            queues = np.array([number[n] for n in names.to_pylist()], np.int64)
+            doc, first, size, sequence, offset, r = layout.pieces(queues, starts.to_numpy(), sizes.to_numpy(), length)
+            crc: list[int] = []
+            bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1)).tolist()
+            low, high = (4 * first).tolist(), (4 * (first + size)).tolist()
+            for k, body in enumerate(ids):
+                wide = np.frombuffer(body.as_buffer(), f"<u{width}").astype("<u4").tobytes()
+                crc += [zlib.crc32(wide[low[i] : high[i]]) for i in range(bounds[k], bounds[k + 1])]
+            at = pa.array(doc)
+            numbers = (first, size, np.array(crc, np.int64), sequence, offset, r)
+            start_, size_, crc_, sequence_, offset_, round_ = (pa.array(x, pa.int64()) for x in numbers)
+            columns = [docs_.take(at), start_, size_, crc_, sizes.take(at), sequence_, offset_, names.take(at), round_]
+            yield pa.RecordBatch.from_arrays(columns, names=PIECES.names)
 
     # one row per queue and task of the first pass; beyond the measured bound both sides are shuffled
     near = broadcast_within(bases, int(blocks.select(F.sum(F.octet_length("queue") + 64)).first()[0] or 0))
