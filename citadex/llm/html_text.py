@@ -11,6 +11,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -34,7 +35,7 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split()
 )
-DROPPED_TAGS = frozenset("button canvas iframe math noscript object script select style svg template textarea title".split())
+DROPPED_TAGS = frozenset("button canvas iframe noscript object script select style svg template textarea title".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BAD_TAGS = frozenset("aside dialog footer form menu nav".split())
 BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -42,9 +43,9 @@ BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog
 # which part or how many ("site-footer", "comments-area"); "content-sidebar-wrap" and "has-sidebar" name a layout.
 BEFORE = r"(?:site|global|primary|secondary|top|bottom|post|entry|article)[_-]+"
 AFTER = r"[_-]+(?:area|bar|block|box|container|form|inner|items?|links?|lists?|section|wrap|wrapper)"
-LAYOUT = r"nav|navbar|navigation|menu\w*|side-?bar|breadcrumbs?|pagination|pager|foot|footer|share|sharing|social|widget|copyright|disclaimer|toolbar|topbar|skip-?link"
+LAYOUT = r"nav|navbar|navigation|menu[^\W_]*|side-?bar|breadcrumbs?|pagination|pager|foot|footer|share|sharing|social|widget|copyright|disclaimer|toolbar|topbar|skip-?link"
 MATTER = (
-    r"ads?|adbox|adsense|advert\w*|sponsor\w*|promo\w*|comments?|comment-?list|disqus\w*|respond|repl(?:y|ies)|cookies?|consent|gdpr|notices?|popup|modal|"
+    r"ads?|adbox|adsense|advert[^\W_]*|sponsor[^\W_]*|promo[^\W_]*|comments?|comment-?list|disqus[^\W_]*|respond|repl(?:y|ies)|cookies?|consent|gdpr|notices?|popup|modal|"
     r"newsletter|subscribe|signup|login|related|recommended"
 )
 
@@ -88,6 +89,7 @@ class Block:
     inside: bool
     heading: bool
     plain: bool = True  # has words outside links
+    in_menu: bool = False  # of several links alone, in one block or in blocks in a row
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -196,10 +198,10 @@ def blocks_of(page: str) -> list[Block]:
 def _first_pass(block: Block, rules: Rules) -> bool | None:
     """True: text, False: boilerplate, None: undecided."""
     n = len(block.text)
-    if block.bad or "©" in block.text and not block.inside:
+    if block.bad or "©" in block.text and not block.inside and n < rules.long:
         return False
     if block.link_chars > rules.max_link_density * n:
-        return None if block.inside and (block.plain if n < rules.long else block.link_chars <= 0.8 * n) else False
+        return None if block.inside and (block.plain or not block.in_menu) else False
     if block.heading or n < rules.short:
         return None
     words = WORD.findall(block.text.lower())
@@ -213,7 +215,7 @@ def _first_pass(block: Block, rules: Rules) -> bool | None:
 
 def _by_length(block: Block, rules: Rules, latin: bool) -> bool:
     """Whether a block outside articles is prose by length and links alone; `latin`: in whatever script."""
-    if block.bad or block.heading or "©" in block.text or block.link_chars > rules.max_link_density * len(block.text):
+    if block.bad or block.heading or "©" in block.text and len(block.text) < rules.long or block.link_chars > rules.max_link_density * len(block.text):
         return False
     words = WORD.findall(block.text.lower())
     return len(block.text) + 2 * len(DENSE.findall(block.text)) >= rules.short and len(words) > 1 and (latin or 2 * sum(LATIN.search(w) is not None for w in words) < len(words))
@@ -227,6 +229,7 @@ def main_blocks(blocks: list[Block], rules: Rules) -> list[bool]:
     languages: on a page without article, blocks in a script that no list has, and all blocks if the lists find no text,
     are decided by length and links alone.
     """
+    _mark_menus(blocks)
     first = [_first_pass(b, rules) for b in blocks]
     if not any(b.inside and not b.bad for b in blocks):
         silent = True not in first
@@ -243,6 +246,15 @@ def main_blocks(blocks: list[Block], rules: Rules) -> list[bool]:
     return out
 
 
+def _mark_menus(blocks: list[Block], least: int = 3) -> None:
+    at = 0
+    for links, run in groupby(blocks, lambda b: not b.plain):
+        n = len(list(run))
+        for block in blocks[at : at + n]:
+            block.in_menu = links and (n >= least or block.link_chars < len(block.text))
+        at += n
+
+
 def _nearest_decided(blocks: list[Block], first: list[bool | None], order: range) -> list[int | None]:
     """For each block the last decided one that was passed in the same part of the page; one scan."""
     out: list[int | None] = [None] * len(blocks)
