@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citadex.functions import hooks
 from citadex.functions import scoring as sc
-from citadex.session import broadcast_within
+from citadex.session import broadcast_within, staged
 
 KEY = ("query_id",)
 
@@ -77,6 +77,28 @@ def attach_nodes(hits: DataFrame, nodes: DataFrame, max_hits: int | None = None)
     return nodes.join(broadcast_within(hits, None if max_hits is None else max_hits * 96), "node_id")
 
 
+def matching_hits(
+    questions: DataFrame, search: Callable[[DataFrame, int], DataFrame], allowed: DataFrame, k: int, keys: Sequence[str] = KEY, start: int | None = None
+) -> DataFrame:
+    """The `k` best hits per question whose node is in `allowed`, from a search that knows no filter.
+
+    `search(questions, depth)` gives ranked lists. A list is long enough once it holds `k` matching hits, or fewer than
+    `depth` in all; only questions whose list is not go into the next round, with four times the depth. Questions left
+    are told from counts, so nothing but the number of rounds reaches the driver.
+    """
+    keys, depth, left, found = list(keys), start or 4 * k, questions, None
+    while True:
+        hits = staged(search(left, depth).select(*keys, "node_id", "score"), "hits")
+        match = staged(hits.join(allowed.select("node_id"), "node_id", "left_semi"), "matches")
+        counts = hits.groupBy(*keys).agg(F.count("*").alias("_n")).join(match.groupBy(*keys).agg(F.count("*").alias("_fit")), keys, "left")
+        short = staged(counts.where((F.col("_n") >= depth) & (F.coalesce("_fit", F.lit(0)) < k)).select(*keys), "short")
+        whole = match.join(short, keys, "left_anti")
+        found = whole if found is None else found.unionByName(whole)
+        if short.isEmpty():
+            return top_k(found, k, keys)
+        left, depth = left.join(short, keys, "left_semi"), 4 * depth
+
+
 def rerank(
     candidates: DataFrame,
     limit: int | None = None,

@@ -40,7 +40,8 @@ def retrieve(
     """Context window per question: query_id, rank, score, variant_ix and the node's columns.
 
     All wordings of all questions are searched in one job. Without an encoder the questions carry
-    their own `embedding`, which then serves every wording and is searched once per question. Lists
+    their own `embedding`, which then serves every wording and is searched once per question; one that is null leaves
+    the question to BM25. Filters apply before the search, or (`filter_mode`) to ever longer lists after it. Lists
     of `4 * top_k` are fetched, `2 * top_k` survive the re-ranking and `top_k` per wording go on.
     Columns `top_k` and `alpha` of the questions, where they are set, win over the options.
     """
@@ -60,17 +61,25 @@ def retrieve(
         return rows.join(broadcast_within(own, n_rows * 32), "query_id") if per_question else rows
 
     worded = un.rewrite_queries(questions, options.max_variations, "augmented_query")
+    after = fu.filter_meta(nodes, options.metadata_filters).select("node_id") if options.metadata_filters and options.filter_mode != "pre" else None
     if options.metadata_filters and options.filter_mode == "pre":
         allowed = fu.filter_meta(nodes, options.metadata_filters).select("node_id")
         vectors = vectors.join(allowed, "node_id", "left_semi")
         index = LexicalIndex(index.postings.join(allowed, "node_id", "left_semi"), index.terms, index.stats)
     n_bytes = measured_bytes(worded, *keys, "variant")
-    sparse = with_options(bm25_search(worded, index, 4 * most, keys, text="variant", n_bytes=n_bytes)).where(F.col("rank") <= 4 * k)
+
+    def listed(asked: DataFrame, search: Callable[[DataFrame, int], DataFrame], of: tuple[str, ...]) -> DataFrame:
+        """The best `4 * most` hits; with a filter after the search, of those that match."""
+        return search(asked, 4 * most) if after is None else fu.matching_hits(asked, search, after, 4 * most, of)
+
+    sparse = listed(worded, lambda q, n: bm25_search(q, index, n, keys, text="variant", n_bytes=n_bytes), keys)
+    sparse = with_options(sparse).where(F.col("rank") <= 4 * k)
     if encoder is None:
-        near = dense_search(questions, vectors, 4 * most, exclude_self=exclude_self)
+        near = listed(questions, lambda q, n: dense_search(q, vectors, n, exclude_self=exclude_self), ("query_id",))
         dense = worded.select(*keys).join(near, "query_id")
     else:
-        dense = dense_search(worded.withColumn("embedding", encoder(F.col("variant"))), vectors, 4 * most, keys)
+        encoded = worded.withColumn("embedding", encoder(F.col("variant")))
+        dense = listed(encoded, lambda q, n: dense_search(q, vectors, n, keys), keys)
     dense = with_options(dense).where(F.col("rank") <= 4 * k)
     hits = with_options(fu.fuse(dense, sparse, keys=keys))
     hits = hits.withColumn("score", fu.weighted(alpha))
@@ -101,7 +110,7 @@ def answer_queries(
     **hooks_and_tables,
 ) -> DataFrame:
     """One structured response per question."""
-    questions = understand(queries, glossary)
+    questions = staged(understand(queries, glossary), "questions")
     context = staged(retrieve(questions, nodes, index, vectors, options, **hooks_and_tables), "context")
     out = respond(context, questions.select("query_id", "query", "intent_type", "intent_confidence", "keywords"))
     if glossary is None:
@@ -119,7 +128,7 @@ def route_queries(
     """`route` per question; only the rows marked `retrieve` need `answer_queries`."""
     typed = un.classify_intent(queries)
     exact = ru.exact_reuse(queries, cache).where("response IS NOT NULL")
-    semantic = ru.semantic_reuse(queries, cache, threshold)
+    semantic = ru.semantic_reuse(queries, cache.where("response IS NOT NULL"), threshold)  # what has an answer
     known = ru.validated_reuse(queries, validated).where("answer_text IS NOT NULL")
     if glossary is None:
         defined = queries.limit(0)

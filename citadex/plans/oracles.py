@@ -143,7 +143,7 @@ def dense(queries: str, vectors: str, k: int) -> str:
     return ranked(f"""
       SELECT q.query_id, v.node_id,
         round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
-      FROM {queries} q, {vectors} v WHERE v.node_id <> q.query_id""", "query_id", k)
+      FROM {queries} q, {vectors} v WHERE v.node_id <> q.query_id AND q.embedding IS NOT NULL""", "query_id", k)
 
 
 def fusion(dense_hits: str, sparse_hits: str, keys: str = "query_id") -> str:
@@ -167,7 +167,7 @@ cte("nodes", """SELECT doc_id AS node_id, source AS file_name, CAST(doc_id % 50
   CASE lang WHEN 'de' THEN 'table' WHEN 'fr' THEN 'image' WHEN 'es' THEN 'figure_caption' ELSE 'text' END AS content_type, text FROM documents""")
 cte("queries", f"SELECT item_id AS query_id, {prefix('item_id')} || text AS query FROM benchmark")
 cte("vectors", "SELECT vec_id AS node_id, embedding FROM embeddings")
-cte("qvecs", "SELECT query_id, query, embedding FROM queries JOIN embeddings ON vec_id = query_id")
+cte("qvecs", "SELECT query_id, query, embedding FROM queries LEFT JOIN embeddings ON vec_id = query_id")
 cte("uq", f"""SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS query_id, conv_id, turn,
   {prefix('conv_id + turn')} || text AS query FROM conversations WHERE role = 'user'""")
 cte("odd", "SELECT query_id, 'pritner  PPU, ' || query AS query FROM uq")
@@ -223,23 +223,27 @@ cte("ctx", "SELECT b.query_id, b.node_id, b.score, b.rank, n.file_name, n.page_l
 cte("asked", f"SELECT query_id, query, {intent_case('query', 0)} AS intent_type, {intent_case('query', 1)} AS intent_confidence, {keywords('query')} AS keywords FROM queries")
 cte("uq_intent", f"""SELECT *, intent_type IN ('comparison', 'reasoning') OR len(kw) > 5 AS requires_subqueries FROM (
   SELECT query_id, conv_id, turn, query, {intent_case('query', 0)} AS intent_type, {intent_case('query', 1)} AS intent_confidence, {keywords('query')} AS kw FROM uq)""")
-cte("numbered", """SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY first_rank) AS source_no FROM (
-  SELECT *, min(rank) OVER (PARTITION BY query_id, file_name) AS first_rank FROM ctx)""")
-cte("extracted", f"""SELECT q.query_id, coalesce(a.answer, 'The provided context does not include information to answer this query.') AS answer FROM queries q LEFT JOIN (
-  SELECT query_id, string_agg('According to ' || file_name || ' [' || CAST(source_no AS VARCHAR) || ']:' || chr(10) || body, chr(10) || chr(10) ORDER BY source_no) AS answer FROM (
-    SELECT query_id, file_name, source_no, string_agg({strip('text')}, ' ' ORDER BY rank) AS body FROM (
-      SELECT * FROM numbered) GROUP BY ALL)
-  GROUP BY query_id) a USING (query_id)""")
-cte("sources_", """SELECT query_id, source_no, '[' || CAST(source_no AS VARCHAR) || ']' AS id, file_name AS name,
-  array_to_string(list_transform(list_sort(list(DISTINCT CAST(page_label AS INTEGER))), lambda x: CAST(x AS VARCHAR)), ', ') AS pages,
-  arg_min(content_type, rank) AS content_type FROM numbered GROUP BY query_id, source_no, file_name""")
-cte("conf", """SELECT query_id, CASE WHEN files IS NULL THEN 0e0 ELSE round(least(0.5e0 * relevance + 0.3e0 * intent_confidence + 0.2e0 * least(files / 3e0, 1e0), 1e0), 6) END AS confidence
-  FROM asked LEFT JOIN (SELECT query_id, avg(score) AS relevance, count(DISTINCT file_name) AS files FROM ctx GROUP BY 1) USING (query_id)""")
-cte("reasons", """SELECT query_id, CASE WHEN n IS NULL THEN 'No relevant documents were retrieved for this query.' ELSE
-  printf('Retrieved %d relevant document chunks using hybrid search (dense embeddings + BM25).', n) || ' ' ||
-  printf('Query intent classified as: %s (confidence: %.2f%%).', intent_type, intent_confidence * 100) || ' ' ||
-  printf('Prioritized %d sources based on reliability and recency.', n) || ' ' || printf('Average relevance score: %.3f', avg_) END AS reasoning
-  FROM asked LEFT JOIN (SELECT query_id, count(*) AS n, avg(score) AS avg_ FROM ctx GROUP BY 1) USING (query_id)""")
+def response_ctes(p: str, ctx: str) -> None:
+    cte(f"{p}numbered", f"""SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY first_rank) AS source_no FROM (
+      SELECT *, min(rank) OVER (PARTITION BY query_id, file_name) AS first_rank FROM {ctx})""")
+    cte(f"{p}extracted", f"""SELECT q.query_id, coalesce(a.answer, 'The provided context does not include information to answer this query.') AS answer FROM queries q LEFT JOIN (
+      SELECT query_id, string_agg('According to ' || file_name || ' [' || CAST(source_no AS VARCHAR) || ']:' || chr(10) || body, chr(10) || chr(10) ORDER BY source_no) AS answer FROM (
+        SELECT query_id, file_name, source_no, string_agg({strip('text')}, ' ' ORDER BY rank) AS body FROM (
+          SELECT * FROM {p}numbered) GROUP BY ALL)
+      GROUP BY query_id) a USING (query_id)""")
+    cte(f"{p}sources_", f"""SELECT query_id, source_no, '[' || CAST(source_no AS VARCHAR) || ']' AS id, file_name AS name,
+      array_to_string(list_transform(list_sort(list(DISTINCT CAST(page_label AS INTEGER))), lambda x: CAST(x AS VARCHAR)), ', ') AS pages,
+      arg_min(content_type, rank) AS content_type FROM {p}numbered GROUP BY query_id, source_no, file_name""")
+    cte(f"{p}conf", f"""SELECT query_id, CASE WHEN files IS NULL THEN 0e0 ELSE round(least(0.5e0 * relevance + 0.3e0 * intent_confidence + 0.2e0 * least(files / 3e0, 1e0), 1e0), 6) END AS confidence
+      FROM asked LEFT JOIN (SELECT query_id, avg(score) AS relevance, count(DISTINCT file_name) AS files FROM {ctx} GROUP BY 1) USING (query_id)""")
+    cte(f"{p}reasons", f"""SELECT query_id, CASE WHEN n IS NULL THEN 'No relevant documents were retrieved for this query.' ELSE
+      printf('Retrieved %d relevant document chunks using hybrid search (dense embeddings + BM25).', n) || ' ' ||
+      printf('Query intent classified as: %s (confidence: %.2f%%).', intent_type, intent_confidence * 100) || ' ' ||
+      printf('Prioritized %d sources based on reliability and recency.', n) || ' ' || printf('Average relevance score: %.3f', avg_) END AS reasoning
+      FROM asked LEFT JOIN (SELECT query_id, count(*) AS n, avg(score) AS avg_ FROM {ctx} GROUP BY 1) USING (query_id)""")
+
+
+response_ctes("", "ctx")
 cte("answers", "SELECT a.*, e.answer, r.reasoning, c.confidence FROM asked a JOIN extracted e USING (query_id) JOIN reasons r USING (query_id) JOIN conf c USING (query_id)")
 
 # --- sources and sinks --------------------------------------------------------------------------
@@ -372,12 +376,12 @@ oracle("dense_lsh", ranked("""SELECT q.query_id, v.node_id, round(list_cosine_si
   FROM lsh_asked q JOIN lsh_nodes v ON bit_count(xor(q.cell, v.cell)) <= 2 AND v.node_id <> q.query_id""", k=10))
 oracle("score_norm", "SELECT query_id, node_id, rank, round(score / max(score) OVER (PARTITION BY query_id), 6) AS norm FROM bm10")
 oracle("hybrid_fuse", f"SELECT query_id, node_id, round(dense, 6) AS dense, round(bm25, 6) AS bm25, score, rank FROM ({ranked('SELECT * FROM fused', 'query_id', 10)})")
-oracle("hybrid_filtered", ranked("SELECT query_id, node_id, score FROM fused JOIN nodes USING (node_id) WHERE content_type = 'text'", "query_id", 10))
 cte("en_vectors", "SELECT node_id, embedding FROM vectors JOIN nodes USING (node_id) WHERE content_type = 'text'")
 cte("en_post", "SELECT p.* FROM ix_post p JOIN nodes n USING (node_id) WHERE n.content_type = 'text'")
 cte("en_dense", dense("qvecs", "en_vectors", 20))
 cte("en_bm", bm25("ix", "queries", 20, post="en_post"))
 oracle("hybrid_prefiltered", f"SELECT query_id, node_id, score, rank FROM ({ranked(fusion('en_dense', 'en_bm'), 'query_id', 10)})")
+ORACLES["hybrid_filtered"] = ORACLES["hybrid_prefiltered"]
 oracle("content_filter", "SELECT node_id, content_type FROM nodes WHERE content_type IN ('table', 'image', 'text')")
 
 
@@ -399,6 +403,11 @@ cte("worded_fused", ranked("SELECT b.* FROM worded_both b JOIN nodes USING (node
 cte("reranked", ranked(f"""SELECT f.query_id, f.variant_ix, f.node_id, CASE WHEN count(*) OVER (PARTITION BY f.query_id, f.variant_ix) > 1 THEN {coverage('w.variant', 'n.text')} ELSE f.score END AS score
   FROM worded_fused f JOIN nodes n USING (node_id) JOIN worded w USING (query_id, variant_ix) WHERE f.rank <= 20""", "query_id, variant_ix", 5))
 cte("deduped", "SELECT query_id, node_id, max(score) AS score, min(variant_ix) AS variant_ix FROM reranked GROUP BY 1, 2")
+cte("full_ctx", f"SELECT w.query_id, w.node_id, w.score, w.rank, n.file_name, n.page_label, n.content_type, n.text FROM ({windowed('SELECT * FROM deduped', 5)}) w JOIN nodes n USING (node_id)")
+response_ctes("full_", "full_ctx")
+cte("full_answers", "SELECT a.query_id, a.query, e.answer, r.reasoning, c.confidence FROM asked a JOIN full_extracted e USING (query_id) JOIN full_reasons r USING (query_id) JOIN full_conf c USING (query_id)")
+oracle("answer_full", """SELECT a.*, coalesce(s.sources, '') AS sources FROM full_answers a LEFT JOIN (
+  SELECT query_id, string_agg(id || ':' || name || ':' || CASE WHEN pages = '' THEN 'N/A' ELSE pages END || ':' || content_type, '|' ORDER BY source_no) AS sources FROM full_sources_ GROUP BY 1) s USING (query_id)""")
 oracle("answer_context", f"SELECT w.query_id, w.node_id, w.score, w.rank, d.variant_ix, n.file_name FROM ({windowed('SELECT * FROM deduped', 5)}) w JOIN deduped d USING (query_id, node_id) JOIN nodes n USING (node_id)")
 
 # --- context and response -----------------------------------------------------------------------
@@ -473,17 +482,19 @@ oracle("validated_reuse", f"""SELECT q.query_id, q.query_hash, a.answer_text, a.
   FROM (SELECT *, md5({strip('lower(query)')}) AS query_hash FROM again) q LEFT JOIN approved a USING (query_hash)""")
 oracle("definition_path", f"""SELECT query_id, string_agg(term || ': ' || definition, chr(10) ORDER BY rank) AS answer, '[G]' AS source_id, 'Glossary' AS source_name,
   {GLOSSARY_CONFIDENCE}e0 AS confidence, '{GLOSSARY_REASONING}' AS reasoning FROM ghits JOIN asked USING (query_id) WHERE rank <= 3 AND intent_type = 'definition' GROUP BY query_id""")
-cte("routed", f"""SELECT k.query_id, CASE WHEN k.key IN (SELECT key FROM cache) THEN 'exact' WHEN k.query_id IN (SELECT query_id FROM near) THEN 'semantic'
+cte("held_vectors", "SELECT node_id, embedding FROM vectors WHERE node_id IN (SELECT entry_id FROM cache)")
+cte("near_held", "SELECT query_id, node_id AS entry_id, score FROM (" + dense("qvecs", "held_vectors", 1) + ") WHERE score >= 0.4e0")
+cte("routed", f"""SELECT k.query_id, CASE WHEN k.key IN (SELECT key FROM cache) THEN 'exact' WHEN k.query_id IN (SELECT query_id FROM near_held) THEN 'semantic'
   WHEN md5({strip('lower(k.query)')}) IN (SELECT query_hash FROM approved) THEN 'validated' WHEN a.intent_type = 'definition' THEN 'glossary' ELSE 'retrieve' END AS route
   FROM again_keyed k JOIN asked a USING (query_id)""")
 oracle("route", "SELECT query_id, route FROM routed")
 oracle("served_batch", f"""SELECT r.query_id, r.route, CASE r.route WHEN 'exact' THEN c.response WHEN 'semantic' THEN s.response WHEN 'validated' THEN a.answer_text
     WHEN 'glossary' THEN g.answer ELSE x.answer END AS answer,
   CASE r.route WHEN 'validated' THEN {VALIDATED_CONFIDENCE}e0 WHEN 'glossary' THEN {GLOSSARY_CONFIDENCE}e0 WHEN 'retrieve' THEN x.confidence END AS confidence
-  FROM routed r JOIN again_keyed k ON k.query_id = r.query_id LEFT JOIN cache c ON c.key = k.key LEFT JOIN near n ON n.query_id = r.query_id LEFT JOIN cache s ON s.entry_id = n.entry_id
+  FROM routed r JOIN again_keyed k ON k.query_id = r.query_id LEFT JOIN cache c ON c.key = k.key LEFT JOIN near_held n ON n.query_id = r.query_id LEFT JOIN cache s ON s.entry_id = n.entry_id
   LEFT JOIN approved a ON a.query_hash = md5({strip('lower(k.query)')})
   LEFT JOIN (SELECT query_id, string_agg(term || ': ' || definition, chr(10) ORDER BY rank) AS answer FROM ghits WHERE rank <= 3 GROUP BY 1) g ON g.query_id = r.query_id
-  LEFT JOIN answers x ON x.query_id = r.query_id""")
+  LEFT JOIN full_answers x ON x.query_id = r.query_id""")
 oracle("cache_stats", """SELECT hits, total - hits AS misses, total, round(hits / total, 6) AS hit_rate, (SELECT count(*) FROM cache) AS size FROM (
   SELECT count(*) FILTER (WHERE route IN ('exact', 'semantic')) AS hits, count(*) AS total FROM routed)""")
 oracle("answer_keys", """SELECT query_id, rank, md5(query) || '_' || md5(text) AS key FROM ctx JOIN queries USING (query_id)

@@ -376,28 +376,26 @@ def hybrid_fuse(r):
     return out.select("query_id", "node_id", F.round("dense", 6).alias("dense"), F.round("bm25", 6).alias("bm25"), "score", "rank")
 
 
-def _filtered(r: Roles, mode: str) -> DataFrame:
-    nodes, wanted = r.nodes(), {"content_type": "text"}
-    if mode == "post":
-        rows = fu.attach_nodes(fused(r), nodes, 4 * K * r.queries().count())
-        hits = fu.filter_meta(rows, wanted)
-    else:
-        allowed = fu.filter_meta(nodes, wanted).select("node_id")
-        index = r.index()
-        cut = LexicalIndex(index.postings.join(allowed, "node_id", "left_semi"), index.terms, index.stats)
-        dense = dense_search(r.query_vectors(), r.vectors().join(allowed, "node_id", "left_semi"), 2 * K, exclude_self=True)
-        hits = fu.fuse(dense, bm25_search(r.queries(), cut, 2 * K))
-    return fu.top_k(hits, K).select("query_id", "node_id", "score", "rank")
+def _wanted(r: Roles) -> DataFrame:
+    return fu.filter_meta(r.nodes(), {"content_type": "text"}).select("node_id")
 
 
 @query
 def hybrid_filtered(r):
-    return _filtered(r, "post")
+    """Filtered after the search: both lists deepen until enough of their nodes match."""
+    allowed, index, asked = _wanted(r), r.index(), r.query_vectors()
+    dense = fu.matching_hits(asked, lambda q, n: dense_search(q, r.vectors(), n, exclude_self=True), allowed, 2 * K)
+    sparse = fu.matching_hits(asked, lambda q, n: bm25_search(q, index, n), allowed, 2 * K)
+    return fu.top_k(fu.fuse(dense, sparse), K).select("query_id", "node_id", "score", "rank")
 
 
 @query
 def hybrid_prefiltered(r):
-    return _filtered(r, "pre")
+    """Filtered before the search."""
+    allowed, index = _wanted(r), r.index()
+    cut = LexicalIndex(index.postings.join(allowed, "node_id", "left_semi"), index.terms, index.stats)
+    dense = dense_search(r.query_vectors(), r.vectors().join(allowed, "node_id", "left_semi"), 2 * K, exclude_self=True)
+    return fu.top_k(fu.fuse(dense, bm25_search(r.queries(), cut, 2 * K)), K).select("query_id", "node_id", "score", "rank")
 
 
 @query
@@ -450,6 +448,18 @@ def answer_context(r):
     return out.select("query_id", "node_id", "score", "rank", "variant_ix", "file_name")
 
 
+def _answered(r: Roles, asked: DataFrame) -> DataFrame:
+    return answering.answer_queries(asked, r.nodes(), r.index(), r.vectors(), AnswerOptions(top_k=5), exclude_self=True)
+
+
+@query
+def answer_full(r):
+    """The whole path of a batch: wordings, both searches, fusion, re-ranking, window, cited answer."""
+    out = _answered(r, r.query_vectors())
+    named = F.transform("sources", lambda s: F.concat_ws(":", s["id"], s["name"], s["pages"], s["content_type"]))
+    return out.select("query_id", "query", "answer", "reasoning", "confidence", F.array_join(named, "|").alias("sources"))
+
+
 # --- context and response -----------------------------------------------------------------------
 
 
@@ -628,10 +638,17 @@ def definition_path(r):
     return ru.definition_answers(questions(r), hits)
 
 
+def _similar(r: Roles) -> DataFrame:
+    """The closest question with an answer in the cache, and that answer."""
+    held = _cache_vectors(r).join(r.cache().select("entry_id", F.col("response").alias("answer")), "entry_id")
+    near = ru.semantic_reuse(r.query_vectors(), held, 0.4, exclude_self=True)
+    return near.join(held.select("entry_id", "answer"), "entry_id")
+
+
 def _routed(r: Roles) -> DataFrame:
     asked = r.asked_again()
     exact = ru.exact_reuse(asked, r.cache()).where("response IS NOT NULL")
-    semantic = ru.semantic_reuse(r.query_vectors(), _cache_vectors(r), 0.4, exclude_self=True)
+    semantic = _similar(r)
     known = ru.validated_reuse(asked, _validated(r), min_votes=1).where("answer_text IS NOT NULL")
     defined = questions(r).where("intent_type = 'definition'")
     return ru.route(asked, exact, semantic, known, defined)
@@ -647,15 +664,12 @@ def served_batch(r):
     """Routes, answers of every route, and retrieval for the rest, in one table."""
     asked = r.asked_again()
     exact = ru.exact_reuse(asked, r.cache()).where("response IS NOT NULL").select("query_id", F.col("response").alias("answer"))
-    near = ru.semantic_reuse(r.query_vectors(), _cache_vectors(r), 0.4, exclude_self=True)
-    near = near.join(r.cache().select("entry_id", F.col("response").alias("answer")), "entry_id", "left")
+    near = _similar(r)
     known = ru.validated_reuse(asked, _validated(r), min_votes=1).where("answer_text IS NOT NULL").withColumn("answer", F.col("answer_text"))
     defined = ru.definition_answers(questions(r), un.glossary_hits(r.queries(), _glossary(r), 3))
 
     def retrieved(rest):
-        these = questions(r).join(rest.select("query_id"), "query_id", "left_semi")
-        hits = fu.attach_nodes(bm25_search(these, r.index(), K), r.nodes(), K * r.queries().count())
-        return rs.respond(staged(hits, "context"), these.select("query_id", "query", "intent_type", "intent_confidence", "keywords"))
+        return _answered(r, r.query_vectors().join(rest.select("query_id"), "query_id", "left_semi"))
 
     out = answering.served(ru.route(asked, exact, near, known, defined), exact, near, known, defined, retrieved)
     return out.select("query_id", "route", "answer", "confidence")

@@ -49,8 +49,8 @@ class Roles:
         return self.table("embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
 
     def query_vectors(self) -> DataFrame:
-        """The vector with the id of the question stands for the question."""
-        return self.queries().join(self.vectors().withColumnRenamed("node_id", "query_id"), "query_id")
+        """The vector with the id of the question stands for the question; without one its embedding is null."""
+        return self.queries().join(self.vectors().withColumnRenamed("node_id", "query_id"), "query_id", "left")
 
     def user_questions(self) -> DataFrame:
         """User turns with a lead-in."""
