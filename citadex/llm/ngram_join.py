@@ -16,6 +16,7 @@ components, so that no link between components is lost and no group is expanded
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -172,6 +173,15 @@ def folded(counts: np.ndarray, n: int) -> np.ndarray:
     return counts.reshape(*counts.shape[:-1], n, -1).sum(axis=-1)
 
 
+def packed_cells(counts: np.ndarray) -> bytes:
+    return struct.pack("<H", len(counts)) + pa.compress(counts.astype("<u4").tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_cells(data: bytes) -> np.ndarray:
+    n = struct.unpack_from("<H", data)[0]
+    return np.frombuffer(pa.decompress(data[2:], decompressed_size=4 * n, codec="zstd", asbytes=True), "<u4").astype(np.int32)
+
+
 def linked(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, p: int, q: int) -> bool:
     """Suffix filter behind a shared n-gram at these places, then the exact overlap. Sets in the common order."""
     least = -(-p * (len(a) + len(b)) // (p + q))
@@ -198,18 +208,19 @@ def _block_pairs(outside: pa.Table, members: pa.Table, p: int, q: int, best: int
     """Pairs of `outside` and members of other components that pass the length, positional and suffix filters.
 
     A link is sure to pass in the bucket of the first n-gram that both prefixes hold, and before that they share nothing:
-    so the filters count this n-gram and what lies behind it, and a pair hardly passes in later buckets again. With `best` only so many with the highest bounds per row and other component.
+    so the filters count this n-gram and what lies behind it, and a pair hardly passes in later buckets again. With `best` only so many with the highest bounds per row and other component; `cut` says
+    that some were left.
     """
     sizes, places = members["n"].to_numpy(), members["place"].to_numpy()
     ids, labels = members["node"].to_numpy(), members["label"].to_numpy()
-    bodies = members["behind"].to_pylist()
-    widths = np.array([len(x) // 4 for x in bodies], np.int64)
+    bodies = [unpacked_cells(x) for x in members["behind"].to_pylist()]
+    widths = np.array([len(x) for x in bodies], np.int64)
     #: number of cells -> members that have so many, their cells
-    held = {w: (np.flatnonzero(widths == w), np.stack([np.frombuffer(bodies[i], "<u4") for i in np.flatnonzero(widths == w)]).astype(np.int32)) for w in np.unique(widths).tolist()}
+    held = {w: (np.flatnonzero(widths == w), np.stack([bodies[i] for i in np.flatnonzero(widths == w)])) for w in np.unique(widths).tolist()}
     fewer: dict[tuple[int, int], np.ndarray] = {}
-    out: list[list[np.ndarray]] = [[], [], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
     for node, label, n, place, own in zip(*(outside[c].to_pylist() for c in ("node", "label", "n", "place", "behind")), strict=True):
-        mine = np.frombuffer(own, "<u4").astype(np.int32)
+        mine = unpacked_cells(own)
         least = -(-p * (sizes + n) // (p + q))
         good = (labels != label) & (q * np.minimum(sizes, n) >= p * np.maximum(sizes, n))
         good &= np.minimum(sizes - places, n - place) >= least
@@ -224,17 +235,18 @@ def _block_pairs(outside: pa.Table, members: pa.Table, p: int, q: int, best: int
             bound[rows[some]] = np.minimum(counts[some], folded(mine, w)).sum(axis=1)
         bound += 1
         some = np.flatnonzero(good & (bound >= least))
-        if best is not None and len(some) > best:
+        passed = len(some)
+        if best is not None and passed > best:
             order = some[np.lexsort((ids[some], least[some] - bound[some], labels[some]))]
             nth = np.arange(len(order)) - np.searchsorted(labels[order], labels[order])
             some = order[nth < best]
         # one order for both ways to meet a pair
         a, b = np.minimum(ids[some], node), np.maximum(ids[some], node)
         flip = ids[some] < node
-        for column, value in zip(out, (a, b, np.where(flip, places[some], place), np.where(flip, place, places[some])), strict=True):
+        for column, value in zip(out, (a, b, np.where(flip, places[some], place), np.where(flip, place, places[some]), np.full(len(some), passed > len(some))), strict=True):
             column.append(value)
-    names = ("a", "b", "at_a", "at_b")
-    return pa.table({c: pa.array(np.concatenate(v) if v else [], pa.int64()) for c, v in zip(names, out, strict=True)})
+    kinds = {"a": pa.int64(), "b": pa.int64(), "at_a": pa.int64(), "at_b": pa.int64(), "cut": pa.bool_()}
+    return pa.table({c: pa.array(np.concatenate(v) if v else [], kind) for (c, kind), v in zip(kinds.items(), out, strict=True)})
 
 
 def _pairs_of(p: int, q: int, best: int | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -269,15 +281,16 @@ def _links(members: DataFrame, p: int, q: int) -> DataFrame:
         open_ = staged(_with_cells(open_, sets), "open-cells")
         left = open_.where("label <> main").select("gram", every("grams").alias("part"), own("outside").alias("turn"), *columns)
         right = open_.select(F.col("gram").alias("gram"), own("grams").alias("part"), every("outside").alias("turn"), *(F.col(c).alias(c) for c in columns))
-        met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_pairs_of(p, q, best), "a long, b long, at_a long, at_b long")
-        rest = met.groupBy("a", "b").agg(F.min(F.struct("at_a", "at_b")).alias("at")).select("a", "b", "at.*").join(done, ["a", "b"], "left_anti")
-        rest = staged(rest, "more-pairs")
-        if rest.isEmpty():
-            break
-        more = staged(_verified(rest, sets, p, q), "more")
+        met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_pairs_of(p, q, best), "a long, b long, at_a long, at_b long, cut boolean")
+        seen = met.groupBy("a", "b").agg(F.min(F.struct("at_a", "at_b")).alias("at"), F.max("cut").alias("cut")).select("a", "b", "at.*", "cut")
+        seen = staged(seen, "more-pairs")
+        more = staged(_verified(seen.drop("cut").join(done, ["a", "b"], "left_anti"), sets, p, q), "more")
         if not more.isEmpty():
-            links, done = links.union(more), done.union(rest.select("a", "b"))
+            links = links.union(more)
             labels = connected(links)
+        if seen.where("cut").isEmpty():
+            break
+        done = done.union(seen.select("a", "b"))
     return labels
 
 
@@ -292,7 +305,7 @@ def _with_cells(rows: DataFrame, sets: DataFrame) -> DataFrame:
                 table = at.values
                 for start in range(0, len(table), 1024):
                     part = table.slice(start, 1024)
-                    behind = [cells(ranked[i + 1 :], len(ranked)).astype("<u4").tobytes() for i in part.field("place").to_pylist()]
+                    behind = [packed_cells(cells(ranked[i + 1 :], len(ranked))) for i in part.field("place").to_pylist()]
                     columns = [pa.array([node.as_py()] * len(part), pa.int64()), *(part.field(c) for c in others), pa.array(behind, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["node", *others, "behind"])
 
