@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,40 +139,65 @@ def chunk_window(
     return _exploded_chunks(df, tx.let(tx.words(F.col(text)), windows), text, key)
 
 
-def _pack(sentences: list[str], size: int, overlap: int) -> list[str]:
-    pieces = []
-    for sentence in sentences:
-        words = sentence.split()
-        pieces += [words[i:i + size] for i in range(0, len(words), size)]
-    chunks, current, used = [], [], 0
-    for piece in pieces:
-        if current and used + len(piece) > size:
-            chunks.append(current)
-            tail, used = [], 0
-            for old in reversed(current):
-                if used + len(old) > overlap or used + len(old) + len(piece) > size:
-                    break
-                tail.insert(0, old)
-                used += len(old)
-            current = tail
-        current = current + [piece]
-        used += len(piece)
-    if current:
-        chunks.append(current)
-    return [" ".join(" ".join(p) for p in chunk) for chunk in chunks]
-
-
 def chunk_sentences(
     df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
-    """Whole sentences packed up to `size` words; the next chunk repeats up to `overlap` words."""
+    """Whole sentences packed up to `size` words; the next chunk repeats up to `overlap` words.
+
+    Sentences end at a line, and at punctuation before white space; one of more than `size` words is cut into pieces. A
+    fold over the pieces closes a chunk where the next piece would not fit, and goes back by as many pieces as `overlap`
+    and that next piece allow. All of it is one expression over the words of a text.
+    """
+
+    def pieces(words: Column) -> Column:
+        last = F.ceil(F.size(words) / size).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(words, i * size + 1, F.lit(size)))
+
+    sentences = F.filter(F.transform(F.split(F.col(text), r"(?<=[.!?])(?=\s)|\n", -1), tx.words), lambda w: F.size(w) > 0)
+
+    def chunks(p: Column) -> Column:
+        return tx.let(_running(F.transform(p, F.size)), lambda sums: tx.let(_cuts(sums, size, overlap), lambda cuts: F.transform(
+            cuts, lambda c: F.array_join(F.flatten(F.slice(p, c["start"] + 1, c["stop"] - c["start"])), " ")
+        )))
+
+    return _exploded_chunks(df, tx.let(F.flatten(F.transform(sentences, pieces)), lambda p: F.when(F.size(p) > 0, chunks(p))), text, key)
+
 
-    @F.pandas_udf("array<string>")
-    def pack(sentences: pd.Series) -> pd.Series:
-        return sentences.map(lambda s: _pack(list(s), size, overlap))
+def _running(sizes: Column, block: int = 256) -> Column:
+    """0 and the running sums. In two levels, as every step of a fold copies the array that it extends."""
+
+    def sums(x: Column) -> Column:
+        return F.aggregate(x, F.array(F.lit(0)), lambda done, v: F.array_append(done, F.element_at(done, -1) + v))
+
+    last = F.greatest(F.ceil(F.size(sizes) / block).cast("int"), F.lit(1)) - 1
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: sums(F.slice(sizes, b * block + 1, F.lit(block))))
+
+    def joined(x: Column) -> Column:
+        bases = sums(F.transform(x, lambda own: F.element_at(own, -1)))
+        return tx.let(bases, lambda base: F.array_append(
+            F.flatten(F.transform(x, lambda own, b: F.transform(F.slice(own, 1, F.size(own) - 1), lambda v: v + F.get(base, b)))), F.element_at(base, -1)
+        ))
+
+    return tx.let(blocks, joined)
+
+
+def _cuts(sums: Column, size: int, overlap: int) -> Column:
+    """First piece and end of every chunk; `sums` holds the words before each piece, and of all."""
+    n = F.size(sums) - 1
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+
+    def step(state: Column, i: Column) -> Column:
+        here, after, first = F.get(sums, i), F.get(sums, i + 1), state["start"]
+        floor = here - F.least(F.lit(overlap), size - (after - here))
+        kept = F.size(F.filter(F.slice(sums, first + 1, i - first), lambda x: x >= floor))
+        full = after - F.get(sums, first) > size
+        return F.struct(
+            F.when(full, i - kept).otherwise(first).alias("start"),
+            F.when(full, F.array_append(state["cuts"], F.struct(first.alias("start"), i.alias("stop")))).otherwise(state["cuts"]).alias("cuts"),
+        )
 
-    sentences = F.regexp_extract_all(F.col(text), F.lit(r"(?s)\S.*?(?:[.!?]+(?=\s|$)|\n|$)"), F.lit(0))
-    return _exploded_chunks(df, pack(sentences), text, key)
+    start = F.struct(F.lit(0).alias("start"), none.alias("cuts"))
+    return F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: F.array_append(s["cuts"], F.struct(s["start"].alias("start"), n.alias("stop"))))
 
 
 # What is no mark-up of the page: comments, scripts, styles.

@@ -313,6 +313,18 @@ oracle("chunk_window", f"""SELECT doc_id, source, i AS chunk_ix, array_to_string
   CAST(doc_id AS VARCHAR) || '-' || CAST(i AS VARCHAR) AS node_id FROM (
   SELECT doc_id, source, w, unnest(range(CAST(greatest(ceil((len(w) - 88) / 262e0), 1) AS BIGINT))) AS i
   FROM (SELECT doc_id, source, {words('text')} AS w FROM documents) WHERE len(w) > 0)""")
+cte("sentence_words", rf"""SELECT doc_id, source, list_filter(list_transform(string_split(replace(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(10), chr(1)), chr(1)),
+  lambda s: {words('s')}), lambda w: len(w) > 0) AS s FROM documents""")
+cte("sentence_pieces", """SELECT doc_id, source, flatten(list_transform(s, lambda w: list_transform(range(CAST(ceil(len(w) / 350e0) AS BIGINT)), lambda k: w[k * 350 + 1 : k * 350 + 350]))) AS p
+  FROM sentence_words WHERE len(s) > 0""")
+cte("piece_sums", "SELECT *, list_transform(range(len(p) + 1), lambda i: CAST(coalesce(list_sum(list_transform(p[1:i], lambda x: len(x))), 0) AS BIGINT)) AS sums FROM sentence_pieces")
+oracle("chunk_sentences", """SELECT c.doc_id, s.source, ix AS chunk_ix, array_to_string(flatten(s.p[start + 1 : stop]), ' ') AS text, CAST(c.doc_id AS VARCHAR) || '-' || CAST(ix AS VARCHAR) AS node_id FROM (
+  WITH RECURSIVE chunks(doc_id, ix, start, stop) AS (
+    SELECT doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(len(list_filter(sums, lambda x: x <= 350)) - 1 AS BIGINT) FROM piece_sums
+    UNION ALL SELECT doc_id, ix + 1, next_, CAST(len(list_filter(sums, lambda x: x <= sums[next_ + 1] + 350)) - 1 AS BIGINT) FROM (
+      SELECT c.doc_id, c.ix, s.sums, CAST(len(list_filter(s.sums, lambda x: x < s.sums[c.stop + 1] - least(88, 350 - (s.sums[c.stop + 2] - s.sums[c.stop + 1])))) AS BIGINT) AS next_
+      FROM chunks c JOIN piece_sums s USING (doc_id) WHERE c.stop < len(s.p)))
+  SELECT * FROM chunks) c JOIN piece_sums s USING (doc_id)""")
 oracle("ingest_summary", "SELECT file_name, content_type, count(*) AS n_nodes FROM nodes GROUP BY ALL")
 _blocks = (
     ("heading", "text", r"(?is)<h[1-6](?:\s[^>]*)?>(.*?)</h[1-6]>"), ("paragraph", "text", r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"),

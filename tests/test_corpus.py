@@ -1,6 +1,8 @@
 """Corpus preparation, sources and the stored index."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +72,39 @@ def test_sentences_are_kept_whole(spark):
     assert set(" ".join(got).split()) == set(text.split())
 
 
+def packed_by_hand(text, size, overlap):
+    pieces = []
+    for sentence in re.split(r"(?<=[.!?])(?=[ \t\n\v\f\r])|\n", text):
+        words = sentence.split()
+        pieces += [words[i : i + size] for i in range(0, len(words), size)]
+    chunks, current = [], []
+    for piece in pieces:
+        if current and sum(map(len, current)) + len(piece) > size:
+            chunks.append(current)
+            tail = []
+            for old in reversed(current):
+                used = sum(map(len, tail)) + len(old)
+                if used > overlap or used + len(piece) > size:
+                    break
+                tail.insert(0, old)
+            current = tail
+        current = [*current, piece]
+    return [" ".join(w for p in c for w in p) for c in chunks + ([current] if current else [])]
+
+
+def test_sentence_chunks_equal_a_plain_fold(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["a", "bb", "c.", "d!", "e?", "f...", ".", "g\n", "h.\ni"]) for _ in range(rng.randint(0, 300))) for _ in range(40)] + ["one two. " * 700]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size, overlap in ((8, 3), (20, 0), (5, 5), (350, 88), (1, 0)):
+        out = co.chunk_sentences(df, size, overlap)
+        assert "Python" not in out._jdf.queryExecution().toString()
+        got = {}
+        for r in out.orderBy("doc_id", "chunk_ix").collect():
+            got.setdefault(r.doc_id, []).append(r.text)
+        assert got == {i: want for i, t in enumerate(texts) if (want := packed_by_hand(t, size, overlap))}
+
+
 def test_page_blocks(spark):
     html = '<h1>Top &amp; title</h1><p class="x">One <b>bold</b></p><pre>no</pre><ul><li><a href="/u">link</a></li></ul><img src="i" alt="a pump"><figcaption>Fig</figcaption>'
     html += """<a class=x href='/single'>s</a><a href=/bare>b</a><img alt='one "two"' src=i><!-- <p>comment</p> --><script>var p = "<p>script</p>";</script>"""
