@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citadex.functions import text as tx
 from citadex.operators.dense import dense_search
+from citadex.operators.vector_index import VectorIndex, vector_search
 from citadex.settings import GLOSSARY_CONFIDENCE, GLOSSARY_REASONING, VALIDATED_CONFIDENCE, VALIDATED_REASONING
 
 
@@ -23,8 +24,13 @@ def exact_reuse(queries: DataFrame, cache: DataFrame) -> DataFrame:
     return with_cache_key(queries).join(cache.select("key", "response"), "key", "left")
 
 
-def semantic_reuse(queries: DataFrame, cache: DataFrame, threshold: float = 0.90, exclude_self: bool = False) -> DataFrame:
-    """The closest cached question, when its cosine reaches the threshold."""
+def semantic_reuse(
+    queries: DataFrame, cache: DataFrame | None, threshold: float = 0.90, exclude_self: bool = False, index: VectorIndex | None = None
+) -> DataFrame:
+    """The closest cached question, when its cosine reaches the threshold; the cache as a table or as a stored index."""
+    if index is not None:
+        found = vector_search(queries, index, 1, exclude_self=exclude_self, floor=threshold)
+        return found.select("query_id", F.col("node_id").alias("entry_id"), "score")
     vectors = cache.select(F.col("entry_id").alias("node_id"), "embedding")
     best = dense_search(queries, vectors, 1, exclude_self=exclude_self)
     return best.where(F.col("score") >= threshold).select("query_id", F.col("node_id").alias("entry_id"), "score")

@@ -374,6 +374,7 @@ oracle("bm25_terms", "SELECT term, df, round(idf, 6) AS idf FROM ix_idf")
 oracle("bm25_postings", "SELECT node_id, dl, term, tf FROM ix_post")
 oracle("bm25_topk", "SELECT * FROM bm10")
 oracle("dense_topk", "SELECT * FROM dn10")
+oracle("dense_index", "SELECT * FROM dn10")
 
 
 def cell(bits: int = 6, dim: int = 64, seed: int = 7) -> str:

@@ -17,6 +17,7 @@ from citadex.operators import reuse as ru
 from citadex.operators import understanding as un
 from citadex.operators.dense import dense_search, probed_search
 from citadex.operators.lexical import LexicalIndex, bm25_search, build_lexical_index
+from citadex.operators.vector_index import VectorIndex, build_vector_index, read_vector_index, vector_search
 from citadex.plans import answering
 from citadex.plans.roles import Roles
 from citadex.session import scratch_path, staged
@@ -365,6 +366,18 @@ def dense_lsh(r):
     return probed_search(r.query_vectors(), r.vectors(), K, exclude_self=True)
 
 
+def _vector_index(r: Roles) -> VectorIndex:
+    path = scratch_path(r.spark, "vectors")
+    build_vector_index(r.vectors(), path)
+    return read_vector_index(r.spark, path)
+
+
+@query
+def dense_index(r):
+    """Every question over a stored index of quantised vectors, with exact answers."""
+    return vector_search(r.query_vectors(), _vector_index(r), K, exclude_self=True)
+
+
 @query
 def score_norm(r):
     return fu.normalise(bm25_hits(r), into="norm").select("query_id", "node_id", "rank", F.round("norm", 6).alias("norm"))
@@ -600,7 +613,7 @@ def _cache_vectors(r: Roles) -> DataFrame:
 
 @query
 def semantic_reuse(r):
-    return ru.semantic_reuse(r.query_vectors(), _cache_vectors(r), 0.4, exclude_self=True)
+    return ru.semantic_reuse(r.query_vectors(), None, 0.4, exclude_self=True, index=_vector_index(r))
 
 
 @query
