@@ -58,28 +58,54 @@ def _since(log: DataFrame, days: int, asof: str) -> DataFrame:
     )
 
 
+MEASURES = ("confidence", "response_time_ms", "intent_confidence")
+
+
+def day_rollup(log: DataFrame) -> DataFrame:
+    """Sums per day and intent, which add up: of several batches, days or shards.
+
+    A range of days counts both ends, so what was asked exactly at midnight has rows of its own (`at_midnight`).
+    """
+    midnight = F.col("ts").cast("timestamp_ntz") == F.col("dt").cast("timestamp_ntz")
+    sums = [x for m in MEASURES for x in (F.sum(m).alias(m), F.count(m).alias(f"n_{m}"))]
+    return log.groupBy("dt", midnight.alias("at_midnight"), F.coalesce("intent_type", F.lit("unknown")).alias("intent_type")).agg(F.count("*").alias("n"), *sums)
+
+
+def _added(rollup: DataFrame) -> DataFrame:
+    """Sums per intent."""
+    return rollup.groupBy("intent_type").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for m in MEASURES for c in (m, f"n_{m}")])
+
+
+def rollup_between(rollup: DataFrame, days: int, asof: str) -> DataFrame:
+    """Rows of the `days` up to midnight of `asof`, which is a date."""
+    end = F.lit(asof).cast("date")
+    if len(asof) != 10:
+        raise ValueError("a rollup by day ends at a date")
+    return rollup.where((F.col("dt").between(F.date_sub(end, int(days)), F.date_sub(end, 1))) | ((F.col("dt") == end) & F.col("at_midnight")))
+
+
+def intents_of(rollup: DataFrame) -> DataFrame:
+    """Questions per intent with shares and the leading intent marked; one row per intent is gathered, counted once."""
+    counts = _added(rollup).agg(
+        F.collect_list(F.struct("intent_type", "n")).alias("all"), F.sum("n").alias("total"), F.max_by("intent_type", F.struct("n", "intent_type")).alias("top")
+    ).select(F.inline("all"), "total", "top")
+    share = F.col("n") / F.col("total")
+    return counts.select("intent_type", "n", F.round(share, RATIO_DIGITS).alias("share"), (F.col("intent_type") == F.col("top")).alias("is_top"), (share > 0.5).alias("dominant"))
+
+
+def _averages() -> list[Column]:
+    mean = lambda m: F.round(F.coalesce(F.try_divide(F.sum(m), F.sum(f"n_{m}")), F.lit(0.0)), RATIO_DIGITS).alias(f"avg_{m}")
+    return [*map(mean, MEASURES), F.coalesce(F.sum("n"), F.lit(0)).alias("total_queries")]
+
+
 def intent_distribution(log: DataFrame, days: int, asof: str) -> DataFrame:
     """Questions per intent over the last days, with shares and the leading intent marked."""
-    counts = _since(log, days, asof).groupBy(F.coalesce("intent_type", F.lit("unknown")).alias("intent_type")).agg(
-        F.count("*").alias("n")
-    )
-    totals = counts.agg(F.struct(
-        F.sum("n").alias("n"), F.max_by("intent_type", F.struct(F.col("n"), "intent_type")).alias("top")
-    ).alias("t")).scalar()
-    share = F.col("n") / totals["n"]
-    return counts.select(
-        "intent_type", "n", F.round(share, RATIO_DIGITS).alias("share"), (F.col("intent_type") == totals["top"]).alias("is_top"),
-        (share > 0.5).alias("dominant"),
-    )
+    return intents_of(day_rollup(_since(log, days, asof)))
 
 
 def average_metrics(log: DataFrame, days: int, asof: str) -> DataFrame:
     """Mean confidence, response time and intent confidence; zeros without questions."""
-    mean = lambda name: F.round(F.coalesce(F.avg(name), F.lit(0.0)), RATIO_DIGITS)
-    return _since(log, days, asof).agg(
-        mean("confidence").alias("avg_confidence"), mean("response_time_ms").alias("avg_response_time_ms"),
-        mean("intent_confidence").alias("avg_intent_confidence"), F.count("*").alias("total_queries"),
-    )
+    return day_rollup(_since(log, days, asof)).agg(*_averages())
 
 
 def metrics_by_range(log: DataFrame, asof: str, ranges: Sequence[int] = METRIC_RANGES) -> DataFrame:
@@ -87,26 +113,31 @@ def metrics_by_range(log: DataFrame, asof: str, ranges: Sequence[int] = METRIC_R
 
     Ranges are whole days of 24 hours, back from `asof`, as in `average_metrics`.
     """
-    measures = ("confidence", "response_time_ms", "intent_confidence")
     longest = _since(log, max(ranges), asof)
     micros = lambda at: F.unix_micros(at.cast("timestamp_ntz").cast("timestamp"))
     age = F.ceil((micros(F.lit(asof)) - micros(F.col("ts"))) / 86_400_000_000)
     daily = longest.groupBy(age.alias("age"), "intent_type").agg(
-        F.count("*").alias("n"), *[F.sum(m).alias(m) for m in measures]
+        F.count("*").alias("n"), *[F.sum(m).alias(m) for m in MEASURES]
     )
     spread = daily.withColumn("days", F.explode(F.filter(F.array(*map(F.lit, ranges)), lambda d: F.col("age") <= d)))
     return spread.groupBy("days", "intent_type").agg(
         F.sum("n").alias("total_queries"),
-        *[F.round(F.sum(m) / F.sum("n"), RATIO_DIGITS).alias(f"avg_{m}") for m in measures],
+        *[F.round(F.sum(m) / F.sum("n"), RATIO_DIGITS).alias(f"avg_{m}") for m in MEASURES],
     )
 
 
 def health(log: DataFrame, feedback: DataFrame, days: int, asof: str) -> DataFrame:
-    """One row: ratings of speed and quality, and the recommendations that apply."""
-    t = average_metrics(log, days, asof).select(F.struct("*").alias("m")).scalar()
-    intents = intent_distribution(log, days, asof)
-    top = intents.where("is_top").select(F.struct("intent_type", "share").alias("i")).scalar()
-    base = feedback_stats(feedback).select("*", t.alias("m"), top.alias("i"))
+    """One row: ratings of speed and quality, and the recommendations that apply. The log is scanned once."""
+    return health_of(day_rollup(_since(log, days, asof)), feedback)
+
+
+def health_of(rollup: DataFrame, feedback: DataFrame) -> DataFrame:
+    """The same from sums by day and intent (see `rollup_between`)."""
+    top = F.max_by(F.struct("intent_type", "n"), F.struct("n", "intent_type"))
+    whole = _added(rollup).agg(*_averages(), top.alias("i"))
+    whole = whole.select(F.struct(*[c for c in whole.columns if c != "i"]).alias("m"), F.struct("i.intent_type", (F.col("i.n") / F.col("total_queries")).alias("share")).alias("i"))
+    t = whole.select(F.struct("m", "i").alias("t")).scalar()
+    base = feedback_stats(feedback).select("*", t.alias("t")).select("*", "t.m", "t.i")
     rate, time, conf = F.col("helpful_percentage") / 100, F.col("m.avg_response_time_ms"), F.col("m.avg_confidence")
     queries = F.col("m.total_queries")
     advice = F.array_compact(F.array(

@@ -298,6 +298,10 @@ oracle("migrate_log", _moved + """query AS query_text, answer AS answer_text, in
   CAST(0 AS BIGINT) AS response_time_ms, 'migrated' AS session_id, "timestamp", source || '|' || lang AS source_list FROM flat""")
 oracle("migrate_feedback", _moved + """is_helpful, '' AS feedback_text, "timestamp" FROM flat""")
 
+_lost = 'toxic <> 0 AND NOT is_helpful'
+oracle("migration_errors", f"SELECT id, query, is_helpful FROM flat WHERE {_lost}")
+oracle("migration_counts", f"SELECT count(*) FILTER (WHERE NOT ({_lost})) AS migrated, count(*) FILTER (WHERE {_lost}) AS errors, count(*) AS with_stand_in FROM flat")
+
 # --- corpus preparation -------------------------------------------------------------------------
 
 oracle("table_normalise", "SELECT table_index, source_path, page_number, header, row_count, column_count, table_json, table_markdown FROM norm_tables")
@@ -548,6 +552,8 @@ oracle("feedback_insights", "SELECT intent_type, count(*) AS n, round(avg(confid
 oracle("helpful_rows", 'SELECT id, "timestamp", query FROM flat WHERE is_helpful')
 cte("last_votes", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, answer ORDER BY "timestamp" DESC, id DESC) AS nth FROM both_votes) WHERE nth = 1""")
 oracle("feedback_upsert", 'SELECT id, "timestamp", query, md5(answer) AS answer_md5, is_helpful FROM last_votes')
+ORACLES["feedback_merge"] = ORACLES["feedback_upsert"]
+ORACLES["stream_health"] = ORACLES["health"]
 oracle("rating_lookup", "SELECT f.id AS pair_id, v.is_helpful AS rating FROM flat f LEFT JOIN last_votes v ON v.query = f.query AND v.answer = f.answer")
 oracle("feedback_delete", "SELECT id, query, is_helpful FROM flat WHERE toxic = 0")
 oracle("session_stats", f"""SELECT session_id, min("user") AS "user", count(*) AS n_queries, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended,

@@ -23,6 +23,7 @@ from citadex.plans.roles import Roles
 from citadex.session import scratch_path, staged
 from citadex.settings import AnswerOptions
 from citadex.sources import feedback_files as ff
+from citadex.sources import feedback_store as fs
 from citadex.sources import glossary as gl
 from citadex.sources import index_store, reports
 from citadex.sources.documents import read_documents
@@ -201,6 +202,24 @@ def migrate_log(r):
     return ff.migrate_log(r.flat_feedback()).select("*", flat("sources").alias("source_list")).drop("sources")
 
 
+def _partly_dated(r: Roles) -> DataFrame:
+    """Flat feedback in which unhelpful votes of anonymous users have lost their time."""
+    lost = F.col("user").isNull() & ~F.col("is_helpful")
+    return r.flat_feedback().withColumn("timestamp", F.when(~lost, F.col("timestamp")))
+
+
+@query
+def migration_errors(r):
+    return ff.migration_errors(_partly_dated(r)).select("id", "query", "is_helpful")
+
+
+@query
+def migration_counts(r):
+    """Rows moved with and without a stand-in for the time, and those left behind."""
+    moved = ff.migrate_log(_partly_dated(r), "1970-01-01T00:00:00").agg(F.count("*").alias("with_stand_in"))
+    return ff.migration_counts(_partly_dated(r)).select("*", moved.scalar().alias("with_stand_in"))
+
+
 @query
 def migrate_feedback(r):
     return ff.migrate_feedback(r.flat_feedback())
@@ -752,6 +771,17 @@ def health(r):
     return an.health(r.log(), r.feedback(), 30, ASOF).withColumn("recommendations", flat("recommendations"))
 
 
+@query
+def stream_health(r):
+    """Sums by day and intent, fed by a stream of the log, and the health of the last 30 days from them."""
+    arrivals, out = scratch_path(r.spark, "arrivals"), scratch_path(r.spark, "rollup")
+    r.log().write.partitionBy("intent_type").parquet(arrivals)
+    stream = st.follow(r.spark, arrivals, r.log().schema, 4)
+    st.roll_up(stream, out, scratch_path(r.spark, "state")).awaitTermination()
+    last = an.rollup_between(st.read_rollup(r.spark, out), 30, ASOF)
+    return an.health_of(last, r.feedback()).withColumn("recommendations", flat("recommendations"))
+
+
 @query
 def feedback_insights(r):
     return an.feedback_insights(r.flat_feedback())
@@ -767,6 +797,15 @@ def feedback_upsert(r):
     return an.upsert_feedback(r.flat_feedback(), r.corrections()).select("id", "timestamp", "query", F.md5("answer").alias("answer_md5"), "is_helpful")
 
 
+@query
+def feedback_merge(r):
+    """The same in a stored table: votes are merged into the partitions that they touch, and read back."""
+    path = scratch_path(r.spark, "votes")
+    fs.merge_feedback(r.flat_feedback(), path)
+    fs.merge_feedback(r.corrections(), path)
+    return fs.read_feedback(r.spark, path).select("id", "timestamp", "query", F.md5("answer").alias("answer_md5"), "is_helpful")
+
+
 @query
 def rating_lookup(r):
     pairs = r.flat_feedback().select(F.col("id").alias("pair_id"), "query", "answer")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from citadex.operators.analytics import to_query_log
+from citadex.operators.analytics import day_rollup, to_query_log
 from citadex.operators.reuse import merge_validated, merge_votes, partials_of, vote_counts
 from citadex.sources.index_store import append_nodes
 
@@ -85,6 +85,20 @@ def read_validated(spark: SparkSession, path: str, log: DataFrame) -> DataFrame:
     return merge_validated(partials_of(log, merge_votes(spark.read.parquet(path).drop("batch"))))
 
 
+def roll_up(log: DataFrame, path: str, state: str) -> StreamingQuery:
+    """Questions into sums by day and intent; a batch that is run again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        day_rollup(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return log.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+    """Sums of all batches so far; several rows of a day and intent add up wherever they are used."""
+    return spark.read.parquet(path).drop("batch")
+
+
 def grow_index(nodes: DataFrame, path: str, state: str) -> StreamingQuery:
     """New nodes into a persisted index.
 
