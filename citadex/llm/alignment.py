@@ -9,6 +9,7 @@ until the ends meet; that group is closed and the shift updated.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 from citadex.llm.packing import byte_level_ranks
 from citadex.session import staged
 
+#: A single space between two characters that are no white space, and what else spaces may meet.
+BETWEEN, ODD_SPACE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s")
+#: Texts with longer words are encoded whole, so that what is kept of words is bounded.
+LONG_WORD = 40
 #: Rows of (document, distinct pair) in one chunk; a document with more is a chunk of its own.
 CHUNK_PAIRS = 4_000_000
 ALIGNED = "chunk long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, n_pairs long, pairs binary"
@@ -67,10 +72,42 @@ def aligned_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.array(from_a, np.int64), n) + within, np.repeat(np.array(from_b, np.int64), n) + within
 
 
+class Words:
+    """Ids of words that were met before, so that a word is encoded once and not wherever it stands.
+
+    A cuts its words before a single space between two other characters, and no piece of B holds a space behind anything
+    else (which is checked), so neither merges across such a space. All ids of a side lie in one array.
+    """
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.flat = [np.empty(0, np.int32), np.empty(0, np.int32)]
+        self.end = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+
+    def add(self, words: list[str], *sides: tuple[np.ndarray, np.ndarray]) -> None:
+        """Ids of the words one after the other, and where each word ends, for A and B."""
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        for i, (ids, ends) in enumerate(sides):
+            self.end[i] = np.concatenate((self.end[i], self.end[i][-1] + ends))
+            self.flat[i] = np.concatenate((self.flat[i], ids.astype(np.int32)))
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a text of these words, None if one is unknown."""
+        try:
+            at = np.array([self.at[w] for w in words], np.int64)
+        except KeyError:
+            return None
+        out = []
+        for flat, end in zip(self.flat, self.end, strict=True):
+            begin, n = end[at], end[at + 1] - end[at]
+            out.append(flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].astype(np.int64))
+        return out[0], out[1]
+
+
 class TokenizerPair:
     """Ids and bytes of a byte-level BPE file (A) and of a piece model (B) for the same text with a space before it."""
 
-    def __init__(self, byte_bpe: str, pieces: str):
+    def __init__(self, byte_bpe: str, pieces: str, limit: int = 500_000):
         ranks, special = byte_level_ranks(byte_bpe)
         self.a = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
@@ -81,6 +118,8 @@ class TokenizerPair:
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.width = np.dtype("<u2" if max(size_a, len(self.bytes_b)) <= 1 << 16 else "<u4")
         self.sizes_a, self.sizes_b = (np.array([len(t) for t in x], np.int64) for x in (tokens_a, self.bytes_b))
+        self.by_word = not any(re.search(b"[^ ] ", t) for t in self.bytes_b)
+        self.known, self.limit = Words(), limit
         # an id as text, with what follows it inside a group and at its end
         self.inner_a, self.last_a = self._texts(size_a, ","), self._texts(size_a, "|")
         self.inner_b, self.last_b = self._texts(len(self.bytes_b), ","), self._texts(len(self.bytes_b), ";")
@@ -93,15 +132,37 @@ class TokenizerPair:
     def _texts(n: int, end: str) -> np.ndarray:
         return np.array([f"{i}{end}" for i in range(n)], object)
 
+    def _words(self, text: str) -> list[str] | None:
+        """What a text may be cut into, see `Words`; None if it has to be encoded whole."""
+        if not self.by_word or "▁" in text or text[0].isspace() or text[-1].isspace():
+            return None
+        words = BETWEEN.split(text) if ODD_SPACE.search(text) else text.split(" ")
+        return words if max(map(len, words)) <= LONG_WORD else None
+
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both for every text; None without tokens or where the tokens spell other bytes."""
-        for text, b in zip(texts, self.b.encode([t or "" for t in texts], num_threads=1), strict=True):
-            if not text:
-                yield None
-                continue
-            a, data = self.a.encode_ordinary(f" {text}"), f" {text}".encode()
-            same = self.a.decode_bytes(a) == data == b"".join(map(self.bytes_b.__getitem__, b))
-            yield (np.array(a, np.int64), np.array(b, np.int64)) if same else None
+        split = [self._words(t) if t else None for t in texts]
+        if len(self.known.at) > self.limit:
+            self.known = Words()
+        new = sorted(set().union(*(w for w in split if w)) - self.known.at.keys())
+        if new:
+            self._learn(new)
+        for text, words in zip(texts, split, strict=True):
+            yield (self.known.ids(words) if words else None) or (self._whole(text) if text else None)
+
+    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        a, b, data = self.a.encode_ordinary(f" {text}"), self.b.encode(text), f" {text}".encode()
+        same = self.a.decode_bytes(a) == data == b"".join(map(self.bytes_b.__getitem__, b))
+        return (np.array(a, np.int64), np.array(b, np.int64)) if same else None
+
+    def _learn(self, words: list[str]) -> None:
+        """All new words in one text, cut again where the words end."""
+        text = " ".join(words)
+        found = self._whole(text)
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        if found is None:  # some word is spelled otherwise: it stays unknown to B, and its texts are encoded whole
+            return
+        self.known.add(words, *((ids, np.searchsorted(np.cumsum(sizes[ids]), ends) + 1) for ids, sizes in zip(found, (self.sizes_a, self.sizes_b), strict=True)))
 
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the last token of every group."""
