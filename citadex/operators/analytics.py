@@ -105,7 +105,8 @@ def intent_distribution(log: DataFrame, days: int, asof: str) -> DataFrame:
 
 def average_metrics(log: DataFrame, days: int, asof: str) -> DataFrame:
     """Mean confidence, response time and intent confidence; zeros without questions."""
-    return day_rollup(_since(log, days, asof)).agg(*_averages())
+    mean = lambda name: F.round(F.coalesce(F.avg(name), F.lit(0.0)), RATIO_DIGITS).alias(f"avg_{name}")
+    return _since(log, days, asof).agg(*map(mean, MEASURES), F.count("*").alias("total_queries"))
 
 
 def metrics_by_range(log: DataFrame, asof: str, ranges: Sequence[int] = METRIC_RANGES) -> DataFrame:

@@ -239,7 +239,7 @@ def response_ctes(p: str, ctx: str) -> None:
     cte(f"{p}reasons", f"""SELECT query_id, CASE WHEN n IS NULL THEN 'No relevant documents were retrieved for this query.' ELSE
       printf('Retrieved %d relevant document chunks using hybrid search (dense embeddings + BM25).', n) || ' ' ||
       printf('Query intent classified as: %s (confidence: %.2f%%).', intent_type, intent_confidence * 100) || ' ' ||
-      printf('Prioritized %d sources based on reliability and recency.', n) || ' ' || printf('Average relevance score: %.3f', avg_) END AS reasoning
+      printf('Prioritized %d sources based on reliability and recency.', n) || ' ' || printf('Average relevance score: %.3f', round(avg_, 3)) END AS reasoning
       FROM asked LEFT JOIN (SELECT query_id, count(*) AS n, avg(score) AS avg_ FROM {ctx} GROUP BY 1) USING (query_id)""")
 
 
