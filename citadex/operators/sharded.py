@@ -37,7 +37,8 @@ class Shards:
 
 
 def shard_count(n_nodes: int) -> int:
-    return max(1, min(100_000, -(-n_nodes // NODES_PER_SHARD)))
+    """By size; an index of less than a million nodes has smaller shards, up to 64, so that tasks can share the work."""
+    return max(1, min(100_000, max(-(-n_nodes // NODES_PER_SHARD), min(64, -(-n_nodes // 1024)))))
 
 
 def blocks_of(nodes: DataFrame, n_shards: int) -> DataFrame:
