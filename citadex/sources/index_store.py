@@ -14,7 +14,6 @@ Counts of nodes and their lengths stand in the entries: opening an index reads e
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -25,8 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citadex.functions import scoring as sc
-from citadex.operators.lexical import LexicalIndex
-from citadex.operators.sharded import Shards, blocks_of, shard_count
+from citadex.operators.lexical import LexicalIndex, terms_of
+from citadex.operators.sharded import Shards, block_table, shard_count, text_size, write_blocks
 from citadex.session import broadcast_within, staged
 from citadex.settings import MAX_SEGMENTS
 
@@ -62,17 +61,13 @@ class Segment:
     def blocks(self, spark: SparkSession) -> DataFrame:
         """The block table with its buckets. Buckets are known to tables only, so one is declared over the files."""
         where = f"{self.path}/segments/{self.name}/blocks"
-        table = _table_of(where)
+        table = block_table(where)
         if not spark.catalog.tableExists(table):
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.read(spark, "blocks").schema)
             spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (shard) INTO {self.n_shards} BUCKETS LOCATION '{where}'")
         return spark.table(table)
 
 
-def _table_of(where: str) -> str:
-    return f"blocks_{hashlib.md5(where.encode()).hexdigest()}"
-
-
 def _entries(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.schema(ENTRY).parquet(f"{path}/segments/*/entry")
@@ -169,15 +164,10 @@ def _write_segment(
     spark, at = nodes.sparkSession, f"{path}/segments/{name}"
     nodes.write.mode("overwrite").parquet(f"{at}/nodes")
     own = spark.read.schema(nodes.schema).parquet(f"{at}/nodes")
-    n_nodes = own.count()
-    n_shards = shard_count(n_nodes)
-    table = _table_of(f"{at}/blocks")
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    blocks_of(own, n_shards).write.mode("overwrite").option("path", f"{at}/blocks").bucketBy(n_shards, "shard").sortBy("term").saveAsTable(table)
-    blocks = spark.table(table)
-    terms = blocks.groupBy("term").agg(
-        F.sum("n").alias("df"), F.max(F.array_max("max_tfs")).alias("max_tf"), F.min(F.array_min("min_dls")).alias("min_dl"), F.lit(name).alias("target")
-    )
+    n_nodes, n_bytes = text_size(own)
+    n_shards = shard_count(n_nodes, n_bytes)
+    blocks = write_blocks(own, n_shards, f"{at}/blocks")
+    terms = terms_of(blocks).withColumn("target", F.lit(name))
     counts = blocks.agg(F.lit(name).alias("target"), F.coalesce(F.sum("n_opens"), F.lit(0)).alias("n"), F.coalesce(F.sum("opens_dl"), F.lit(0)).alias("dl"))
     if gone is None:
         gone = own.select("node_id", F.lit("").alias("target")).limit(0)
@@ -278,7 +268,7 @@ def drop_replaced(spark: SparkSession, path: str) -> int:
     rows = [] if entries is None else entries.select("name", "replaces").collect()
     there, live = {r["name"] for r in rows}, {s.name for s in segments(spark, path)}
     for name in there - live:
-        spark.sql(f"DROP TABLE IF EXISTS {_table_of(f'{path}/segments/{name}/blocks')}")
+        spark.sql(f"DROP TABLE IF EXISTS {block_table(f'{path}/segments/{name}/blocks')}")
         at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/segments/{name}")
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return len(there - live)
