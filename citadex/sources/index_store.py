@@ -4,7 +4,7 @@
     segments/<name>/blocks     their postings, bucketed by shard (`operators/sharded.py`)
     segments/<name>/terms      term, df, max_tf, min_dl, target: counts of this segment, and negative ones for nodes removed
     segments/<name>/removed    node_id, target: nodes of the segment `target` that no longer count
-    segments/<name>/filter     which ids may be in the segment (a Bloom filter in buckets of 32,768 bits)
+    segments/<name>/filter     which ids may be in the segment (a Bloom filter in buckets of 32,768 bits, one bucket per id)
     segments/<name>/vectors    node_id, embedding
     segments/<name>/entry      one row, written last: a segment without it is not there
 
@@ -105,25 +105,37 @@ def _n_buckets(n: int) -> int:
     return max(1, -(-n * FILTER_BITS // BUCKET))
 
 
-def _spots(n_buckets: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.lit(FILTER_HASHES)), lambda i: F.pmod(F.xxhash64(i, "node_id"), n_buckets * BUCKET))
+def _bucket(n_buckets: Column) -> Column:
+    return F.pmod(F.xxhash64("node_id"), n_buckets)
+
+
+def _spot(i: Column) -> Column:
+    """One of the bits of an id, all of which are in one bucket."""
+    return F.pmod(F.xxhash64(i, "node_id"), F.lit(BUCKET))
+
+
+def _hashes() -> Column:
+    return F.sequence(F.lit(1), F.lit(FILTER_HASHES))
 
 
 def _filter_of(ids: DataFrame, n: int) -> DataFrame:
     """bucket, bits."""
-    spots = ids.select(F.explode(_spots(F.lit(_n_buckets(n)).cast("long"))).alias("spot"))
-    return spots.groupBy(F.floor(F.col("spot") / BUCKET).alias("bucket")).agg(F.bitmap_construct_agg(F.col("spot") % BUCKET).alias("bits"))
+    spots = ids.select(_bucket(F.lit(_n_buckets(n)).cast("long")).alias("bucket"), F.explode(F.transform(_hashes(), _spot)).alias("spot"))
+    return spots.groupBy("bucket").agg(F.bitmap_construct_agg("spot").alias("bits"))
 
 
 def _may_hold(spark: SparkSession, live: Sequence[Segment], ids: DataFrame) -> DataFrame:
-    """name, node_id: the segments whose filter has all bits of an id."""
+    """name, node_id: the segments whose filter has all bits of an id. Ids are not shuffled while the filters fit a broadcast."""
     shapes = F.array(*[F.struct(F.lit(s.name).alias("name"), F.lit(_n_buckets(s.n_nodes)).cast("long").alias("n")) for s in live])
-    asked = ids.select("node_id", F.explode(shapes).alias("s")).select("s.name", "node_id", F.explode(_spots(F.col("s.n"))).alias("spot"))
-    asked = asked.withColumn("bucket", F.floor(F.col("spot") / BUCKET))
-    met = asked.join(_tagged(spark, live, "filter"), ["name", "bucket"])
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("spot") % BUCKET / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    bit = F.call_function("shiftright", byte, (F.col("spot") % 8).cast("int")).bitwiseAND(F.lit(1))
-    return met.groupBy("name", "node_id").agg(F.sum(bit).alias("n")).where(F.col("n") == FILTER_HASHES).select("name", "node_id")
+    asked = ids.select("node_id", F.explode(shapes).alias("s")).select("s.name", "node_id", _bucket(F.col("s.n")).alias("bucket"))
+    n_bytes = sum(_n_buckets(s.n_nodes) for s in live) * (BUCKET // 8 + 128)
+    met = asked.join(broadcast_within(_tagged(spark, live, "filter"), n_bytes), ["name", "bucket"])
+
+    def is_set(i: Column) -> Column:
+        byte = F.conv(F.hex(F.substring("bits", (F.floor(_spot(i) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.call_function("shiftright", byte, (_spot(i) % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return met.where(F.forall(_hashes(), is_set)).select("name", "node_id")
 
 
 def held(spark: SparkSession, live: Sequence[Segment], ids: DataFrame) -> DataFrame:
@@ -145,12 +157,11 @@ def held(spark: SparkSession, live: Sequence[Segment], ids: DataFrame) -> DataFr
 
 
 def _lost_counts(spark: SparkSession, live: Sequence[Segment], gone: DataFrame) -> DataFrame:
-    """node_id, dl, term, target: postings of nodes that are removed."""
-    parts = [
-        Shards(s.blocks(spark), s.n_shards).postings().join(gone.where(F.col("target") == s.name).select("node_id"), "node_id", "left_semi").withColumn("target", F.lit(s.name))
-        for s in live
-    ]
-    return _union(parts)
+    """term, n, dl, target: what the removed nodes take from each segment, counted where its blocks lie; see `Shards.counts_of`."""
+    hit = {r["target"] for r in gone.select("target").distinct().collect()}
+    return _union([
+        Shards(s.blocks(spark), s.n_shards).counts_of(gone.where(F.col("target") == s.name)).withColumn("target", F.lit(s.name)) for s in live if s.name in hit
+    ])
 
 
 def _write_segment(
@@ -178,9 +189,8 @@ def _write_segment(
     if others and not stored_gone.isEmpty():
         lost = staged(_lost_counts(spark, others, stored_gone), "lost")
         none = F.lit(None).cast("long")
-        terms = terms.unionByName(lost.groupBy("term", "target").agg((-F.count("*")).alias("df")).select("term", "df", none.alias("max_tf"), none.alias("min_dl"), "target"))
-        lengths = lost.select("node_id", "dl", "target").distinct()
-        counts = counts.unionByName(lengths.groupBy("target").agg((-F.count("*")).alias("n"), (-F.sum("dl")).alias("dl")))
+        terms = terms.unionByName(lost.where("term IS NOT NULL").groupBy("term", "target").agg((-F.sum("n")).alias("df")).select("term", "df", none.alias("max_tf"), none.alias("min_dl"), "target"))
+        counts = counts.unionByName(lost.where("term IS NULL").groupBy("target").agg((-F.sum("n")).alias("n"), (-F.sum("dl")).alias("dl")))
     terms.write.mode("overwrite").parquet(f"{at}/terms")
     _filter_of(own.select("node_id"), n_nodes).write.mode("overwrite").parquet(f"{at}/filter")
     if vectors is not None:
@@ -202,7 +212,11 @@ def _next(live: Sequence[Segment]) -> int:
 
 
 def _once(df: DataFrame | None) -> DataFrame | None:
-    return None if df is None else df.dropDuplicates(["node_id"])
+    """One row per id. Ids are looked at first: where none comes twice, texts are not shuffled for it."""
+    if df is None:
+        return None
+    rows, ids = df.agg(F.count("*"), F.countDistinct("node_id")).first()
+    return df if rows == ids else df.dropDuplicates(["node_id"])
 
 
 def append_nodes(nodes: DataFrame, path: str, vectors: DataFrame | None = None, name: str | None = None) -> None:
@@ -277,18 +291,23 @@ def drop_replaced(spark: SparkSession, path: str) -> int:
 # --- reading ------------------------------------------------------------------------------------
 
 
-def _living(rows: DataFrame, spark: SparkSession, live: Sequence[Segment]) -> DataFrame:
+def _living(spark: SparkSession, live: Sequence[Segment], table: str, among: Sequence[Segment]) -> DataFrame:
+    """Rows of the segments `among` that no live segment has removed; segments that lost nothing are only read."""
     gone = _removed(spark, live).withColumnRenamed("target", "name")
-    return rows.join(_near(gone), ["name", "node_id"], "left_anti")
+    hit = {r["name"] for r in gone.select("name").distinct().collect()}
+    parts = [[s for s in among if s.name not in hit], [s for s in among if s.name in hit]]
+    whole, cut = (_tagged(spark, part, table) if part else None for part in parts)
+    if cut is not None:
+        cut = cut.join(_near(gone), ["name", "node_id"], "left_anti")
+    return _union([rows for rows in (whole, cut) if rows is not None])
 
 
 def _live_nodes(spark: SparkSession, live: Sequence[Segment], keep: Sequence[str] | None = None) -> DataFrame:
-    rows = _living(_tagged(spark, live, "nodes"), spark, live)
-    return (rows if keep is None else rows.where(F.col("name").isin(list(keep)))).drop("name")
+    return _living(spark, live, "nodes", [s for s in live if keep is None or s.name in keep]).drop("name")
 
 
 def _live_vectors(spark: SparkSession, live: Sequence[Segment]) -> DataFrame:
-    return _living(_tagged(spark, [s for s in live if s.has_vectors], "vectors"), spark, live)
+    return _living(spark, live, "vectors", [s for s in live if s.has_vectors])
 
 
 def read_index(spark: SparkSession, path: str, with_vectors: bool = False) -> StoredIndex:

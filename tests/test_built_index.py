@@ -8,6 +8,7 @@ import pytest
 from citadex.operators import sharded
 from citadex.operators.lexical import bm25_search, build_lexical_index
 from citadex.settings import BYTES_PER_SHARD
+from citadex.sources import index_store as ix
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +73,38 @@ def test_shards_are_bounded_by_text(spark):
 def test_a_corpus_without_tokens(spark, asked):
     index = build_lexical_index(spark.createDataFrame([(1, None), (2, "  ")], "node_id long, text string"))
     assert index.postings.count() == 0 and index.stats.first()["n"] == 0 and bm25_search(asked, index, 5).count() == 0
+
+
+def test_removed_nodes_are_counted_in_their_shards(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharded, "NODES_PER_SHARD", 20)
+    nodes = spark.createDataFrame(rows, "node_id long, text string")
+    shards = build_lexical_index(nodes).shards[0]
+    gone = spark.createDataFrame([(i,) for i in (3, 5, 6, 77, 200, 201, 999)], "node_id long")
+    lost = shards.counts_of(gone)
+    plan = lost._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert sum("Exchange" in line for line in plan.splitlines()) == 1, plan  # only the ids move
+    own = {(n, tuple((t or "").lower().split())) for n, t in rows if n in (3, 5, 6, 77)}
+    got = Counter()
+    for r in lost.where("term IS NOT NULL").collect():
+        got[r.term] += r.n
+    assert got == Counter(t for _, ts in own for t in set(ts))
+    total = lost.where("term IS NULL").groupBy().sum("n", "dl").first()
+    assert tuple(total) == (len(own), sum(len(ts) for _, ts in own))
+
+
+def test_ids_are_looked_at_before_texts_are_moved(spark, rows):
+    unique = spark.createDataFrame(rows[:100], "node_id long, text string")
+    assert "Exchange" not in ix._once(unique)._jdf.queryExecution().executedPlan().toString()
+    assert ix._once(spark.createDataFrame(rows, "node_id long, text string")).count() == len(rows) - 2
+
+
+def test_filters_are_broadcast_and_miss_no_id(spark, tmp_path):
+    path = str(tmp_path / "index")
+    for low in (0, 3000):
+        ix.append_nodes(spark.range(low, low + 3000).selectExpr("id AS node_id", "concat('t', id) AS text"), path)
+    live = ix.segments(spark, path)
+    found = ix._may_hold(spark, live, spark.range(0, 40_000).withColumnRenamed("id", "node_id"))
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.name, r.node_id) for r in found.collect()}
+    right = {(s.name, i) for s, low in zip(live, (0, 3000), strict=True) for i in range(low, low + 3000)}
+    assert right <= got and len(got - right) < 40
