@@ -4,7 +4,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from citadex.functions import text as tx
 from citadex.operators import sharded
 from citadex.operators.lexical import bm25_search, build_lexical_index
 from citadex.settings import BYTES_PER_SHARD
@@ -108,3 +110,23 @@ def test_filters_are_broadcast_and_miss_no_id(spark, tmp_path):
     got = {(r.name, r.node_id) for r in found.collect()}
     right = {(s.name, i) for s, low in zip(live, (0, 3000), strict=True) for i in range(low, low + 3000)}
     assert right <= got and len(got - right) < 40
+
+
+def test_texts_are_shuffled_as_packs(spark):
+    """One row per batch and shard crosses the exchange; what postings tell already is not stored beside them."""
+    odd = ["", None, " \u2003\n ", "A\u2003b\nc\x1cd", "\u0130 \u03a3\u03a3 z\u00e9", "x" * 5000, "a b a"]
+    nodes = spark.createDataFrame([(i if i != 9 else None, odd[i % 7]) for i in range(200)], "node_id long, text string").coalesce(2)
+    blocks = sharded.blocks_of(nodes, 3)
+    plan = blocks._jdf.queryExecution().executedPlan().toString().splitlines()
+    moved = next(i for i, line in enumerate(plan) if "Exchange hashpartitioning(shard" in line)
+    assert "MapInArrow" in plan[moved + 1], plan
+    assert not {"max_tfs", "min_dls"} & set(blocks.columns)
+    rows = lambda: {(p.node_id, p.dl, p.term, p.tf) for p in sharded.Shards(sharded.blocks_of(nodes, 3), 3).postings().collect()}
+    whole = rows()
+    tokens = {r.node_id: [t.lower() for t in r.tokens] for r in nodes.select("node_id", F.coalesce(tx.tokens(F.col("text")), F.array()).alias("tokens")).collect()}
+    assert whole == {(i, len(ts), t, ts.count(t)) for i, ts in tokens.items() for t in ts} and len(whole) > 200
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert rows() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
