@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from citadex.functions import text as tx
 from citadex.operators import sharded
 from citadex.operators.lexical import bm25_search, build_lexical_index
+from citadex.operators.understanding import glossary_hits
 from citadex.settings import BYTES_PER_SHARD
 from citadex.sources import index_store as ix
 
@@ -130,3 +131,13 @@ def test_texts_are_shuffled_as_packs(spark):
         assert rows() == whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_glossary_is_not_shuffled_for_its_hits(spark, rows, asked):
+    glossary = spark.createDataFrame([(i, f"t{i}", text or "", []) for i, text in enumerate(t for _, t in rows)], "entry_id long, term string, definition string, aliases array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = glossary_hits(asked, glossary)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, plan
