@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citadex.functions import scoring as sc
-from citadex.operators.lexical import LexicalIndex, terms_of
-from citadex.operators.sharded import Shards, block_table, shard_count, text_size, write_blocks
+from citadex.operators.lexical import LexicalIndex
+from citadex.operators.sharded import Shards, block_table, shard_count, terms_of, text_size, write_blocks
 from citadex.session import broadcast_within, staged
 from citadex.settings import MAX_SEGMENTS
 
@@ -178,7 +178,7 @@ def _write_segment(
     n_nodes, n_bytes = text_size(own)
     n_shards = shard_count(n_nodes, n_bytes)
     blocks = write_blocks(own, n_shards, f"{at}/blocks")
-    terms = terms_of(blocks).withColumn("target", F.lit(name))
+    terms = terms_of(blocks, n_shards).withColumn("target", F.lit(name))
     counts = blocks.agg(F.lit(name).alias("target"), F.coalesce(F.sum("n_opens"), F.lit(0)).alias("n"), F.coalesce(F.sum("opens_dl"), F.lit(0)).alias("dl"))
     if gone is None:
         gone = own.select("node_id", F.lit("").alias("target")).limit(0)

@@ -1,8 +1,12 @@
 """An index built for one job: the same shards as a stored one, so no posting is shuffled, and no task grows with the corpus."""
 
+import os
 import random
+import time
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +14,7 @@ from citadex.functions import text as tx
 from citadex.operators import sharded
 from citadex.operators.lexical import bm25_search, build_lexical_index
 from citadex.operators.understanding import glossary_hits
+from citadex.session import FREE_SHUFFLES, staged_alone
 from citadex.settings import BYTES_PER_SHARD
 from citadex.sources import index_store as ix
 
@@ -141,3 +146,69 @@ def test_a_glossary_is_not_shuffled_for_its_hits(spark, rows, asked):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, plan
+
+
+def shuffled_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    each = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in each if f.getName().startswith("shuffle_")}
+
+
+def test_a_build_frees_what_it_shuffled(spark):
+    """Texts and sums of terms are not on disk any more once the tables made of them are (a count of rows may be); the setting is as before."""
+    rng = random.Random(3)
+    nodes = spark.createDataFrame([(i, rng.randbytes(3000).hex(" ", 4)) for i in range(200)], "node_id long, text string").coalesce(2)
+    before, setting = set(shuffled_files(spark)), spark.conf.get(FREE_SHUFFLES)
+    index = build_lexical_index(nodes)
+    end = time.monotonic() + 20
+    while (left := sum(n for f, n in shuffled_files(spark).items() if f not in before)) > 50_000 and time.monotonic() < end:
+        time.sleep(0.2)
+    assert left <= 50_000 and spark.conf.get(FREE_SHUFFLES) == setting
+    assert index.terms.count() > 140_000
+
+
+def test_an_index_for_one_search_goes_with_it(spark, rows, asked):
+    nodes, made = spark.createDataFrame(rows, "node_id long, text string"), []
+
+    def search():
+        made.append(build_lexical_index(nodes))
+        return bm25_search(asked, made[0], 5)
+
+    hits = staged_alone(spark, "hits", search)
+    paths = [f.removeprefix("file:").removeprefix("//") for df in (made[0].shards[0].blocks, made[0].terms) for f in df.inputFiles()]
+    assert len(paths) > 1 and not any(os.path.exists(p) for p in paths)
+    assert sorted(hits.collect()) == sorted(bm25_search(asked, build_lexical_index(nodes), 5).collect())
+
+
+def test_terms_are_shuffled_as_packs(spark, rows):
+    nodes = spark.createDataFrame(rows, "node_id long, text string")
+    shards = build_lexical_index(nodes).shards[0]
+    terms = sharded.terms_of(shards.blocks, 200)
+    plan = terms._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()
+    moved = next(i for i, line in enumerate(plan) if "Exchange hashpartitioning(part" in line)
+    assert "MapInArrow" in plan[moved + 1] and sum("Exchange" in line for line in plan) == 1, plan
+    each = [(p.term, p.tf, p.dl) for p in shards.postings().collect()]
+    want = {t: (sum(x[0] == t for x in each), max(x[1] for x in each if x[0] == t), min(x[2] for x in each if x[0] == t)) for t, _, _ in each}
+    assert {r.term: (r.df, r.max_tf, r.min_dl) for r in terms.collect()} == want
+    assert sharded.terms_of(shards.blocks.limit(0), 1).count() == 0
+
+
+def test_sums_of_terms_are_taken_in_bounded_steps(monkeypatch):
+    monkeypatch.setattr(sharded, "TERMS_PER_SUM", 40)
+    rng, want, batches = random.Random(5), {}, []
+    for _ in range(20):
+        rows = [(rng.choice(["", "\u00e9", "a", "x\x00y"]) + str(rng.randrange(30)), rng.choice([1, 2, 2**40]), rng.randrange(1, 9), rng.randrange(1, 2**33)) for _ in range(rng.randrange(30))]
+        for term, *counts in rows:
+            df, tf, dl = want.get(term, (0, 0, 2**60))
+            want[term] = (df + counts[0], max(tf, counts[1]), min(dl, counts[2]))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        part = pa.array([len(t) % 3 for t in columns[0]], pa.int32())
+        batches.append(pa.record_batch([part, pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["part", "term", "df", "max_tf", "min_dl"]))
+    packs = pa.Table.from_batches(list(sharded.pack_terms(iter(batches))))
+    assert packs["n_terms"].to_numpy().max() <= 70 and packs.num_rows > 6
+    got = {}
+    for part in range(3):
+        own = sharded.sum_terms(packs.filter(pa.compute.equal(packs["part"], part))).to_pylist()
+        assert not {r["term"] for r in own} & set(got)
+        got |= {r["term"]: (r["df"], r["max_tf"], r["min_dl"]) for r in own}
+    assert got == want
