@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citadex.functions import text as tx
-from citadex.operators import sharded
+from citadex.operators import lexical, sharded
 from citadex.operators.lexical import bm25_search, build_lexical_index
 from citadex.operators.understanding import glossary_hits
 from citadex.session import FREE_SHUFFLES, staged_alone
@@ -212,3 +212,42 @@ def test_sums_of_terms_are_taken_in_bounded_steps(monkeypatch):
         assert not {r["term"] for r in own} & set(got)
         got |= {r["term"]: (r["df"], r["max_tf"], r["min_dl"]) for r in own}
     assert got == want
+
+
+def test_an_index_is_made_in_turns(spark, rows, asked, monkeypatch):
+    """No turn moves more than its part of the texts, and the index is the same as after one turn."""
+    monkeypatch.setattr(sharded, "NODES_PER_SHARD", 10)
+    nodes, moved, blocks_of = spark.createDataFrame([*rows, (None, "no id")], "node_id long, text string"), [], sharded.blocks_of
+    once = build_lexical_index(nodes)
+    monkeypatch.setattr(sharded, "SHARDS_IN_ONE_TURN", 2)
+    monkeypatch.setattr(sharded, "blocks_of", lambda own, n: moved.append(own.count()) or blocks_of(own, n))
+    index = build_lexical_index(nodes)
+    assert sum(moved) == len(rows) + 1 and max(moved) < sum(moved) / 2, moved
+    assert tuple(index.stats.first()) == pytest.approx(tuple(once.stats.first()))
+    for what in (lambda x: x.postings, lambda x: x.terms, lambda x: bm25_search(asked, x, 5)):
+        assert Counter(what(index).collect()) == Counter(what(once).collect())
+
+
+@pytest.mark.parametrize("only", [False, True])
+def test_an_index_for_one_search_has_postings_of_its_terms_alone(spark, rows, asked, monkeypatch, only):
+    monkeypatch.setattr(sharded, "NODES_PER_SHARD", 20)
+    nodes, seen, build = spark.createDataFrame(rows, "node_id long, text string"), [], lexical.build_lexical_index
+    whole = build(nodes)
+
+    def made(*args):
+        index = build(*args)
+        seen.append([index.postings.collect(), index.terms.collect(), index.stats.collect()])
+        return index
+
+    monkeypatch.setattr(lexical, "build_lexical_index", made)
+    allowed = spark.range(0, 300, 3).withColumnRenamed("id", "node_id") if only else None
+    got = lexical.search_once(asked, nodes, 5, allowed=allowed).collect()
+    want = bm25_search(asked, whole.restricted(allowed) if only else whole, 5).collect()
+    assert sorted(got) == sorted(want) and len(got) > 8
+    postings, terms, stats = seen[0]
+    words = {"the", "w1", "w2", "w3", "w4", "unseen", "six"}
+    assert Counter(postings) == Counter(whole.postings.where(F.col("term").isin(*words)).collect())
+    assert Counter(terms) == Counter(whole.terms.collect()) and tuple(stats[0]) == pytest.approx(tuple(whole.stats.first()))
+    monkeypatch.setattr(lexical, "small_enough", lambda n: False)
+    large = lexical.search_once(asked, nodes, 5, allowed=allowed).collect()
+    assert sorted(large) == sorted(want) and len(seen[1][0]) == whole.postings.count()
