@@ -251,3 +251,13 @@ def test_an_index_for_one_search_has_postings_of_its_terms_alone(spark, rows, as
     monkeypatch.setattr(lexical, "small_enough", lambda n: False)
     large = lexical.search_once(asked, nodes, 5, allowed=allowed).collect()
     assert sorted(large) == sorted(want) and len(seen[1][0]) == whole.postings.count()
+
+
+def test_a_filtered_search_leaves_no_index(spark):
+    import __spark_entry__ as entry
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    indexes = lambda: {name for name in os.listdir(shared) if name.startswith("blocks-")}
+    before = indexes()
+    assert entry.queries()["hybrid_prefiltered"](spark, "/root/testdata/sf0.001").count() > 0
+    assert indexes() == before
