@@ -211,3 +211,28 @@ def test_routes(spark, library):
     assert {r.query_id: r.route for r in routed.collect()} == {1: "exact", 2: "semantic", 3: "validated", 4: "glossary", 5: "retrieve"}
     stats = ru.cache_stats(routed, cache).first()
     assert (stats.hits, stats.misses, stats.total, stats.hit_rate, stats["size"]) == (2, 3, 5, 0.4, 1)
+
+
+def test_artefacts_move_once_and_not_once_per_source(spark, monkeypatch):
+    """The same rows as by two windows over all pairs, parts included; only whole artefacts and sources are shuffled."""
+    rng = random.Random(4)
+    sources = [(q, n, f"{rng.choice('abc')}.pdf", rng.choice(["1", "2", "3", None])) for q in range(40) for n in range(1, rng.randint(2, 5))]
+    sources += [(7, 1, "c.pdf", "1"), (8, 9, None, "2")]
+    artefacts = [(i % 25, rng.choice(["table", "image"]), rng.choice(["x/a.pdf", "x/b.pdf", None]), rng.choice([1, 2, 3, None]), [f"r{i % 25}"] * 4) for i in range(60)]
+    want = set()
+    for q, kind, a in {(s[0], x[1], x[0]) for s in sources for x in artefacts}:
+        found = []
+        for _, n, name, page in (s for s in sources if s[0] == q):
+            hits = [(1 if x[2] and name and x[2][2] == name[0] else 2, x[0]) for x in artefacts if x[1] == kind and page and x[3] == int(page)]
+            found += [(n, tier, i) for tier, i in hits]
+        best = {n: min(t for m, t, _ in found if m == n) for n in {m for m, _, _ in found}}
+        mine = [(n, t) for n, t, i in found if i == a and t == best[n]]
+        want |= {(q, min(mine)[0], kind, min(mine)[1], a)} if mine else set()
+    frames = spark.createDataFrame(sources, "query_id long, source_no int, name string, page string"), spark.createDataFrame(artefacts, "artefact_id long, kind string, source_path string, page_number int, body array<string>")
+    for size in (4096, 7):
+        monkeypatch.setattr(rs, "SOURCES_PER_ROW", size)
+        out = rs.attach_artefacts(*frames)
+        rows = [(r.query_id, r.source_no, r.kind, r.tier, r.artefact_id) for r in out.collect()]
+        assert set(rows) == want and len(rows) == len(want) > 100
+    plan = [line for line in out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines() if "Exchange hashpartitioning" in line]
+    assert not [line for line in plan if "hashpartitioning(query_id" in line and "artefact_id" in line] and any("hashpartitioning(part" in line for line in plan), plan
